@@ -14,7 +14,7 @@ which is also the word's count c(w). It knows everything about seen pairs, so it
 training never saw (only held-out documents have them) go on as `open` rows, and contexts with open rows ask for the words' probabilities:
 joins on hashes, hot words split by Spark's skew handling. The buckets' tables (kind=types, docs, open, blocks) are the stored model.
 
-Memory: a task holds one block (a batch of Arrow rows) or one bucket; buckets follow the input's size. A context that holds many pairs is one
+Memory: a task holds one block (BLOCK_BYTES of text) or one bucket; buckets follow the input's size. A context that holds many pairs is one
 entry for each block and pair, counted before it is sent; a very frequent context is in one bucket.
 
 Hashes of words are 64 bits: two of a billion words share one with probability 0.03.
@@ -40,7 +40,9 @@ from .simhash import words_of, xxh64
 
 K = 5
 #: Buckets: at least so many, and one for each so many bytes of input as Spark estimates them.
-LEAST_BUCKETS, BUCKET_BYTES = 32, 32 << 20
+LEAST_BUCKETS, BUCKET_BYTES = 64, 16 << 20
+#: Bytes of text in a block at most, but for a text that alone is longer: bounds what a task holds.
+BLOCK_BYTES = 16 << 20
 START, END = 1, 2  # in place of hashes
 
 
@@ -88,8 +90,10 @@ def block_rows(texts: pa.Array, held: np.ndarray, buckets: int) -> tuple[list[tu
     place = np.empty(len(own), np.int64)
     place[by_bucket] = np.arange(len(own))
     code = place[h] << 32 | rank[w]
+    del h, w, index, words, coded
     order = np.argsort(code, kind="stable")
     code, doc = code[order], doc[order]
+    del order
     first = np.flatnonzero(np.diff(code, prepend=-1))  # of each pair
     pair = code[first]
     runs = np.diff(np.append(first, len(code))).astype(np.uint32)
@@ -107,6 +111,14 @@ def block_rows(texts: pa.Array, held: np.ndarray, buckets: int) -> tuple[list[tu
     return out, n + 1
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of about BLOCK_BYTES of text."""
+    for batch in batches:
+        part = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch["text"]), 0)).astype(np.int64)) // BLOCK_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
+
+
 TABLE = "kind string, bucket int, block long, data binary"
 SUMS = 4 + K  # of each document: base, known, seen, open, then pairs by count 1 to K
 
@@ -124,20 +136,21 @@ def bucket_rows(blobs: list[tuple[int, bytes]]) -> Iterator[tuple[str, int, byte
     sc, sw = ctx[order], word[order]
     new = np.concatenate([[True], (sc[1:] != sc[:-1]) | (sw[1:] != sw[:-1])])
     new_c = np.concatenate([[True], sc[1:] != sc[:-1]])
-    pair = np.empty(len(order), np.int64)
-    pair[order] = np.cumsum(new) - 1
-    context_of = (np.cumsum(new_c) - 1)[new]  # of each distinct pair
+    pair = np.empty(len(order), np.int32)
+    pair[order] = np.cumsum(new, dtype=np.int32) - 1
+    context_of = (np.cumsum(new_c, dtype=np.int32) - 1)[new]  # of each distinct pair
     contexts, words = sc[new_c], sw[new]
+    del order, sc, sw, ctx, word, new, new_c
     start = np.cumsum(runs) - runs
     trained = np.add.reduceat((~docs & 1).astype(np.int64), start)
-    c = np.bincount(pair, trained, int(new.sum())).astype(np.int64)
+    c = np.bincount(pair, trained, len(words)).astype(np.int64)
     total = np.bincount(context_of, c, len(contexts)).astype(np.int64)
     small = np.bincount(context_of, (c > 0) & (c <= K), len(contexts)) > 0
     divisor = total + ~small
     open_context = np.bincount(context_of, (c == 0), len(contexts)) > 0
     # Sums for each document of each block.
     at = np.repeat(pair, runs)
-    c_at, ctx_at = c[at], context_of[at]
+    c_at, ctx_at = c[at].astype(np.int32), context_of[at]
     base = np.where(contexts == START, 0.0, np.log10(total + 1.0))
     known = (contexts != START) & (total > 0)
     with np.errstate(divide="ignore"):
@@ -168,7 +181,7 @@ def gathered(docs: DataFrame, held: Column) -> DataFrame:
     rows = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, batch in enumerate(batches):
+        for i, batch in enumerate(slices(batches)):
             held = np.asarray(batch["held"].to_numpy(zero_copy_only=False), bool)
             out, n = block_rows(batch["text"], held, buckets)
             # A block's number follows its content and place, so that a task run again gives it again.
