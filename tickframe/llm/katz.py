@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_shuffles, written
+from .common import arrow_rows, release_shuffles, written
 from .simhash import words_of, xxh64
 
 K = 5
@@ -43,6 +43,8 @@ K = 5
 LEAST_BUCKETS, BUCKET_BYTES = 64, 16 << 20
 #: Bytes of text in a block at most, but for a text that alone is longer: bounds what a task holds.
 BLOCK_BYTES = 16 << 20
+#: Texts that Spark hands over at a time.
+BATCH_ROWS = 1000
 START, END = 1, 2  # in place of hashes
 
 
@@ -111,12 +113,18 @@ def block_rows(texts: pa.Array, held: np.ndarray, buckets: int) -> tuple[list[tu
     return out, n + 1
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches cut into pieces of about BLOCK_BYTES of text."""
+def regrouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches put together until they hold BLOCK_BYTES of text."""
+    held, size = [], 0
     for batch in batches:
-        part = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch["text"]), 0)).astype(np.int64)) // BLOCK_BYTES
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
-        yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
+        held.append(batch)
+        size += batch["text"].nbytes
+        if size >= BLOCK_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+            pa.default_memory_pool().release_unused()
+    if held and (last := pa.Table.from_batches(held).combine_chunks()).num_rows:
+        yield last
 
 
 TABLE = "kind string, bucket int, block long, data binary"
@@ -181,7 +189,8 @@ def gathered(docs: DataFrame, held: Column) -> DataFrame:
     rows = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, batch in enumerate(slices(batches)):
+        for i, table in enumerate(regrouped(batches)):
+            batch = table.to_batches()[0]
             held = np.asarray(batch["held"].to_numpy(zero_copy_only=False), bool)
             out, n = block_rows(batch["text"], held, buckets)
             # A block's number follows its content and place, so that a task run again gives it again.
@@ -203,7 +212,10 @@ def gathered(docs: DataFrame, held: Column) -> DataFrame:
         return pa.table([pa.array([x[0] for x in made]), pa.array([b] * len(made), pa.int32()), pa.array([x[1] for x in made], pa.int64()), pa.array([x[2] for x in made], pa.binary())], ["kind", "bucket", "block", "data"])
 
     packed = rows.mapInArrow(blocks, "bucket int, block long, data binary").repartition(min(buckets, 4096), "bucket")
-    model = written(packed.groupBy("bucket").applyInArrow(buckets_of, TABLE), "katz-model", ("kind",))
+    packed = packed.groupBy("bucket").applyInArrow(buckets_of, TABLE)
+    with arrow_rows(spark, BATCH_ROWS):
+        model = written(packed, "katz-model", ("kind",))
+    del packed, rows, docs
     release_shuffles(spark)
     return model
 
@@ -297,6 +309,7 @@ def score_documents(docs: DataFrame, held: Column) -> DataFrame:
     seen_p = _rows(model, "types", "h long, w long", asked_pairs).join(words_p, "w").groupBy("h").agg(F.sum("p").alias("p_seen"))
     alpha = _rows(model, "types", "h long, rest double", left_over).join(seen_p, "h").select("h", (F.col("rest") / (1 - F.col("p_seen"))).alias("alpha"))
     alpha = written(alpha, "katz-alpha")
+    del seen_p
     release_shuffles(model.sparkSession)
 
     def open_pairs(block, data):
