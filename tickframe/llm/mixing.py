@@ -93,7 +93,7 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
         low = F.coalesce(F.col("edge") * span, (F.col("b") + 1) * span, F.col("low"))
         plan = plan.withColumns({"left": F.col("left") - F.coalesce("used", F.lit(0)), "low": low}).drop("b", "used", "edge")
         plan = written(plan, f"mix-level{level}")
-    return plan.select("source", "copies", F.col("low").alias("below"), "source_size", "target")
+    return plan.select("source", "copies", F.when(F.col("target") > 0, F.col("low")).otherwise(0).alias("below"), "source_size", "target")
 
 
 def with_plan(rows: DataFrame, plan: DataFrame, left: str, right: str) -> DataFrame:
