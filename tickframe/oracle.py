@@ -255,3 +255,6 @@ SELECT * EXCLUDE (pb, ps), {q('pb', 'pct_bull')}, {q('ps', 'pct_bear')}, CASE WH
     "tape": f"WITH {DAILY}, l AS (SELECT symbol, close, coalesce(lag(close) OVER ({W}), close) AS pc, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS r FROM bars) SELECT symbol, s_name AS label, {q('close', 'last')}, {q('CASE WHEN pc <> 0 THEN (close / pc - 1) * 100 ELSE 0.0 END', 'chg_pct')} FROM l JOIN supplier ON s_suppkey::VARCHAR = symbol WHERE r = 1",
     "short_history": "WITH u AS (SELECT DISTINCT user_id::VARCHAR AS symbol, date_trunc('hour', ts) AS ts FROM events), n AS (SELECT symbol, count(*) AS n FROM u GROUP BY symbol HAVING count(*) < 118) SELECT symbol, 'only ' || n || ' bars, 118 are needed' AS error FROM n",
 }
+
+#: Scripts say the same as the native queries.
+ORACLE |= {f"script_{k}": ORACLE[k] for k in ("sma", "stdev_pop", "rolling_sum", "rolling_median", "highest_lowest", "change", "percentrank", "ema", "rma", "rsi", "atr", "crosses")}

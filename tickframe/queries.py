@@ -16,6 +16,7 @@ from .plans import scan as sc
 from .plans.flow import Flow, flow
 from .plans.momentum import Momentum, momentum
 from .plans.regime import Regime, regime
+from .script.engine import with_script
 from .sources.bars import daily_from_lineitem, from_events
 from .timeframe import Timeframe, bucket
 
@@ -115,6 +116,46 @@ def user_history(spark, sf_dir) -> DataFrame:
     return sc.short_history(e, 118)
 
 
+#: Scripts that say the same as native queries, and so share their SQL.
+SCRIPTS = {
+    "sma": 'plot(ta.sma(close, 8), "sma8")\nplot(ta.sma(close, 20), "sma20")',
+    "stdev_pop": 'plot(ta.stdev(close, 20), "sd20")',
+    "rolling_sum": 'plot(math.sum(close, 13), "sum13")',
+    "rolling_median": 'plot(ta.median(close, 9), "med9")',
+    "highest_lowest": 'plot(ta.highest(close, 10), "hi10")\nplot(ta.lowest(close, 10), "lo10")',
+    "change": 'plot(ta.change(close), "chg1")\nplot(close - close[10], "mom10")',
+    "percentrank": 'plot(ta.percentrank(close, 50), "pr")',
+    "ema": 'plot(ta.ema(close, 12), "ema12")',
+    "rma": 'plot(ta.rma(close, 14), "rma14")',
+    "rsi": 'plot(ta.rsi(close, 14), "rsi14")',
+    "atr": 'plot(ta.atr(14), "atr14")',
+    "crosses": """
+f = ta.sma(close, 8)
+s = ta.sma(close, 20)
+up = ta.crossover(f, s)
+above = f > s ? true : false
+var float last = na
+if up
+    last := close
+plotshape(up, "up")
+plotshape(ta.crossunder(f, s), "down")
+plot(ta.barssince(up), "since")
+plotshape(above and not above[1] or above and barstate.isfirst, "edge")
+plot(last, "last_up")
+""",
+}
+
+
+def _script(name: str):
+    def query(spark, sf_dir) -> DataFrame:
+        out = with_script(daily(spark, sf_dir), SCRIPTS[name], prefix="x")
+        added = [c for c in out.columns if c.startswith("x_")]
+        out = quantised(out.select(*KEYS, *(F.col(c).alias(c[2:]) for c in added)))
+        return out.withColumn("since", F.col("since").cast("int")) if "since" in out.columns else out
+
+    return query
+
+
 QUERIES = {
     "bars_daily": lambda s, d: quantised(daily(s, d)),
     "bars_hourly": lambda s, d: quantised(hourly(s, d)),
@@ -151,4 +192,4 @@ QUERIES = {
     "starred_lookup": starred,
     "tape": tape,
     "short_history": user_history,
-}
+} | {f"script_{name}": _script(name) for name in SCRIPTS}
