@@ -11,6 +11,10 @@ Links: in a small group of equal variants all pairs are verified, and a pair is
 search takes each fingerprint out when it is first reached, so that the group gives a spanning forest, at most one link for each member, and
 a dense cluster is not compared pair by pair. No link between fingerprints is lost as far as connection goes.
 
+Wider fingerprints: `words` hash words of 64 bits each, cut alike, so that some segment differs in at most one bit if 6 * words - 1 bits or fewer
+differ in all. Deduplication takes two words over five-word shingles, meets what shares a variant, keeps pairs within NEAR_BITS of 128, and then
+holds the texts of each pair against each other: a link needs a Jaccard similarity of 0.8 or more over their sets of shingles.
+
 Components: alternating large-star and small-star steps over the links, written to the shared folder after each round.
 
 Defined cases: null and empty texts, and texts without words, have fingerprint zero and are linked like any other; texts of fewer words than a
@@ -29,11 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_struct, release_shuffles, written
+from .common import arrow_rows, as_struct, release_shuffles, written
 
 SHINGLE = 4
 MOST_BITS = 4
 SEGMENTS = ((0, 22), (22, 43), (43, 64))
+#: Deduplication: words of a shingle, hash words of a fingerprint, its candidates' most differing bits, least similarity of a link.
+NEAR_SHINGLE = 5
+NEAR_WORDS = 2
+NEAR_BITS = 24
+SIMILARITY = 0.8
 #: Groups of equal variants up to this size are compared pair by pair.
 SMALL = 32
 #: Bytes of text that are shingled at once; longer texts go alone.
@@ -122,69 +131,106 @@ def shingle_hashes(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return xxh64(data, begins[first], ends[last] - begins[first]), made
 
 
-def _slice_fingerprints(texts: pa.Array, size: int) -> np.ndarray:
+def _hash_word(hashes: np.ndarray, word: int) -> np.ndarray:
+    """The word-th 64 bits of each shingle's hash: the XXH64 itself, then its mixes."""
+    if not word:
+        return hashes
+    with np.errstate(over="ignore"):
+        h = hashes + _U(word) * _P1
+        h = (h ^ (h >> _U(33))) * _P2
+        h = (h ^ (h >> _U(29))) * _P3
+        return h ^ (h >> _U(32))
+
+
+def _slice_fingerprints(texts: pa.Array, size: int, words: int) -> np.ndarray:
     hashes, made = shingle_hashes(texts, size)
-    out = np.zeros((len(made), 64), np.uint8)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    at = 0
-    for i, m in enumerate(made.tolist()):
-        if m:
-            out[i] = 2 * bits[at : at + m].sum(axis=0, dtype=np.int32) > m
-            at += m
-    return np.packbits(out, axis=1, bitorder="little").view(np.uint64).ravel()
-
-
-def fingerprints(texts: pa.Array, size: int = SHINGLE) -> np.ndarray:
-    """uint64 for each text."""
+    out = np.zeros((len(made), words, 64), np.uint8)
+    for w in range(words):
+        bits = np.unpackbits(_hash_word(hashes, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        at = 0
+        for i, m in enumerate(made.tolist()):
+            if m:
+                out[i, w] = 2 * bits[at : at + m].sum(axis=0, dtype=np.int32) > m
+                at += m
+    return np.packbits(out, axis=2, bitorder="little").view(np.uint64).reshape(-1, words)
+
+
+def fingerprints(texts: pa.Array, size: int = SHINGLE, words: int = 1) -> np.ndarray:
+    """uint64 for each text; with more words than one, so many for each text."""
     length = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
     part = np.cumsum(length) // SLICE
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(texts)]
-    return np.concatenate([np.zeros(0, np.uint64), *(_slice_fingerprints(texts.slice(a, b - a), size) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)])
+    out = np.concatenate([np.zeros((0, words), np.uint64), *(_slice_fingerprints(texts.slice(a, b - a), size, words) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)])
+    return out.ravel() if words == 1 else out
+
+
+def _column(fp: np.ndarray, words: int) -> pa.Array:
+    """Fingerprints as a column: a signed long, or the bytes of all words."""
+    if words == 1:
+        return pa.array(fp.ravel().view(np.int64))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * words), len(fp), [None, pa.py_buffer(np.ascontiguousarray(fp))]).cast(pa.binary())
 
 
-def with_fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """keep and fp, the fingerprint as a signed long."""
+def _values(column: pa.Array, words: int) -> np.ndarray:
+    """The inverse of _column, always in two dimensions."""
+    if words == 1:
+        return np.asarray(column).view(np.uint64).reshape(-1, 1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words)
+
+
+def _bits(diff: np.ndarray) -> np.ndarray:
+    """Bits set in each row."""
+    n = np.bitwise_count(diff)
+    return n if n.ndim == 1 else n.sum(axis=1)
+
+
+def with_fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", size: int = SHINGLE, words: int = 1) -> DataFrame:
+    """keep and fp, the fingerprint as a signed long (more words than one: as bytes)."""
     rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = rows.drop("__text").schema.add("fp", "long")
+    schema = rows.drop("__text").schema.add("fp", "long" if words == 1 else "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = fingerprints(batch["__text"], size).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keep), pa.array(fp)], [*keep, "fp"])
+            fp = _column(fingerprints(batch["__text"], size, words), words)
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keep), fp], [*keep, "fp"])
 
     return rows.mapInArrow(run, schema)
 
 
 def variants(fp: np.ndarray) -> np.ndarray:
-    """(len(fp), 64): for each bit its number and the bits of its segment without it."""
-    out = np.empty((len(fp), 64), np.int64)
-    for low, high in SEGMENTS:
-        mask = (1 << (high - low)) - 1
-        segment = (fp >> np.uint64(low)) & np.uint64(mask)
-        for p in range(low, high):
-            out[:, p] = ((segment & np.uint64(mask ^ (1 << (p - low)))) | np.uint64(p << 22)).astype(np.int64)
+    """(len(fp), bits): for each bit its number and the bits of its segment without it."""
+    each = fp if fp.ndim == 2 else fp[:, None]
+    out = np.empty((len(fp), 64 * each.shape[1]), np.int64)
+    for w in range(each.shape[1]):
+        for low, high in SEGMENTS:
+            mask = (1 << (high - low)) - 1
+            segment = (each[:, w] >> _U(low)) & _U(mask)
+            for p in range(low, high):
+                out[:, 64 * w + p] = ((segment & _U(mask ^ (1 << (p - low)))) | _U((64 * w + p) << 22)).astype(np.int64)
     return out
 
 
 def _first_variant(diff: np.ndarray) -> np.ndarray:
-    """For XORs of at most MOST_BITS bits: the number of the first bit whose variant both share."""
+    """For XORs of fingerprints: the number of the first bit whose variant both share (-1: none)."""
+    each = diff if diff.ndim == 2 else diff[:, None]
     out = np.full(len(diff), -1)
-    for low, high in reversed(SEGMENTS):
-        d = (diff >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
-        n = np.bitwise_count(d)
-        bit = low + np.bitwise_count(d - np.uint64(1) & ~d).astype(int)
-        out = np.where(n == 0, low, np.where(n == 1, bit, out))
+    for w in reversed(range(each.shape[1])):
+        for low, high in reversed(SEGMENTS):
+            d = (each[:, w] >> _U(low)) & _U((1 << (high - low)) - 1)
+            n = np.bitwise_count(d)
+            bit = 64 * w + low + np.bitwise_count(d - _U(1) & ~d).astype(int)
+            out = np.where(n == 0, 64 * w + low, np.where(n == 1, bit, out))
     return out
 
 
-def spanning_links(fp: np.ndarray, most: int = MOST_BITS) -> Iterator[tuple[np.uint64, np.ndarray]]:
+def spanning_links(fp: np.ndarray, most: int = MOST_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(a, those first reached from a): a spanning forest of the links among fp."""
     left = fp
     while len(left):
         frontier, left = [left[0]], left[1:]
         while frontier and len(left):
             a = frontier.pop()
-            near = np.bitwise_count(left ^ a) <= most
+            near = _bits(left ^ a) <= most
             if near.any():
                 found, left = left[near], left[~near]
                 yield a, found
@@ -203,37 +249,39 @@ def _group_links(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray
         if not len(i):
             break
         diff = fp[i] ^ fp[i + step]
-        ok = np.bitwise_count(diff) <= most
+        ok = _bits(diff) <= most
         i, diff = i[ok], diff[ok]
         ok = _first_variant(diff) == key[i] >> 22
         a.append(fp[i[ok]])
         b.append(fp[i[ok] + step])
     for k in np.flatnonzero(size > SMALL):
         for x, found in spanning_links(fp[start[k] : start[k] + size[k]], most):
-            a.append(np.full(len(found), x))
+            a.append(np.repeat(x[None], len(found), axis=0))
             b.append(found)
-    none = np.zeros(0, np.uint64)
+    none = np.zeros((0, *fp.shape[1:]), np.uint64)
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def links(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """a, b: pairs of different fingerprints that connect all that differ in at most most bits. distinct: fp, no value twice."""
+def links(distinct: DataFrame, most: int = MOST_BITS, words: int = 1) -> DataFrame:
+    """a, b: pairs of different fingerprints that connect all that differ in at most most bits and share a variant. distinct: fp, no value twice."""
+    names = [f"fp{w}" for w in range(words)]
+    node = "long" if words == 1 else "binary"
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.asarray(batch["fp"])
+            fp = _values(batch["fp"], words)
             for at in range(0, len(fp), 4096):
                 part = fp[at : at + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(variants(part.view(np.uint64)).ravel()), pa.array(np.repeat(part, 64))], ["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(variants(part).ravel()), *(pa.array(np.repeat(part[:, w].view(np.int64), 64 * words)) for w in range(words))], ["key", *names])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(key, fp):
-            a, b = _group_links(key, fp.view(np.uint64), most)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            a, b = _group_links(key, fp, most)
+            return pa.RecordBatch.from_arrays([_column(a, words), _column(b, words)], ["a", "b"])
 
         held: list[tuple[np.ndarray, np.ndarray]] = []  # the last group so far, which may go on
         for batch in batches:
-            key, fp = np.asarray(batch["key"]), np.asarray(batch["fp"])
+            key, fp = np.asarray(batch["key"]), np.stack([np.asarray(batch[x]).view(np.uint64) for x in names], axis=1)
             if not len(key):
                 continue
             if held and held[0][0][0] == key[-1]:
@@ -246,7 +294,38 @@ def links(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
         if held:
             yield linked(np.concatenate([p[0] for p in held]), np.concatenate([p[1] for p in held]))
 
-    return distinct.mapInArrow(index, "key long, fp long").repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long")
+    indexed = distinct.mapInArrow(index, "key long, " + ", ".join(f"{x} long" for x in names))
+    return indexed.repartition("key").sortWithinPartitions("key", *names).mapInArrow(join, f"a {node}, b {node}")
+
+
+def jaccard(left: pa.Array, right: pa.Array, size: int = NEAR_SHINGLE) -> np.ndarray:
+    """Similarity of the sets of shingles of each pair of texts, 0 where both have none."""
+    length = np.asarray(pc.fill_null(pc.binary_length(left), 0)).astype(np.int64) + np.asarray(pc.fill_null(pc.binary_length(right), 0))
+    part = np.cumsum(length) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(left)]
+    out = np.zeros(len(left))
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        n = high - low
+        hashes, made = shingle_hashes(pa.concat_arrays([left.slice(low, n), right.slice(low, n)]), size)
+        own = np.split(hashes, np.cumsum(made)[:-1])
+        for i in range(n):
+            a, b = np.unique(own[i]), np.unique(own[n + i])
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out[low + i] = both / max(len(a) + len(b) - both, 1)
+    return out
+
+
+def similar(found: DataFrame, texts: DataFrame, least: float = SIMILARITY, size: int = NEAR_SHINGLE) -> DataFrame:
+    """Those links of found(a, b) whose texts(fp, t), one for each fingerprint, are as similar as least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = jaccard(batch["ta"], batch["tb"], size) >= least
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    left = texts.select(F.col("fp").alias("a"), F.col("t").alias("ta"))
+    right = texts.select(F.col("fp").alias("b"), F.col("t").alias("tb"))
+    return found.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, found.select("a", "b").schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -273,20 +352,21 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def grouped(rows: DataFrame, most: int = MOST_BITS, with_root: bool = False) -> DataFrame:
-    """fp, component_id (or root, the component's least fingerprint) for each distinct fingerprint of rows(doc_id, fp): component_id is the least doc_id of all documents connected to it."""
+def grouped(rows: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """fp, component_id for each distinct fingerprint of rows(doc_id, fp): component_id is the least doc_id of all documents connected to it."""
     per = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
     found = written(links(per.select("fp"), most), "simhash-links")
     release_shuffles(rows.sparkSession)
-    roots = components(found)
-    per = per.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    per = written(per, "simhash-roots")
-    if with_root:
-        return per.select("fp", "root")
+    per = written(_with_roots(per, found), "simhash-roots")
     least = per.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return written(per.join(least, "root").select("fp", "component_id"), "simhash-components")
 
 
+def _with_roots(per: DataFrame, found: DataFrame) -> DataFrame:
+    """per(fp, ...) and root, the least fingerprint of the component that the links found(a, b) make."""
+    return per.join(components(found), F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def components_of_documents(docs: DataFrame, most: int = MOST_BITS, size: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id of every document."""
     rows = written(with_fingerprints(docs, size=size), "simhash-rows")
@@ -299,17 +379,27 @@ def query(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, most: int = MOST_BITS, size: int = SHINGLE) -> DataFrame:
+def deduplicate(docs: DataFrame, most: int = NEAR_BITS, size: int = NEAR_SHINGLE, words: int = NEAR_WORDS, least: float = SIMILARITY) -> DataFrame:
     """One document of each component, the one with the least id (null last, then the least hash of its text), with the columns it came with.
 
-    Of rows that repeat an id and text one stays. Texts cross one exchange, by a key of their own that no hot group shares.
+    Fingerprints of `words` hash words give the candidates; a link needs texts as similar as `least` over shingles of `size` words. Texts of equal
+    fingerprints are one component. Of rows that repeat an id and text one stays. Whole texts cross an exchange twice, by a key of their own
+    that no hot group shares: once to those that candidate links name, once at the end.
     """
     null = F.lit("\x01")
     key = F.md5(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), null), F.coalesce(F.md5(F.col("text")), null)))
     keyed = docs.select(as_struct(docs), key.alias("k"), F.col("doc_id").alias("id"), F.col("text").alias("t"))
-    rows = written(with_fingerprints(keyed, ("k", "id"), "t", size), "dedup-rows")
-    roots = grouped(rows.select("fp", F.col("id").alias("doc_id")), most, with_root=True)
-    joined = rows.join(roots.select("fp", "root"), "fp", "left")
+    rows = written(with_fingerprints(keyed, ("k", "id"), "t", size, words), "dedup-rows")
+    per = written(rows.groupBy("fp").agg(F.min("k").alias("one")), "dedup-distinct")
+    found = written(links(per.select("fp"), most, words).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "dedup-candidates")
+    release_shuffles(docs.sparkSession)
+    named = per.join(found.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi")
+    texts = written(keyed.select("k", "t").join(named, F.col("k") == F.col("one")).groupBy("fp").agg(F.first("t").alias("t")), "dedup-texts")
+    with arrow_rows(docs.sparkSession, 256):
+        found = written(similar(found, texts, least, size), "dedup-links")
+    release_shuffles(docs.sparkSession)
+    roots = written(_with_roots(per, found), "dedup-roots")
+    joined = rows.join(roots.select("fp", "root"), "fp")
     best = joined.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("best"))
     kept = best.select(F.col("best.k").alias("k"))
     return keyed.select("__row", "k").join(kept, "k", "left_semi").groupBy("k").agg(F.first("__row").alias("__row")).select(*(F.col("__row").getField(c).alias(c) for c in docs.columns))
