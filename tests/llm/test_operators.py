@@ -321,6 +321,35 @@ def test_deduplicate(spark):
 PAGE = '<html><head><title>T</title><script>a("</p>")</script></head><body><nav><a href="/">Home</a></nav><div class="site-header">Top</div><div>Shared note</div>{}<footer>&copy; x</footer></body></html>'
 
 
+def shingles(text):
+    words = (text or "").split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def test_deduplicate_against_all_pairs(spark):
+    """Only links of a similarity of 0.8 or more unite documents, and close copies are all found."""
+    rng, rows = random.Random(11), []
+    for i in range(40):
+        words = [f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(210, 400))]
+        rows.append((10 * i, " ".join(words), None))
+        for k, edits in enumerate((1, 3, 8, 20)):
+            own = list(words)
+            for at in rng.sample(range(len(own)), edits):
+                own[at] = f"x{rng.randint(0, 3000)}"
+            rows.append((10 * i + k + 1, " ".join(own), None))
+    sets = {i: shingles(t) for i, t, _ in rows}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and a // 10 == b // 10}
+    root = {i: i for i in sets}
+    for (a, b), j in sorted(alike.items()):
+        if j >= 0.8:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    kept = {r.doc_id for r in simhash.deduplicate(docs_of(spark, rows)).collect()}
+    assert set(root.values()) <= kept  # the least of each true component stays
+    close = {b for (_, b), j in alike.items() if j >= 0.95}
+    assert len(close) >= 40 and not close & kept
+
+
 def test_html_lines():
     page = PAGE.format('<article><header><h1>A&amp;B</h1></header><p>One\n <b>two</b><br>three<p>Four&nbsp;five<div class="comments"><p>Nice!</p></div></article><aside>Side</aside>')
     assert html.main_text(html.lines_of(page), None) == "A&B\nOne two three\nFour five"
