@@ -350,6 +350,32 @@ def test_deduplicate_against_all_pairs(spark):
     assert len(close) >= 40 and not close & kept
 
 
+def test_deduplicate_template_family(spark):
+    """Texts of one template are not alike enough to be linked, but each has a close copy: no link gets lost in a large group."""
+    rng, rows = random.Random(12), []
+    template = [f"w{rng.randint(0, 3000)}" for _ in range(220)]
+    for i in range(400):
+        words = list(template)
+        for at in rng.sample(range(len(words)), 4):
+            words[at] = f"x{rng.randint(0, 30000)}"
+        own = list(words)
+        own[rng.randrange(len(own))] = f"y{rng.randint(0, 30000)}"
+        rows += [(2 * i, " ".join(words), None), (2 * i + 1, " ".join(own), None)]
+    place: dict = {}
+    own = [[place.setdefault(x, len(place)) for x in shingles(t)] for _, t, _ in rows]
+    has = np.zeros((len(rows), len(place)), np.float32)
+    for i, x in enumerate(own):
+        has[i, x] = 1
+    both, n = has @ has.T, has.sum(axis=1)
+    alike = both / (n[:, None] + n - both) >= 0.8
+    root = np.arange(len(rows))
+    while (lower := np.where(alike, root, len(rows)).min(axis=1)).tolist() != root.tolist():
+        root = lower
+    least = set(root.tolist())
+    kept = {r.doc_id for r in simhash.deduplicate(docs_of(spark, rows)).collect()}
+    assert len(least) > 300 and least <= kept and len(kept - least) <= 0.05 * len(least)
+
+
 def test_html_lines():
     page = PAGE.format('<article><header><h1>A&amp;B</h1></header><p>One\n <b>two</b><br>three<p>Four&nbsp;five<div class="comments"><p>Nice!</p></div></article><aside>Side</aside>')
     assert html.main_text(html.lines_of(page), None) == "A&B\nOne two three\nFour five"

@@ -12,8 +12,10 @@ search takes each fingerprint out when it is first reached, so that the group gi
 a dense cluster is not compared pair by pair. No link between fingerprints is lost as far as connection goes.
 
 Wider fingerprints: `words` hash words of 64 bits each, cut alike, so that some segment differs in at most one bit if 6 * words - 1 bits or fewer
-differ in all. Deduplication takes two words over five-word shingles, meets what shares a variant, keeps pairs within NEAR_BITS of 128, and then
-holds the texts of each pair against each other: a link needs a Jaccard similarity of 0.8 or more over their sets of shingles.
+differ in all. Deduplication takes NEAR_WORDS words over five-word shingles, meets what shares a variant, one word after the other, keeps pairs
+within NEAR_BITS of the 128 bits of that word and the next, and then holds the texts of each pair against each other: a link needs a Jaccard
+similarity of 0.8 or more over their sets of shingles. Bits don't decide there, so a large group's forest is a start only: members that verified
+links have not united are met again, by forests from other members as long as those give links, and then in all pairs across components.
 
 Components: alternating large-star and small-star steps over the links, written to the shared folder after each round.
 
@@ -25,6 +27,7 @@ other); an empty table gives an empty result; other columns stay where documents
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -379,6 +382,182 @@ def query(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches, cut so that no group of equal values of the first one is split."""
+    held: list[list[np.ndarray]] = []  # the last group so far, which may go on
+    for batch in batches:
+        columns = [np.asarray(batch[x]) for x in names]
+        if not len(columns[0]):
+            continue
+        if held and held[0][0][0] == columns[0][-1]:
+            held.append(columns)
+            continue
+        last = int(np.searchsorted(columns[0], columns[0][-1]))
+        parts = [*held, [c[:last] for c in columns]]
+        if sum(len(p[0]) for p in parts):
+            yield [np.concatenate(c) for c in zip(*parts, strict=True)]
+        held = [[c[last:] for c in columns]]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _forest(fp: np.ndarray, root: np.ndarray, most: int, seed: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, places) of the links between different roots in a spanning forest of the pairs within most bits, searched in an order of the seed."""
+    left = np.random.default_rng(seed).permutation(len(fp))
+    while len(left):
+        frontier, left = left[:1], left[1:]
+        while len(frontier) and len(left):
+            if len(left) < len(frontier):  # whichever is fewer goes one by one
+                first = np.array([next(iter(np.flatnonzero(_bits(fp[frontier] ^ fp[y]) <= most)), -1) for y in left])
+                a, found, left, frontier = frontier[first[first >= 0]], left[first >= 0], left[first < 0], left[:0]
+            else:
+                near = _bits(fp[left] ^ fp[frontier[-1]]) <= most
+                a, found, left, frontier = np.full(near.sum(), frontier[-1]), left[near], left[~near], frontier[:-1]
+            other = root[a] != root[found]
+            yield a[other], found[other]
+            frontier = np.concatenate([frontier, found])
+
+
+def _across(fp: np.ndarray, root: np.ndarray, most: int, variant: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, places) of all pairs of different roots within most bits whose first common variant in their first word is this one."""
+    _, at, count = np.unique(root, return_inverse=True, return_counts=True)
+    order = np.lexsort((at, count[at]))
+    fp, at = fp[order], at[order]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    end = np.repeat(np.append(first[1:], len(at)), np.diff(np.append(first, len(at))))
+    for i in range(first[-1]):  # the largest component comes last and is not met with itself
+        diff = fp[end[i] :] ^ fp[i]
+        near = np.flatnonzero(_bits(diff) <= most)
+        near = near[_first_variant(diff[near, 0]) == variant]
+        yield np.full(len(near), order[i]), order[end[i] + near]
+
+
+def _put_together(made: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Columns as batches of some 32,768 rows; -1 becomes null."""
+    held, n = [], 0
+    for columns in made:
+        held.append(columns)
+        n += len(columns[0])
+        if n >= 1 << 15 or len(held) >= 1 << 15:
+            yield pa.RecordBatch.from_arrays([pa.array(c, mask=c < 0) for c in map(np.concatenate, zip(*held, strict=True))], names)
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, mask=c < 0) for c in map(np.concatenate, zip(*held, strict=True))], names)
+
+
+def _two_words(fp: np.ndarray, word: int) -> np.ndarray:
+    """A word of fingerprints and the next one (none if there is but one)."""
+    own = fp[:, word]
+    return np.stack([own, fp[:, (word + 1) % fp.shape[1]] if fp.shape[1] > 1 else np.zeros_like(own)], axis=1)
+
+
+def met(nodes: DataFrame, word: int, words: int, most: int) -> DataFrame:
+    """What shares a variant of a word of nodes(node, fp). key null: a candidate pair a, b. b null: a is one of the large group of key."""
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, node = _two_words(_values(batch["fp"], words), word), np.asarray(batch["node"])
+            for at in range(0, len(fp), 2048):
+                part = fp[at : at + 2048]
+                columns = (variants(part[:, 0]).ravel(), *(np.repeat(c, 64) for c in (node[at : at + 2048], *part.view(np.int64).T)))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "own", "next"])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        for key, node, *both in _whole_groups(batches, ["key", "node", "own", "next"]):
+            fp = np.stack(both, axis=1).view(np.uint64)
+            start = np.flatnonzero(np.diff(key, prepend=-1))
+            size = np.diff(np.append(start, len(key)))
+            small = np.repeat(size <= SMALL, size)
+            for step in range(1, min(SMALL, int(size.max()))):
+                i = np.flatnonzero((key[step:] == key[:-step]) & small[step:])
+                if not len(i):
+                    break
+                diff = fp[i] ^ fp[i + step]
+                ok = _bits(diff) <= most
+                i, diff = i[ok], diff[ok]
+                i = i[_first_variant(diff[:, 0]) == key[i] >> 22]
+                yield np.full(len(i), -1), node[i], node[i + step]
+            for k in np.flatnonzero(size > SMALL):
+                own = slice(start[k], start[k] + size[k])
+                yield key[own] | word << 28, node[own], np.full(size[k], -1)
+                for a, b in _forest(fp[own], node[own], most, (0, int(key[start[k]]))):
+                    yield np.full(len(a), -1), node[own][a], node[own][b]
+
+    indexed = nodes.select("node", "fp").mapInArrow(index, "key long, node long, own long, next long")
+    return indexed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda x: _put_together(found(x), ["key", "a", "b"]), "key long, a long, b long")
+
+
+def met_again(members: DataFrame, nodes: DataFrame, words: int, most: int, turn: int | None) -> DataFrame:
+    """Pairs a, b of different roots in the large groups members(key, node): those of a forest in the order of the turn, or all. nodes: node, fp, root."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        for key, node, root, *fps in _whole_groups(batches, ["key", "node", "root", *names]):
+            fps = np.stack(fps, axis=1).view(np.uint64)
+            cuts = [*np.flatnonzero(np.diff(key, prepend=-1)), len(key)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                k, own = int(key[low]), slice(low, high)
+                for a, b in _across(fps[own], root[own], most, k >> 22 & 63) if turn is None else _forest(fps[own], root[own], most, (turn, k)):
+                    yield node[own][a], node[own][b]
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, key = _values(batch["fp"], words), np.asarray(batch["key"])
+            word, each = key >> 28, np.arange(len(key))
+            both = fp[each, word], fp[each, (word + 1) % words] if words > 1 else np.zeros(len(key), np.uint64)
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["node"], batch["root"], *(pa.array(c.view(np.int64)) for c in both)], ["key", "node", "root", *names])
+
+    names = ["own", "next"]
+    rooted = members.join(nodes.select("node", "root"), "node")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("key")
+    rows = members.join(mixed, "key", "left_semi").join(nodes, "node").select("key", "node", "root", "fp")
+    rows = rows.mapInArrow(unpacked, "key long, node long, root long, own long, next long")
+    pairs = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda x: _put_together(found(x), ["a", "b"]), "a long, b long")
+    return _distinct_pairs(pairs)
+
+
+def _distinct_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def rooted_nodes(nodes: DataFrame, keyed: DataFrame, most: int, words: int, least: float, size: int) -> DataFrame:
+    """nodes(node, fp, one) and root, the least node of the component that links of texts as similar as least make. keyed: k, t; one: the k of a node's text."""
+    spark = nodes.sparkSession
+
+    def tested(found: DataFrame) -> DataFrame:
+        named = nodes.join(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+        texts = written(keyed.select("k", "t").join(named, F.col("k") == F.col("one")).groupBy("node").agg(F.first("t").alias("t")), "dedup-texts")
+        with arrow_rows(spark, 256):
+            out = written(similar(found, texts.withColumnRenamed("node", "fp"), least, size), "dedup-links")
+        release_shuffles(spark)
+        return out
+
+    def rooted() -> DataFrame:
+        return written(nodes.join(components(links).withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").withColumn("root", F.coalesce("root", "node")).drop("n"), "dedup-roots")
+
+    parts = []
+    for word in range(words):
+        parts.append(written(met(nodes, word, words, most), "dedup-met"))
+        release_shuffles(spark)
+    every = reduce(DataFrame.union, parts)
+    members = every.filter("b IS NULL").select("key", F.col("a").alias("node"))
+    links = tested(written(_distinct_pairs(every.filter("key IS NULL")), "dedup-candidates"))
+    out, turn = rooted(), None if members.isEmpty() else 1
+    while turn:
+        found = written(met_again(members, out, words, most, turn), "dedup-candidates")
+        n = found.count()
+        if not n:  # a forest has links between roots wherever there is such a pair
+            return out
+        more = tested(found)
+        pays = 4 * more.count() >= n
+        if not pays:  # the rest in all pairs
+            links = links.union(more)
+            out = rooted()
+            more = tested(written(met_again(members, out, words, most, None), "dedup-candidates"))
+        links = links.union(more)
+        out, turn = rooted(), turn + 1 if pays else None
+    return out
+
+
 def deduplicate(docs: DataFrame, most: int = NEAR_BITS, size: int = NEAR_SHINGLE, words: int = NEAR_WORDS, least: float = SIMILARITY) -> DataFrame:
     """One document of each component, the one with the least id (null last, then the least hash of its text), with the columns it came with.
 
@@ -390,15 +569,9 @@ def deduplicate(docs: DataFrame, most: int = NEAR_BITS, size: int = NEAR_SHINGLE
     key = F.md5(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), null), F.coalesce(F.md5(F.col("text")), null)))
     keyed = docs.select(as_struct(docs), key.alias("k"), F.col("doc_id").alias("id"), F.col("text").alias("t"))
     rows = written(with_fingerprints(keyed, ("k", "id"), "t", size, words), "dedup-rows")
-    per = written(rows.groupBy("fp").agg(F.min("k").alias("one")), "dedup-distinct")
-    found = written(links(per.select("fp"), most, words).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "dedup-candidates")
-    release_shuffles(docs.sparkSession)
-    named = per.join(found.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi")
-    texts = written(keyed.select("k", "t").join(named, F.col("k") == F.col("one")).groupBy("fp").agg(F.first("t").alias("t")), "dedup-texts")
-    with arrow_rows(docs.sparkSession, 256):
-        found = written(similar(found, texts, least, size), "dedup-links")
+    nodes = written(rows.groupBy("fp").agg(F.min("k").alias("one")).withColumn("node", F.monotonically_increasing_id()), "dedup-nodes")
     release_shuffles(docs.sparkSession)
-    roots = written(_with_roots(per, found), "dedup-roots")
+    roots = rooted_nodes(nodes, keyed, most, words, least, size)
     joined = rows.join(roots.select("fp", "root"), "fp")
     best = joined.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("best"))
     kept = best.select(F.col("best.k").alias("k"))
