@@ -376,6 +376,16 @@ def test_deduplicate_template_family(spark):
     assert len(least) > 300 and least <= kept and len(kept - least) <= 0.05 * len(least)
 
 
+def test_deduplicate_repeated_phrase(spark):
+    """A phrase repeated inside texts decides all bits of a fingerprint over shingles with repeats, but makes no texts alike."""
+    rng = random.Random(13)
+    one, two = (" ".join(f"{k}{rng.randint(0, 30000)}" for _ in range(300)) for k in "ab")
+    line = " page of the long report" * 90
+    rows = [(1, one + line, None), (2, two + line, None), (3, one + " -" * 400, None), (4, two + " -" * 400, None), (5, two + " -" * 500, None)]
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs_of(spark, [rows[2], rows[3], rows[4]])).collect()) == [3, 4]
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs_of(spark, rows)).collect()) == [1, 2]
+
+
 def test_html_lines():
     page = PAGE.format('<article><header><h1>A&amp;B</h1></header><p>One\n <b>two</b><br>three<p>Four&nbsp;five<div class="comments"><p>Nice!</p></div></article><aside>Side</aside>')
     assert html.main_text(html.lines_of(page), None) == "A&B\nOne two three\nFour five"

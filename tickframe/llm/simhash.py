@@ -11,6 +11,8 @@ Links: in a small group of equal variants all pairs are verified, and a pair is
 search takes each fingerprint out when it is first reached, so that the group gives a spanning forest, at most one link for each member, and
 a dense cluster is not compared pair by pair. No link between fingerprints is lost as far as connection goes.
 
+Deduplication: fingerprints are those of the set of shingles, which similarity is about too, and a node is a distinct set, known by its hash.
+
 Wider fingerprints: `words` hash words of 64 bits each, cut alike, so that some segment differs in at most one bit if 6 * words - 1 bits or fewer
 differ in all. Deduplication takes NEAR_WORDS words over five-word shingles, meets what shares a variant, one word after the other, keeps pairs
 within NEAR_BITS of the 128 bits of that word and the next, and then holds the texts of each pair against each other: a link needs a Jaccard
@@ -146,7 +148,10 @@ def _hash_word(hashes: np.ndarray, word: int) -> np.ndarray:
 
 
 def _slice_fingerprints(texts: pa.Array, size: int, words: int) -> np.ndarray:
-    hashes, made = shingle_hashes(texts, size)
+    return _majorities(*shingle_hashes(texts, size), words)
+
+
+def _majorities(hashes: np.ndarray, made: np.ndarray, words: int) -> np.ndarray:
     out = np.zeros((len(made), words, 64), np.uint8)
     for w in range(words):
         bits = np.unpackbits(_hash_word(hashes, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -167,6 +172,21 @@ def fingerprints(texts: pa.Array, size: int = SHINGLE, words: int = 1) -> np.nda
     return out.ravel() if words == 1 else out
 
 
+def set_fingerprints(texts: pa.Array, size: int, words: int) -> tuple[np.ndarray, list[bytes]]:
+    """(`words` uint64 for each text over its set of shingles, 128-bit hashes of the sets)."""
+    length = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+    part = np.cumsum(length) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(texts)]
+    out, digests = [np.zeros((0, words), np.uint64)], []
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        if high > low:
+            hashes, made = shingle_hashes(texts.slice(low, high - low), size)
+            sets = [np.unique(x) for x in np.split(hashes, np.cumsum(made)[:-1])]
+            digests += [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            out.append(_majorities(np.concatenate(sets), np.array([len(x) for x in sets]), words))
+    return np.concatenate(out), digests
+
+
 def _column(fp: np.ndarray, words: int) -> pa.Array:
     """Fingerprints as a column: a signed long, or the bytes of all words."""
     if words == 1:
@@ -200,6 +220,19 @@ def with_fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text
     return rows.mapInArrow(run, schema)
 
 
+def with_sets(docs: DataFrame, keep: tuple[str, ...], text: str, size: int, words: int) -> DataFrame:
+    """keep, fp (the fingerprint of the set of shingles) and set (the set's hash)."""
+    rows = docs.select(*keep, F.col(text).alias("__text"))
+    schema = rows.drop("__text").schema.add("fp", "long" if words == 1 else "binary").add("set", "binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, digests = set_fingerprints(batch["__text"], size, words)
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keep), _column(fp, words), pa.array(digests, pa.binary())], [*keep, "fp", "set"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def variants(fp: np.ndarray) -> np.ndarray:
     """(len(fp), bits): for each bit its number and the bits of its segment without it."""
     each = fp if fp.ndim == 2 else fp[:, None]
@@ -562,17 +595,17 @@ def deduplicate(docs: DataFrame, most: int = NEAR_BITS, size: int = NEAR_SHINGLE
     """One document of each component, the one with the least id (null last, then the least hash of its text), with the columns it came with.
 
     Fingerprints of `words` hash words give the candidates; a link needs texts as similar as `least` over shingles of `size` words. Texts of equal
-    fingerprints are one component. Of rows that repeat an id and text one stays. Whole texts cross an exchange twice, by a key of their own
+    sets of shingles are one component, texts of equal fingerprints are not unless they are alike. Of rows that repeat an id and text one stays. Whole texts cross an exchange twice, by a key of their own
     that no hot group shares: once to those that candidate links name, once at the end.
     """
     null = F.lit("\x01")
     key = F.md5(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), null), F.coalesce(F.md5(F.col("text")), null)))
     keyed = docs.select(as_struct(docs), key.alias("k"), F.col("doc_id").alias("id"), F.col("text").alias("t"))
-    rows = written(with_fingerprints(keyed, ("k", "id"), "t", size, words), "dedup-rows")
-    nodes = written(rows.groupBy("fp").agg(F.min("k").alias("one")).withColumn("node", F.monotonically_increasing_id()), "dedup-nodes")
+    rows = written(with_sets(keyed, ("k", "id"), "t", size, words), "dedup-rows")
+    nodes = written(rows.groupBy("set").agg(F.min("k").alias("one"), F.first("fp").alias("fp")).withColumn("node", F.monotonically_increasing_id()), "dedup-nodes")
     release_shuffles(docs.sparkSession)
     roots = rooted_nodes(nodes, keyed, most, words, least, size)
-    joined = rows.join(roots.select("fp", "root"), "fp")
+    joined = rows.join(roots.select("set", "root"), "set")
     best = joined.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("best"))
     kept = best.select(F.col("best.k").alias("k"))
     return keyed.select("__row", "k").join(kept, "k", "left_semi").groupBy("k").agg(F.first("__row").alias("__row")).select(*(F.col("__row").getField(c).alias(c) for c in docs.columns))
