@@ -386,6 +386,19 @@ def test_deduplicate_repeated_phrase(spark):
     assert sorted(r.doc_id for r in simhash.deduplicate(docs_of(spark, rows)).collect()) == [1, 2]
 
 
+def test_deduplicate_recall_near_the_threshold(spark):
+    """Of pairs at a similarity of 0.84, nine in ten are candidates."""
+    rng, rows = random.Random(14), []
+    for i in range(200):
+        words = [f"w{rng.randint(0, 30000)}" for _ in range(300)]
+        own = list(words)
+        for at in (30, 90, 150, 210, 270):
+            own[at] = f"x{rng.randint(0, 30000)}"
+        rows += [(2 * i, " ".join(words), None), (2 * i + 1, " ".join(own), None)]
+    kept = {r.doc_id for r in simhash.deduplicate(docs_of(spark, rows)).collect()}
+    assert {2 * i for i in range(200)} <= kept and len(kept) <= 200 + 20
+
+
 def test_html_lines():
     page = PAGE.format('<article><header><h1>A&amp;B</h1></header><p>One\n <b>two</b><br>three<p>Four&nbsp;five<div class="comments"><p>Nice!</p></div></article><aside>Side</aside>')
     assert html.main_text(html.lines_of(page), None) == "A&B\nOne two three\nFour five"

@@ -45,8 +45,8 @@ MOST_BITS = 4
 SEGMENTS = ((0, 22), (22, 43), (43, 64))
 #: Deduplication: words of a shingle, hash words of a fingerprint, its candidates' most differing bits, least similarity of a link.
 NEAR_SHINGLE = 5
-NEAR_WORDS = 2
-NEAR_BITS = 24
+NEAR_WORDS = 4
+NEAR_BITS = 40
 SIMILARITY = 0.8
 #: Groups of equal variants up to this size are compared pair by pair.
 SMALL = 32
