@@ -246,6 +246,16 @@ def test_katz(spark):
     assert all(r.score == 0 for r in katz.score_documents(docs_of(spark, rows), F.lit(True)).collect())
 
 
+def test_katz_equal_partitions(spark):
+    """Rows that two partitions both have count twice in training and are scored once each."""
+    one = docs_of(spark, [(i, t, None) for i, t in enumerate(texts(20, 8))]).coalesce(1)
+    twice = one.union(one)
+    assert twice.rdd.getNumPartitions() == 2
+    scored = lambda df: sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in katz.score_documents(df, F.col("doc_id") % 3 == 2).collect())
+    got = scored(twice)
+    assert got == scored(twice.coalesce(1)) and all(r[2] <= r[1] for r in got)
+
+
 def fingerprint(t):
     w = (t or "").encode().lower().split()
     hs = [xxhash.xxh64_intdigest(b" ".join(w[k : k + 4]), 42) for k in range(max(1, len(w) - 3))] if w else []
@@ -354,7 +364,7 @@ def test_deduplicate_template_family(spark):
     """Texts of one template are not alike enough to be linked, but each has a close copy: no link gets lost in a large group."""
     rng, rows = random.Random(12), []
     template = [f"w{rng.randint(0, 3000)}" for _ in range(220)]
-    for i in range(400):
+    for i in range(120):
         words = list(template)
         for at in rng.sample(range(len(words)), 4):
             words[at] = f"x{rng.randint(0, 30000)}"
@@ -373,7 +383,7 @@ def test_deduplicate_template_family(spark):
         root = lower
     least = set(root.tolist())
     kept = {r.doc_id for r in simhash.deduplicate(docs_of(spark, rows)).collect()}
-    assert len(least) > 300 and least <= kept and len(kept - least) <= 0.05 * len(least)
+    assert len(least) > 80 and least <= kept and len(kept - least) <= 0.05 * len(least)
 
 
 def test_deduplicate_repeated_phrase(spark):

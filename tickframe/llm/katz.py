@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -193,9 +194,9 @@ def gathered(docs: DataFrame, held: Column) -> DataFrame:
             batch = table.to_batches()[0]
             held = np.asarray(batch["held"].to_numpy(zero_copy_only=False), bool)
             out, n = block_rows(batch["text"], held, buckets)
-            # A block's number follows its content and place, so that a task run again gives it again.
+            # A block's number follows its partition, place and content, so that a task run again gives it again and equal rows elsewhere don't.
             ids = np.asarray(pc.fill_null(batch["doc_id"], -1))
-            key = np.concatenate([[i, len(ids)], ids, n]).astype(np.int64)
+            key = np.concatenate([[TaskContext.get().partitionId(), i, len(ids)], ids, n]).astype(np.int64)
             block = int(xxh64(key.tobytes(), np.zeros(16, np.int64), np.full(16, key.nbytes))[0] >> np.uint64(1))
             listed = pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(held), pa.array(n, pa.int64())], ["doc_id", "held", "n"])
             sink = pa.BufferOutputStream()
