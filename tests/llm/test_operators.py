@@ -248,8 +248,8 @@ def test_katz(spark):
 
 def test_katz_equal_partitions(spark):
     """Rows that two partitions both have count twice in training and are scored once each."""
-    one = docs_of(spark, [(i, t, None) for i, t in enumerate(texts(20, 8))]).coalesce(1)
-    twice = one.union(one)
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts(20, 8))]
+    twice = spark.createDataFrame(spark.sparkContext.parallelize(rows + rows, 2), SCHEMA)
     assert twice.rdd.getNumPartitions() == 2
     scored = lambda df: sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in katz.score_documents(df, F.col("doc_id") % 3 == 2).collect())
     got = scored(twice)
