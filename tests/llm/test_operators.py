@@ -199,61 +199,137 @@ def test_chat_cases(spark):
     assert chat.read_back(chat.format_conversations(rows.filter("false"))).count() == 0
 
 
-def brute_katz(train, text):
-    """log10 P by the definition, and a function that gives a context's total probability."""
-    pairs, words = Counter(), Counter()
+def brute_katz(train, order=2):
+    """(log10 P of a text, total probability of a context) by the definition."""
+    counts = {k: Counter() for k in range(1, order + 1)}
     for t in train:
         w = [*t.lower().split(), "\n"]
-        words.update(w)
-        pairs.update(zip(["^", *w[:-1]], w))
-    n = sum(words.values())
-    d1 = katz.discounts([0] + [sum(c == r for c in words.values()) for r in range(1, katz.K + 2)])
-    d2 = katz.discounts([0] + [sum(c == r for c in pairs.values()) for r in range(1, katz.K + 2)])
-    d = lambda t, c: t[c] if c <= katz.K else 1.0
-    left = sum((1 - d(d1, c)) * c for c in words.values()) / n if n else 1.0
+        row = ["^"] * (order - 1) + w
+        for i in range(order - 1, len(row)):
+            for k in counts:
+                counts[k][tuple(row[i - k + 1 : i + 1])] += 1
+    words, n = counts[1], sum(counts[1].values())
+    d = {k: katz.discounts([len(c)] + [sum(x == r for x in c.values()) for r in range(1, katz.K + 2)]) for k, c in counts.items()}
+    disc = lambda k, c: d[k][c] if c <= katz.K else 1.0
+    left = sum((1 - disc(1, c)) * c for c in words.values()) / n if n else 1.0
     scale, unseen = (1.0, left) if left > 0 else (n / (n + 1), 1 / (n + 1))
-    p1 = lambda w: d(d1, words[w]) * words[w] / n * scale if words[w] else unseen
-
-    def p2(h, w):
-        seen = {x: c for (y, x), c in pairs.items() if y == h}
+    followers = {k: {} for k in counts}
+    for k, c in counts.items():
+        for g, x in c.items():
+            followers[k].setdefault(g[:-1], {})[g[-1]] = x
+
+    def p(h, w):
+        if not h:
+            c = words[(w,)]
+            return disc(1, c) * c / n * scale if c else unseen
+        seen = followers[len(h) + 1].get(h)
         if not seen:
-            return p1(w)
-        total = sum(seen.values()) + (not any(c <= katz.K for c in seen.values()))
+            return p(h[1:], w)
+        k, total = len(h) + 1, sum(seen.values()) + (not any(c <= katz.K for c in seen.values()))
         if w in seen:
-            return d(d2, seen[w]) * seen[w] / total
-        return (1 - sum(d(d2, c) * c for c in seen.values()) / total) / (1 - sum(p1(x) for x in seen)) * p1(w)
+            return disc(k, seen[w]) * seen[w] / total
+        if h not in alpha:
+            alpha[h] = (1 - sum(disc(k, c) * c for c in seen.values()) / total) / (1 - sum(p(h[1:], x) for x in seen))
+        return alpha[h] * p(h[1:], w)
+
+    alpha = {}
+
+    def score(text):
+        row = ["^"] * (order - 1) + [*text.lower().split(), "\n"]
+        return sum(math.log10(p(tuple(row[i - order + 1 : i]), row[i])) for i in range(order - 1, len(row)))
+
+    return score, lambda h: sum(p(h, x) for x in [w for (w,) in words] + ["unseen!"])
+
 
-    w = [*text.lower().split(), "\n"]
-    return sum(math.log10(p2(h, x)) for h, x in zip(["^", *w[:-1]], w)), lambda h: sum(p2(h, x) for x in [*words, "unseen!"])
+KATZ_ROWS = [(i, t, None) for i, t in enumerate(texts(50, 8))] + [(100, None, None), (101, "QQ zz qq", None), (102, "the the the " * 30, None), (103, "a\x0bb  \n a b c", None), (None, "d e", None), (None, "d e", None)]
 
 
-def test_katz(spark):
-    rows = [(i, t, None) for i, t in enumerate(texts(50, 8))] + [(100, None, None), (101, "QQ zz qq", None), (102, "the the the " * 30, None)]
-    held = F.col("doc_id") % 3 == 2
-    got = {r.doc_id: r for r in katz.score_documents(docs_of(spark, rows), held).collect()}
-    train = [t or "" for i, t, _ in rows if i % 3 != 2]
+@pytest.fixture
+def few_buckets(monkeypatch):
+    monkeypatch.setattr(katz, "LEAST_BUCKETS", 8)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz(spark, few_buckets, order):
+    rows = KATZ_ROWS
+    held = F.coalesce(F.col("doc_id"), F.lit(0)) % 3 == 2
+    got: dict = {}
+    for r in katz.score_documents(docs_of(spark, rows), held, order).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    train = [t or "" for i, t, _ in rows if (i or 0) % 3 != 2]
     words = Counter(w for t in train for w in [*t.lower().split(), "\n"])
     n = sum(words.values())
+    score, total = brute_katz(train, order)
+    assert sum(map(len, got.values())) == len(rows) and len(got[None]) == 2
     for i, t, _ in rows:
-        want, total = brute_katz(train, t or "")
-        assert got[i].score == pytest.approx(want, rel=1e-9)
         own = [*(t or "").lower().split(), "\n"]
-        assert got[i].base_score == pytest.approx(sum(math.log10((words[w] + 1) / (n + len(words) + 1)) for w in own), rel=1e-9)
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(own), sum(words[w] > 0 for w in own), n)
+        for r in got[i]:
+            assert r.score == pytest.approx(score(t or ""), rel=1e-9)
+            assert r.base_score == pytest.approx(sum(math.log10((words[w] + 1) / (n + len(words) + 1)) for w in own), rel=1e-9)
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(words[w] > 0 for w in own), n)
     for h in ("^", "the", *list(words)[:20]):
-        assert total(h) == pytest.approx(1.0)
+        for k in range(1, order):
+            assert total(("^",) * (k - 1) + (h,)) == pytest.approx(1.0)
+            assert total(("the",) * (k - 1) + (h,)) == pytest.approx(1.0)
+
+
+def test_katz_cases(spark, few_buckets):
+    rows, held = KATZ_ROWS, F.col("doc_id") % 3 == 2
     assert katz.score_documents(docs_of(spark, rows).filter("false"), held).count() == 0
     assert all(r.score == 0 for r in katz.score_documents(docs_of(spark, rows), F.lit(True)).collect())
+    named = docs_of(spark, rows).withColumn("doc_id", F.concat(F.lit("d"), "doc_id")).withColumn("block", F.lit(1))
+    assert sorted(r.doc_id for r in katz.score_documents(named, F.lit(False)).filter("doc_id is not null").collect())[0] == "d0"
+
+
+def scored(df, order=2):
+    return sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in katz.score_documents(df, F.col("doc_id") % 3 == 2, order).collect())
 
 
-def test_katz_equal_partitions(spark):
-    """Rows that two partitions both have count twice in training and are scored once each."""
-    rows = [(i, t, None, None, None) for i, t in enumerate(texts(20, 8))]
+def test_katz_equal_partitions(spark, few_buckets):
+    """Rows that two partitions both have, ids or none, count twice in training and are scored once each."""
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts(20, 8))] + [(None, "one two three", None, None, None)]
     twice = spark.createDataFrame(spark.sparkContext.parallelize(rows + rows, 2), SCHEMA)
     assert twice.rdd.getNumPartitions() == 2
-    scored = lambda df: sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in katz.score_documents(df, F.col("doc_id") % 3 == 2).collect())
     got = scored(twice)
-    assert got == scored(twice.coalesce(1)) and all(r[2] <= r[1] for r in got)
+    assert got == scored(twice.coalesce(1)) == scored(docs_of(spark, [(i, t, s) for i, t, _, s, _ in rows]).union(docs_of(spark, [(i, t, s) for i, t, _, s, _ in rows])))
+    assert all(r[2] <= r[1] for r in got)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_blocks_and_hot_contexts(spark, monkeypatch, order):
+    """Cutting texts, blocks of any size and dealing hot contexts over buckets change nothing."""
+    docs = docs_of(spark, [(i, t, None) for i, t in enumerate(texts(40, 8))] + [(50, " ".join(texts(30, 2)) + " the end", None), (51, "x y " * 400, None)])
+    want = scored(docs, order)
+    score, _ = brute_katz([r.text or "" for r in docs.filter("doc_id % 3 <> 2").collect()], order)
+    by = {r[0]: r[5] for r in want}
+    assert all(by[str(r.doc_id)] == pytest.approx(score(r.text), abs=1e-5) for r in docs.collect())
+    real = katz.hot_contexts
+    hots = []
+    monkeypatch.setattr(katz, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(katz, "hot_contexts", lambda *a: hots.append(real(*a)) or hots[-1])
+    assert scored(docs, order) == want and len(hots[0].ids) >= 3 and hots[0].splits.max() > 1
+
+
+def test_katz_blocks():
+    """Blocks hold the texts whole: cut at white space, the words before it carried over."""
+    rows = [(i, t, i % 3 == 0) for i, t in enumerate([*texts(30, 4), None, "", "word " * 500, "é" * 300, " lead  and\ntrail "])]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["doc_id", "text", "held"])
+
+    def counted(room, order):
+        grams, by_text = Counter(), Counter()
+        for block in katz.blocks_of(iter([batch.slice(0, 9), batch.slice(9)]), order, room):
+            own, word, ctx, at, tokens = katz.contexts_of(block, order)
+            grams.update(zip(*ctx.tolist(), own[word].tolist()))
+            for i, n in zip(block.ids.to_pylist(), tokens.tolist()):
+                by_text[i] += n
+        return grams, by_text
+
+    for order in (2, 3, 4):
+        want = counted(1 << 20, order)
+        assert want[1] == Counter({i: len((t or "").split()) + 1 for i, t, _ in rows})
+        for room in (50, 200, 700, 5000):
+            assert counted(room, order) == want
+    assert max(sum(len(x or "") for x in b.texts.to_pylist()) for b in katz.blocks_of(iter([batch]), 2, 700)) <= 720
 
 
 def fingerprint(t):

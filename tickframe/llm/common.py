@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,30 +32,73 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, and a lost executor costs nothing that was written."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Shuffle files of a finished execution are deleted at once, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ARROW_ROWS, ARROW_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, object]) -> Iterator[None]:
+    """The session's settings within; for what is executed within."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of finished jobs now; it otherwise waits for the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def arrow_batches(rows: int, size: int) -> dict[str, object]:
+    """Settings under which Spark hands Python at most so many rows and about so many bytes at a time."""
+    return {ARROW_ROWS: rows, ARROW_BYTES: size}
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within, Spark hands Python so many rows at a time: a bound on buffers where rows are long. For what is executed within."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are deleted at the end, those written within an inner scratch already then. A table that must stay is written
+    outside: its readers are lazy."""
+    _scopes.append([])
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for path in _scopes.pop():
+            drop(spark, path)
+
+
+def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), batches: dict[str, object] | None = None, result: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends here, and a lost executor costs nothing that was written.
+
+    The table belongs to the innermost scratch that is open; without one it stays until its owner deletes the folder. A result
+    outlives the innermost scratch and belongs to the one around it. batches: see arrow_batches.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if len(_scopes) > result:
+        _scopes[-1 - result].append(path)
+    with settings(spark, {CLEANUP: "true"} | (batches or {})):
+        df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables that written() gave, before their scratch ends."""
+    for table in tables:
+        path = table._written_to
+        drop(table.sparkSession, path)
+        for scope in _scopes:
+            if path in scope:
+                scope.remove(path)
 
 
 def rows_bounded(df: DataFrame, most: int) -> bool:

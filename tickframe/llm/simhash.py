@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, as_struct, release_shuffles, written
+from .common import arrow_batches, as_struct, released, scratch, written
 
 SHINGLE = 4
 MOST_BITS = 4
@@ -392,7 +392,6 @@ def grouped(rows: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """fp, component_id for each distinct fingerprint of rows(doc_id, fp): component_id is the least doc_id of all documents connected to it."""
     per = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
     found = written(links(per.select("fp"), most), "simhash-links")
-    release_shuffles(rows.sparkSession)
     per = written(_with_roots(per, found), "simhash-roots")
     least = per.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return written(per.join(least, "root").select("fp", "component_id"), "simhash-components")
@@ -559,10 +558,7 @@ def rooted_nodes(nodes: DataFrame, keyed: DataFrame, most: int, words: int, leas
     def tested(found: DataFrame) -> DataFrame:
         named = nodes.join(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
         texts = written(keyed.select("k", "t").join(named, F.col("k") == F.col("one")).groupBy("node").agg(F.first("t").alias("t")), "dedup-texts")
-        with arrow_rows(spark, 256):
-            out = written(similar(found, texts.withColumnRenamed("node", "fp"), least, size), "dedup-links")
-        release_shuffles(spark)
-        return out
+        return written(similar(found, texts.withColumnRenamed("node", "fp"), least, size), "dedup-links", batches=arrow_batches(256, 16 << 20))
 
     def rooted() -> DataFrame:
         return written(nodes.join(components(links).withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").withColumn("root", F.coalesce("root", "node")).drop("n"), "dedup-roots")
@@ -570,7 +566,6 @@ def rooted_nodes(nodes: DataFrame, keyed: DataFrame, most: int, words: int, leas
     parts = []
     for word in range(words):
         parts.append(written(met(nodes, word, words, most), "dedup-met"))
-        release_shuffles(spark)
     every = reduce(DataFrame.union, parts)
     members = every.filter("b IS NULL").select("key", F.col("a").alias("node"))
     links = tested(written(_distinct_pairs(every.filter("key IS NULL")), "dedup-candidates"))
@@ -603,7 +598,6 @@ def deduplicate(docs: DataFrame, most: int = NEAR_BITS, size: int = NEAR_SHINGLE
     keyed = docs.select(as_struct(docs), key.alias("k"), F.col("doc_id").alias("id"), F.col("text").alias("t"))
     rows = written(with_sets(keyed, ("k", "id"), "t", size, words), "dedup-rows")
     nodes = written(rows.groupBy("set").agg(F.min("k").alias("one"), F.first("fp").alias("fp")).withColumn("node", F.monotonically_increasing_id()), "dedup-nodes")
-    release_shuffles(docs.sparkSession)
     roots = rooted_nodes(nodes, keyed, most, words, least, size)
     joined = rows.join(roots.select("set", "root"), "set")
     best = joined.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("best"))
