@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +104,23 @@ def released(*tables: DataFrame) -> None:
                 scope.remove(path)
 
 
+@cache
+def _c_library() -> ctypes.CDLL | None:
+    try:
+        library = ctypes.CDLL("libc.so.6")
+        library.mallopt(-3, 1 << 20)  # arrays of a megabyte or more go back to the system when they are freed
+        return library
+    except (OSError, AttributeError):  # another system: it does as it does
+        return None
+
+
+def give_back() -> None:
+    """Returns this Python worker's free memory to the system: workers wait for their next task beside others that work."""
+    pa.default_memory_pool().release_unused()
+    if library := _c_library():
+        library.malloc_trim(0)
+
+
 def rows_bounded(df: DataFrame, most: int) -> bool:
     """Whether df has at most so many rows; reads no more than one row beyond."""
     return df.limit(most + 1).count() <= most

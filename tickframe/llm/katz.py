@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, scratch, written
+from .common import arrow_batches, give_back, scratch, written
 from .simhash import words_of, xxh64
 
 K = 5
@@ -142,7 +142,6 @@ def blocks_of(batches: Iterator[pa.RecordBatch], order: int, room: int = BLOCK_B
             if held and low < n and not (len(long) and length[low] > room):
                 yield whole()
                 held, size = [], 0
-        pa.default_memory_pool().release_unused()
     if held:
         yield whole()
 
@@ -316,6 +315,7 @@ def hot_contexts(rows: DataFrame, order: int, buckets: int) -> Hot:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks_of(batches, order):
             ids, n = np.unique(contexts_of(block, order)[2][-1], return_counts=True)
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(n)], ["h", "n"])
 
     some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(HOT_SAMPLE)) == 0)
@@ -361,6 +361,7 @@ def gathered(docs: DataFrame, held: Column, order: int = ORDER, with_docs: bool
                 with pa.ipc.new_stream(sink, listed.schema) as to:
                     to.write_batch(listed)
                 made.append((-1 - number % buckets, sink.getvalue().to_pybytes()))
+            give_back()
             for b, data in made:
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([number], pa.int64()), pa.array([data], pa.binary())], ["bucket", "block", "data"])
 
@@ -368,6 +369,7 @@ def gathered(docs: DataFrame, held: Column, order: int = ORDER, with_docs: bool
         b = table["bucket"][0].as_py()
         blobs = list(zip(table["block"].to_pylist(), table["data"].to_pylist(), strict=True))
         made = [("blocks", k, x) for k, x in blobs] if b < 0 else list(bucket_rows(blobs, order, hot, with_docs))
+        give_back()
         return pa.table([pa.array([x[0] for x in made]), pa.array([b] * len(made), pa.int32()), pa.array([x[1] for x in made], pa.int64()), pa.array([x[2] for x in made], pa.binary())], ["kind", "bucket", "block", "data"])
 
     packed = rows.mapInArrow(blocks, "bucket int, block long, data binary").repartition(min(buckets, 4096), "bucket")
@@ -394,6 +396,7 @@ def _rows(level: Level, kind: str, schema: str, function) -> DataFrame:
                 columns = function(block, data)
                 for at in range(0, len(columns[0]), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], names)
+            give_back()
 
     return level.model.filter(F.col("kind") == kind).select("block", "data").mapInArrow(run, schema)
 
