@@ -2,7 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
+import struct
+import time
 import zlib
 from collections import Counter
 
@@ -140,6 +143,56 @@ def test_packing(spark):
     assert packing.pack_documents(docs_of(spark, rows).filter("false")).count() == 0
 
 
+def plain_pack(sizes, capacities, bin_cost):
+    """The packing by its definition, on a list."""
+    left, bins = sorted(((x, -i) for i, x in enumerate(sizes)), reverse=True), []
+    while left:
+        best = None
+        for c in sorted(capacities):
+            if c < left[0][0]:
+                continue
+            taken, room, rest = [left[0]], c - left[0][0], left[1:]
+            for item in rest:
+                if item[0] <= room:
+                    taken.append(item)
+                    room -= item[0]
+            held = sum(x for x, _ in taken)
+            fitted = min(k for k in capacities if k >= held)
+            if best is None or (fitted + bin_cost) / held < best[0]:
+                best = ((fitted + bin_cost) / held, fitted, taken)
+        bins.append((best[1], [-i for _, i in best[2]]))
+        left = [item for item in left if item not in best[2]]
+    return bins
+
+
+def cheapest(sizes, capacities, bin_cost):
+    """The least cost of all partitions."""
+    def best(rest, bins):
+        if not rest:
+            return sum(min(c for c in capacities if c >= b) + bin_cost for b in bins)
+        out = best(rest[1:], [*bins, rest[0]])
+        for k in range(len(bins)):
+            if bins[k] + rest[0] <= max(capacities):
+                out = min(out, best(rest[1:], [*bins[:k], bins[k] + rest[0], *bins[k + 1 :]]))
+        return out
+
+    return best(sizes, [])
+
+
+def test_pack_against_plain():
+    rng = random.Random(8)
+    for trial in range(60):
+        sizes = [rng.randint(1, 64) for _ in range(rng.randint(1, 60))]
+        capacities, cost = ((8, 16, 64), 2) if trial % 2 else ((64, 100), 0)
+        assert sorted((c, sorted(m)) for c, m in packing.pack(sizes, capacities, cost)) == sorted((c, sorted(m)) for c, m in plain_pack(sizes, capacities, cost))
+    ratios = []
+    for _ in range(40):
+        sizes = [rng.randint(1, 64) for _ in range(7)]
+        made = sum(c + 2 for c, _ in packing.pack(sizes, (16, 32, 64), 2))
+        ratios.append(made / cheapest(sizes, (16, 32, 64), 2))
+    assert min(ratios) >= 1 and sum(ratios) / len(ratios) < 1.06 and max(ratios) < 1.3
+
+
 def test_png():
     rng = np.random.default_rng(0)
     for shape in ((1, 1), (3, 64), (40, 64), (7, 5)):
@@ -164,12 +217,45 @@ def test_png():
     assert (media._unfilter(rows) == raw).all()
 
 
+def test_png_broken_headers():
+    good = media.write_png(np.zeros((2, 3), np.uint8))
+    chunk = media._chunk
+    header = lambda *x: chunk(b"IHDR", struct.pack(">IIBBBBB", *x))
+    rest = good[33:]
+    for bad in (
+        chunk(b"IHDR", b"short") + rest, chunk(b"IHDR", bytes(20)) + rest, header(1 << 31, 1 << 31, 8, 0, 0, 0, 0) + rest, header(0, 1, 8, 0, 0, 0, 0) + rest,
+        header(3, 2, 16, 0, 0, 0, 0) + rest, header(3, 2, 8, 0, 0, 0, 0) + header(3, 2, 8, 0, 0, 0, 0) + rest, header(3, 2, 8, 0, 0, 0, 0) + chunk(b"IEND", b""),
+        header(3, 2, 8, 0, 0, 0, 0) + chunk(b"IDAT", b"no zlib") + chunk(b"IEND", b""), header(3, 9, 8, 0, 0, 0, 0) + rest, b"",
+    ):
+        with pytest.raises(ValueError):
+            media.read_png(media.SIGNATURE + bad)
+
+
+def test_cosine_hash():
+    """Against the transform by its formula, on images whose squeeze is exact."""
+    rng = np.random.default_rng(3)
+    for height, width in ((32, 64), (64, 64), (96, 32)):
+        a = rng.integers(0, 256, (height, width), np.uint8)
+        small = a.reshape(32, height // 32, 32, width // 32).astype(float).mean(axis=(1, 3))
+        low = []
+        for u in range(8):
+            for v in range(8):
+                total = sum(small[y, x] * math.cos(math.pi * u * (2 * y + 1) / 64) * math.cos(math.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32))
+                low.append(round(total / 16 * (1 if u else 0.5**0.5) * (1 if v else 0.5**0.5), 6))
+        middle = sorted(low[1:])[31]
+        assert media.cosine_hash(a) == bytes(sum((low[8 * i + k] > middle) << (7 - k) for k in range(8)) for i in range(8))
+
+
 def test_media_query_shape(spark):
     out = media.read_images(media.text_images(odd_docs(spark))).collect()
     assert all(r.error is None and len(r.payload) % 64 == 0 and len(r.payload) >= 64 for r in out)
     assert len({r.feature for r in out if r.doc_id in (2, 3)}) == 1
     bad = media.read_images(spark.createDataFrame([(b"x",), (None,)], "image binary")).collect()
     assert all(r.payload is None and r.error for r in bad)
+    clash = spark.createDataFrame([(1, b"x", "old", "old")], "doc_id long, data binary, payload string, error string")
+    row = media.read_images(media.write_images(clash, "data")).first()
+    assert (row.doc_id, row.payload, row.error) == (1, b"x" + bytes(63), None)
+    assert media.read_images(media.text_images(odd_docs(spark).filter("false"))).count() == 0
 
 
 def test_chat_round_trip():
@@ -485,11 +571,81 @@ def test_deduplicate_recall_near_the_threshold(spark):
     assert {2 * i for i in range(200)} <= kept and len(kept) <= 200 + 20
 
 
+def main_of(page):
+    return html.main_text(html.lines_of(page))
+
+
 def test_html_lines():
     page = PAGE.format('<article><header><h1>A&amp;B</h1></header><p>One\n <b>two</b><br>three<p>Four&nbsp;five<div class="comments"><p>Nice!</p></div></article><aside>Side</aside>')
-    assert html.main_text(html.lines_of(page), None) == "A&B\nOne two three\nFour five"
+    assert main_of(page) == "A&B\nOne two three\nFour five"
     assert html.lines_of(None) == [] and html.lines_of("plain") == [("plain", html.FREE)]
-    assert html.main_text(html.lines_of("<p>kept<form>drop</form><p hidden>gone<p>end"), None) == "kept\nend"
+    assert main_of("<p>kept<form>drop</form><p hidden>gone<p>end") == "kept\nend"
+
+
+def test_html_odd_markup():
+    assert main_of("<p data-x=it's>Hello don't go</p><p>More</p>") == "Hello don't go\nMore"
+    assert main_of("<p>a</p><3 y") == "a\n<3 y" and main_of("<p>x < y and a<b> bold</b>") == "x < y and a bold" and main_of("<p>t<p cl") == "t"
+    for name in ('id="comment-policy"', 'class="notice-of-meeting"', 'class="related-work"'):
+        assert main_of(f"<article><p>A<section {name}>inner</section><p>B</article>") == "A\ninner\nB"
+    assert main_of('<form><div class="content with-sidebar"><div>x</div><article><p>Body text</article></div></form>') == "Body text"
+    assert main_of('<div><p>The page has its text here</div><div class="sidebar"><article>Teaser</article></div>') == "The page has its text here"
+    assert main_of("<p a='1\" b=2>x<p>y</p>") == "x\ny" and main_of("<!-- a -- ><p>x --> b") == "b" and main_of("a<br/>b<script/>c") == "a b c"
+
+
+def test_html_time_is_linear():
+    for bad in ('<p a="x> ', "<p a='x> ", "<script>", "<!-- ", "<a <", "<div>"):
+        began = time.time()
+        html.lines_of(bad * 20_000)
+        assert time.time() - began < 4
+
+
+def plain_extract(pages):
+    """The differencing by its definition: sort, pair, table of common subsequences."""
+
+    def table(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        return t
+
+    outlines = {p: html.lines_of(h) for p, _, h in pages}
+    order = sorted((*html.place(u), p) for p, u, _ in pages if html.place(u)[0])
+    out = {}
+    for p, u, _ in pages:
+        lines = outlines[p]
+        near = []
+        if html.place(u)[0]:
+            at = [x[2] for x in order].index(p)
+            near = [x for x in order[max(at - 1, 0) : at] + order[at + 1 : at + 2] if x[0] == order[at][0]]
+            near.sort(key=lambda x: -len(os.path.commonprefix([x[1], order[at][1]])))
+        texts = [t for t, _ in lines]
+        free = [i for i, (_, z) in enumerate(lines) if z == html.FREE]
+        gone = [{i for i in free if texts[i] in {t for t, _ in outlines[x[2]]}} for x in near]  # no line repeats or moves in these pages
+        assert all(table(texts, [t for t, _ in outlines[x[2]]])[-1][-1] == len({t for t in texts if t in {y for y, _ in outlines[x[2]]}}) for x in near)
+        drop = gone[0] if gone else set()
+        if sum(len(texts[i]) for i in drop) > html.COPY * sum(len(texts[i]) for i in free):
+            drop &= gone[1] if len(gone) > 1 else set()
+        best = max((z for _, z in lines), default=html.FREE)
+        out[p] = "\n".join(t for i, (t, z) in enumerate(lines) if z == best and i not in drop)
+    return out
+
+
+def test_html_fixture(spark):
+    """Fifty pages, most without marks: the result of differencing and structure together."""
+    rng, pages = random.Random(5), []
+    for i in range(50):
+        host = rng.choice(["a.org", "b.org", "c.org"])
+        top = [f"Menu {host} {k}" for k in range(5)]
+        body = [f"Text {i} {k} " + "w " * rng.randint(1, 20) for k in range(rng.randint(1, 4))]
+        if i % 10 == 3:
+            body += [f"A passage of {host}"]
+        html_ = "".join(f"<div>{x}</div>" for x in top) + ("<article>" if i % 4 == 0 else "<div>") + "".join(f"<p>{x}" for x in body) + ("</article>" if i % 4 == 0 else "</div>") + f"<div>Foot {host}</div>"
+        pages.append((i, f"http://{host}/{rng.randint(1, 9)}/p{i:02d}", html_))
+    pages += [(60, "http://d.org/x", pages[1][2]), (61, None, pages[2][2]), (62, "http://a.org/9/z", None), (63, "no url", "<p>x")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == plain_extract(pages)
+    assert sum("Menu" in got[i] for i in range(50)) <= 3 and all(f"Text {i} 0" in got[i] for i in range(50))
 
 
 def test_common_lines():
@@ -513,6 +669,8 @@ def test_html_differencing(spark):
     got = sorted((r.page_id, r.text) for r in html.extract(df).collect())
     assert got == [(1, "First"), (2, "Second"), (3, "Shared note\nAlone"), (4, ""), (5, "Shared note\nOwn"), (5, "Shared note\nOwn")]
     assert html.extract(df.filter("false")).count() == 0
+    clashing = df.withColumns({"k": F.lit(1), "lines": F.lit(2), "host": F.lit(3)}).withColumn("page_id", F.col("page_id").cast("string"))
+    assert sorted((r.page_id, r.text) for r in html.extract(clashing).collect()) == [(str(p), t) for p, t in got]
 
 
 def test_language(spark):
@@ -528,6 +686,10 @@ def test_language(spark):
     assert langid.Profiles({}).predict("abc") == ("und", 0.0)
     assert langid.fit(df.filter("false")).names == []
     assert langid.filter_documents(odd_docs(spark), profiles).columns == odd_docs(spark).columns
+    more = df.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source", "n_chars").filter("doc_id < 30").union(docs_of(spark, [(900, "mmm nnn ooo ppp " * 20, None), (901, "7 8", None), (902, None, None)]))
+    kept = langid.filter_documents(more, profiles).collect()
+    assert {r.doc_id for r in kept} == set(range(30)) and {r.lang for r in kept} == set(letters)
+    assert {r.lang for r in langid.filter_documents(more, profiles, wanted=["bb"]).collect()} == {"bb"}
 
 
 def test_kernels_match_library():

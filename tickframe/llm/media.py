@@ -4,11 +4,12 @@ The codec is written out here: signature, chunks with their CRC, IHDR / IDAT / I
 each row the filter (none, sub or up) with the least sum of absolute differences. Reading checks every chunk's CRC and the order of
 chunks, joins all IDAT data, inflates it under a size bound, and undoes the filters in numpy.
 
-Batches of rows go through Arrow; a batch holds as many rows as Spark puts into one, each image on its own, so memory follows the
-largest text. No shuffle.
+Batches of rows go through Arrow, bounded in bytes by Spark (spark.sql.execution.arrow.maxBytesPerBatch); results leave in batches of about
+FLUSH_BYTES, so that memory follows these bounds and the largest text. No shuffle.
 
-Defined cases: null payloads count as empty; a broken image raises ValueError (`read_png`) or gives null results with the reason in
-`error` (`read_images`); empty tables give empty results; other columns are carried on.
+Defined cases: null payloads count as empty; a broken image, one of more than MOST_SAMPLES samples or one of another kind raises ValueError
+(`read_png`) or gives null results with the reason in `error` (`read_images`); empty tables give empty results; other columns are carried on,
+but those named like a column that is added, which replaces them.
 """
 
 from __future__ import annotations
@@ -23,12 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import give_back, scratch, written
+
 #: Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 NONE, SUB, UP, AVERAGE, PAETH = range(5)
 
 WIDTH = 64
 LEVEL = 3
+#: An image that says it has more samples isn't inflated.
+MOST_SAMPLES = 1 << 30
+FLUSH_BYTES = 4 << 20
 SIDE = 32  # the transform's input
 LOW = 8  # its low frequencies
 
@@ -103,9 +109,13 @@ def read_png(image: bytes) -> np.ndarray:
         if shape is None and kind != b"IHDR":
             raise ValueError("the first chunk isn't IHDR")
         if kind == b"IHDR":
+            if shape is not None or n != 13:
+                raise ValueError("a second IHDR, or one of another length")
             width, height, *rest = struct.unpack(">IIBBBBB", data)
             if rest != [8, 0, 0, 0, 0] or not width or not height:
                 raise ValueError("not an 8-bit grey image without interlace")
+            if width * height > MOST_SAMPLES:
+                raise ValueError("too large an image")
             shape = height, width + 1
         elif kind == b"IDAT":
             parts.append(data)
@@ -116,6 +126,8 @@ def read_png(image: bytes) -> np.ndarray:
         at += 12 + n
     if not ended:
         raise ValueError("no IEND")
+    if not parts:
+        raise ValueError("no IDAT")
     inflate = zlib.decompressobj()
     try:
         raw = inflate.decompress(b"".join(parts), shape[0] * shape[1] + 1)
@@ -162,13 +174,23 @@ def payload(text: bytes | None, unit: int = WIDTH) -> bytes:
 
 
 def _mapped(df: DataFrame, fields: list[T.StructField], function) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, *fields])
+    """df with fields added; function gives their values for a record batch row by row."""
+    names = [f.name for f in fields]
+    keep = [c for c in df.columns if c not in names]
+    schema = T.StructType([*(df.schema[c] for c in keep), *fields])
     types = [pa.binary() if isinstance(f.dataType, T.BinaryType) else pa.int64() if isinstance(f.dataType, T.LongType) else pa.string() for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = function(batch)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, types, strict=True))], [*batch.schema.names, *(f.name for f in fields)])
+            rest, low, size, held = batch.select(keep), 0, 0, []
+            for row in function(batch):
+                held.append(row)
+                size += sum(len(v) for v in row if v is not None)
+                if size >= FLUSH_BYTES or low + len(held) == batch.num_rows:
+                    made = [pa.array(c, k) for c, k in zip(zip(*held, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*rest.slice(low, len(held)).columns, *made], [*keep, *names])
+                    low, size, held = low + len(held), 0, []
+            give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -177,7 +199,8 @@ def write_images(df: DataFrame, data: str, image: str = "image", width: int = WI
     """Adds the binary column image: a PNG whose samples are the bytes of column data (binary), padded to whole rows."""
 
     def function(batch):
-        return [[write_png(np.frombuffer(payload(x, width), np.uint8).reshape(-1, width), level) for x in batch.column(data).to_pylist()]]
+        for x in batch.column(data):
+            yield (write_png(np.frombuffer(payload(x.as_py(), width), np.uint8).reshape(-1, width), level),)
 
     return _mapped(df, [T.StructField(image, T.BinaryType())], function)
 
@@ -186,16 +209,12 @@ def read_images(df: DataFrame, image: str = "image") -> DataFrame:
     """Adds payload (the samples in order), feature (hexadecimal hash) and error, from the stored bytes alone."""
 
     def function(batch):
-        out: list[list] = [[], [], []]
-        for x in batch.column(image).to_pylist():
+        for x in batch.column(image):
             try:
-                samples = read_png(x or b"")
-                row = samples.tobytes(), cosine_hash(samples).hex(), None
+                samples = read_png(x.as_py() or b"")
+                yield samples.tobytes(), cosine_hash(samples).hex(), None
             except ValueError as e:
-                row = None, None, str(e)
-            for values, v in zip(out, row, strict=True):
-                values.append(v)
-        return out
+                yield None, None, str(e)
 
     return _mapped(df, [T.StructField("payload", T.BinaryType()), T.StructField("feature", T.StringType()), T.StructField("error", T.StringType())], function)
 
@@ -208,11 +227,13 @@ def text_images(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op4: every text as a PNG, read back from its stored bytes."""
-    back = read_images(text_images(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    size = F.octet_length("payload").cast("long")
-    return back.select(
-        "doc_id", "n_bytes", size.alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.substring("payload", -WIDTH, WIDTH)).cast("long").alias("tail_crc32"),
-        F.octet_length("image").cast("long").alias("media_bytes"), F.sha2("image", 256).alias("media_sha256"), "feature", "error",
-    )
+    """op4: every text as a PNG, stored in a table and read back from its stored bytes."""
+    with scratch(spark):
+        back = read_images(written(text_images(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media-images"))
+        size = F.octet_length("payload").cast("long")
+        digests = back.select(
+            "doc_id", "n_bytes", size.alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+            F.crc32(F.substring("payload", -WIDTH, WIDTH)).cast("long").alias("tail_crc32"),
+            F.octet_length("image").cast("long").alias("media_bytes"), F.sha2("image", 256).alias("media_sha256"), "feature", "error",
+        )
+        return written(digests, "media-digests", result=True)

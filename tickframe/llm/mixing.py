@@ -2,10 +2,10 @@
 
 Each document has a size (its words) and a 48-bit hash of its id and text. A source with target T and size Z takes floor(T / Z) whole
 copies of itself and, of one copy more, the documents whose hash lies below a threshold. The threshold is found with histograms:
-sizes are summed by source and the top 16 bits of the hash, prefix sums show the bucket in which the budget ends, and only this
-bucket is summed again by its next 16 bits, twice. The documents are never sorted; choosing them is a comparison with a number.
+sizes are summed by source and the top 8 bits of the hash, prefix sums show the bucket in which the budget ends, and only this
+bucket is summed again by its next 8 bits, and so on. The documents are never sorted; choosing them is a comparison with a number.
 
-Only DataFrame expressions. Skew: histograms are pre-aggregated in each task, so a hot source adds at most 65,536 rows a task; the
+Only DataFrame expressions. Skew: histograms are pre-aggregated in each task, so a hot source adds at most 256 rows a task and its prefix sums see 256 rows; the
 thresholds (one row a source) are joined by broadcast only after a count shows at most MOST_BROADCAST of them, else by a salted join.
 
 Defined cases: null source is a source of its own, the last; null text has size 0; sources without words have target 0 and take
@@ -17,13 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_struct, rows_bounded, word_count, written
+from .common import as_struct, released, rows_bounded, scratch, word_count, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
-BITS = 16
-LEVELS = 3
+BITS = 8
+LEVELS = 6
 MOST_BROADCAST = 10_000
 SALTS = 64
 
@@ -68,13 +68,19 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     some = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = targets.withColumn("copies", F.floor(some).cast("long"))
     plan = plan.withColumns({"left": F.col("target") - F.col("copies") * F.col("source_size"), "low": F.lit(0).cast("long")})
-    plan = written(plan, "mix-targets")
+    plan = written_plan = written(plan, "mix-targets")
+    inside = sized
     for level in range(LEVELS):
         span = 1 << (BITS * (LEVELS - 1 - level))
         edge = plan.select(F.col("source").alias("s"), "low")
-        inside = sized if level == 0 else with_plan(sized, edge, "source", "s").filter((F.col("h") >= F.col("low")) & (F.col("h") < F.col("low") + span * (1 << BITS)))
+        if level:  # only what lies in the boundary bucket goes on
+            inner = with_plan(inside, edge, "source", "s").filter((F.col("h") >= F.col("low")) & (F.col("h") < F.col("low") + span * (1 << BITS)))
+            inner = written(inner.drop("low"), f"mix-inside{level}")
+            if level > 1:
+                released(inside)
+            inside = inner
         hist = inside.groupBy("source", F.floor(F.col("h") / span).cast("long").alias("b")).agg(F.sum("size").alias("size"))
-        # Histograms have at most 65,536 rows a source; the window needs a source's buckets together and in order.
+        # Histograms have at most 256 rows a source; the window needs a source's buckets together and in order.
         running = F.sum("size").over(Window.partitionBy("source").orderBy("b"))
         hist = hist.withColumn("upto", running)
         hist = hist.join(plan.select(F.col("source").alias("s"), "left"), F.col("source").eqNullSafe(F.col("s")))
@@ -92,7 +98,10 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
         # A source without rows in its bucket has met its budget before.
         low = F.coalesce(F.col("edge") * span, (F.col("b") + 1) * span, F.col("low"))
         plan = plan.withColumns({"left": F.col("left") - F.coalesce("used", F.lit(0)), "low": low}).drop("b", "used", "edge")
-        plan = written(plan, f"mix-level{level}")
+        before, plan = written_plan, written(plan, f"mix-level{level}")
+        written_plan = plan
+        released(before)
+    released(inside)
     return plan.select("source", "copies", F.when(F.col("target") > 0, F.col("low")).otherwise(0).alias("below"), "source_size", "target")
 
 
@@ -124,7 +133,8 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: fl
 
     Documents meet the plan by their source and the hash computed anew, so texts aren't shuffled.
     """
-    _, plan = mix_plan(docs, weights, share, cap)
+    with scratch(docs.sparkSession):
+        plan = written(mix_plan(docs, weights, share, cap)[1], "mix-plan", result=True)
     rows = docs.select(as_struct(docs), F.col("source").alias("source"), row_hash(F.col("doc_id"), F.col("text")).alias("h"))
     chosen = taken(rows, plan).filter(F.col("times") > 0)
     again = chosen.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("times"), F.lit(cap).cast("long")))))

@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_count, written
+from .common import released, word_count, written
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Cost of a bin besides its length, in tokens.
 BIN_COST = 16
 GROUP_ROWS = 20_000
 
-SCHEMA = "doc_id long, piece long, start long, n_tokens long, bin_id string, position long, offset long, capacity long"
+SCHEMA = "piece long, start long, n_tokens long, bin_id string, position long, offset long, capacity long"
 
 
 def fill(counts: dict[int, int], lengths: list[int], first: int, room: int) -> list[tuple[int, int]]:
@@ -83,7 +83,7 @@ def pieces(docs: DataFrame, largest: int, text: str = "text") -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, bin_cost: int = BIN_COST, group_rows: int = GROUP_ROWS, text: str = "text") -> DataFrame:
-    """SCHEMA: for each piece of each document its bin, its position and offset there, and the bin's capacity."""
+    """doc_id and SCHEMA: for each piece of each document its bin, its position and offset there, and the bin's capacity."""
     capacities = tuple(sorted(capacities))
     rows = written(pieces(docs, capacities[-1], text), "pack-pieces")
     n = rows.count()
@@ -91,6 +91,7 @@ def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, bin_
     # A row's own count within equal hashes spreads repeated rows too.
     spread = F.pmod(F.xxhash64("h", F.monotonically_increasing_id()), F.lit(groups)).cast("long")
     dealt = written(rows.withColumn("g", spread), "pack-dealt")
+    released(rows)
 
     def packed(table: pa.Table) -> pa.Table:
         table = table.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
@@ -111,7 +112,7 @@ def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, bin_
             t = t.append_column(name, pa.array(values, kind))
         return t
 
-    return dealt.drop("h").groupBy("g").applyInArrow(packed, SCHEMA)
+    return dealt.drop("h").groupBy("g").applyInArrow(packed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

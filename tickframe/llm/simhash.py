@@ -38,14 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, as_struct, released, scratch, written
+from .common import arrow_batches, as_struct, give_back, released, scratch, written
 
 SHINGLE = 4
 MOST_BITS = 4
 SEGMENTS = ((0, 22), (22, 43), (43, 64))
 #: Deduplication: words of a shingle, hash words of a fingerprint, its candidates' most differing bits, least similarity of a link.
 NEAR_SHINGLE = 5
-NEAR_WORDS = 4
+NEAR_WORDS = 6
 NEAR_BITS = 40
 SIMILARITY = 0.8
 #: Groups of equal variants up to this size are compared pair by pair.
@@ -215,6 +215,7 @@ def with_fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = _column(fingerprints(batch["__text"], size, words), words)
+            give_back()
             yield pa.RecordBatch.from_arrays([*(batch[k] for k in keep), fp], [*keep, "fp"])
 
     return rows.mapInArrow(run, schema)
@@ -228,6 +229,7 @@ def with_sets(docs: DataFrame, keep: tuple[str, ...], text: str, size: int, word
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp, digests = set_fingerprints(batch["__text"], size, words)
+            give_back()
             yield pa.RecordBatch.from_arrays([*(batch[k] for k in keep), _column(fp, words), pa.array(digests, pa.binary())], [*keep, "fp", "set"])
 
     return rows.mapInArrow(run, schema)
@@ -382,19 +384,22 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("x")).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, f"star-{turn}a")
+        before = e
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(lower.withColumnRenamed("u", "x"), F.col("u") == F.col("x")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(joined.union(lower.select("u", F.col("m").alias("v"))).distinct(), f"star-{turn}b")
+        released(large, before)
     raise RuntimeError("components did not settle")
 
 
 def grouped(rows: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """fp, component_id for each distinct fingerprint of rows(doc_id, fp): component_id is the least doc_id of all documents connected to it."""
-    per = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
-    found = written(links(per.select("fp"), most), "simhash-links")
-    per = written(_with_roots(per, found), "simhash-roots")
-    least = per.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return written(per.join(least, "root").select("fp", "component_id"), "simhash-components")
+    with scratch(rows.sparkSession):
+        per = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
+        found = written(links(per.select("fp"), most), "simhash-links")
+        per = written(_with_roots(per, found), "simhash-roots")
+        least = per.groupBy("root").agg(F.min("least_id").alias("component_id"))
+        return written(per.join(least, "root").select("fp", "component_id"), "simhash-components", result=True)
 
 
 def _with_roots(per: DataFrame, found: DataFrame) -> DataFrame:
@@ -404,8 +409,9 @@ def _with_roots(per: DataFrame, found: DataFrame) -> DataFrame:
 
 def components_of_documents(docs: DataFrame, most: int = MOST_BITS, size: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id of every document."""
-    rows = written(with_fingerprints(docs, size=size), "simhash-rows")
-    return rows.join(grouped(rows, most), "fp", "left").select("doc_id", "fp", "component_id")
+    with scratch(docs.sparkSession):
+        rows = written(with_fingerprints(docs, size=size), "simhash-rows")
+        return written(rows.join(grouped(rows, most), "fp", "left").select("doc_id", "fp", "component_id"), "simhash-documents", result=True)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -553,12 +559,13 @@ def _distinct_pairs(pairs: DataFrame) -> DataFrame:
 
 def rooted_nodes(nodes: DataFrame, keyed: DataFrame, most: int, words: int, least: float, size: int) -> DataFrame:
     """nodes(node, fp, one) and root, the least node of the component that links of texts as similar as least make. keyed: k, t; one: the k of a node's text."""
-    spark = nodes.sparkSession
-
     def tested(found: DataFrame) -> DataFrame:
+        """Those of the candidates that are links; the table of candidates goes."""
         named = nodes.join(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
         texts = written(keyed.select("k", "t").join(named, F.col("k") == F.col("one")).groupBy("node").agg(F.first("t").alias("t")), "dedup-texts")
-        return written(similar(found, texts.withColumnRenamed("node", "fp"), least, size), "dedup-links", batches=arrow_batches(256, 16 << 20))
+        links = written(similar(found, texts.withColumnRenamed("node", "fp"), least, size), "dedup-links", batches=arrow_batches(256, 16 << 20))
+        released(texts, found)
+        return links
 
     def rooted() -> DataFrame:
         return written(nodes.join(components(links).withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").withColumn("root", F.coalesce("root", "node")).drop("n"), "dedup-roots")
@@ -572,7 +579,7 @@ def rooted_nodes(nodes: DataFrame, keyed: DataFrame, most: int, words: int, leas
     out, turn = rooted(), None if members.isEmpty() else 1
     while turn:
         found = written(met_again(members, out, words, most, turn), "dedup-candidates")
-        n = found.count()
+        n, before = found.count(), out
         if not n:  # a forest has links between roots wherever there is such a pair
             return out
         more = tested(found)
@@ -580,9 +587,12 @@ def rooted_nodes(nodes: DataFrame, keyed: DataFrame, most: int, words: int, leas
         if not pays:  # the rest in all pairs
             links = links.union(more)
             out = rooted()
+            released(before)
+            before = out
             more = tested(written(met_again(members, out, words, most, None), "dedup-candidates"))
         links = links.union(more)
         out, turn = rooted(), turn + 1 if pays else None
+        released(before)
     return out
 
 
@@ -596,10 +606,11 @@ def deduplicate(docs: DataFrame, most: int = NEAR_BITS, size: int = NEAR_SHINGLE
     null = F.lit("\x01")
     key = F.md5(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), null), F.coalesce(F.md5(F.col("text")), null)))
     keyed = docs.select(as_struct(docs), key.alias("k"), F.col("doc_id").alias("id"), F.col("text").alias("t"))
-    rows = written(with_sets(keyed, ("k", "id"), "t", size, words), "dedup-rows")
-    nodes = written(rows.groupBy("set").agg(F.min("k").alias("one"), F.first("fp").alias("fp")).withColumn("node", F.monotonically_increasing_id()), "dedup-nodes")
-    roots = rooted_nodes(nodes, keyed, most, words, least, size)
-    joined = rows.join(roots.select("set", "root"), "set")
-    best = joined.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("best"))
-    kept = best.select(F.col("best.k").alias("k"))
+    with scratch(docs.sparkSession):
+        rows = written(with_sets(keyed, ("k", "id"), "t", size, words), "dedup-rows")
+        nodes = written(rows.groupBy("set").agg(F.min("k").alias("one"), F.first("fp").alias("fp")).withColumn("node", F.monotonically_increasing_id()), "dedup-nodes")
+        roots = rooted_nodes(nodes, keyed, most, words, least, size)
+        joined = rows.join(roots.select("set", "root"), "set")
+        best = joined.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("best"))
+        kept = written(best.select(F.col("best.k").alias("k")), "dedup-kept", result=True)
     return keyed.select("__row", "k").join(kept, "k", "left_semi").groupBy("k").agg(F.first("__row").alias("__row")).select(*(F.col("__row").getField(c).alias(c) for c in docs.columns))
