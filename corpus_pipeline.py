@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tickframe.llm import langid, mixing, packing, quality, simhash
-from tickframe.llm.common import written
+from tickframe.llm.common import released, scratch, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +14,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach."""
+    """Documents in a language that the labelled ones teach, recognised with a score of LEAST_SCORE; a missing `lang` is filled in."""
     return langid.filter_documents(docs, langid.fit(docs))
 
 
@@ -40,10 +40,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, one after the other."""
+    """The stages over documents, one after the other. Only the last stage's table stays: what a stage wrote for itself goes when the stage is
+    done, its table when the next one is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, "pipeline-" + name.replace(" ", "-"))
+        with scratch(spark):
+            done = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"), result=True)
+        if i:
+            released(docs)
+        docs = done
     return docs
