@@ -485,9 +485,9 @@ def test_simhash_dense_groups():
 
 def test_deduplicate(spark):
     docs = odd_docs(spark)
-    out = simhash.deduplicate(docs)
+    out = simhash.deduplicate(docs, words=2)
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 2, 4, 5]
-    assert simhash.deduplicate(docs.filter("false")).count() == 0
+    assert simhash.deduplicate(docs.filter("false"), words=2).count() == 0
 
 
 PAGE = '<html><head><title>T</title><script>a("</p>")</script></head><body><nav><a href="/">Home</a></nav><div class="site-header">Top</div><div>Shared note</div>{}<footer>&copy; x</footer></body></html>'
@@ -554,8 +554,8 @@ def test_deduplicate_repeated_phrase(spark):
     one, two = (" ".join(f"{k}{rng.randint(0, 30000)}" for _ in range(300)) for k in "ab")
     line = " page of the long report" * 90
     rows = [(1, one + line, None), (2, two + line, None), (3, one + " -" * 400, None), (4, two + " -" * 400, None), (5, two + " -" * 500, None)]
-    assert sorted(r.doc_id for r in simhash.deduplicate(docs_of(spark, [rows[2], rows[3], rows[4]])).collect()) == [3, 4]
-    assert sorted(r.doc_id for r in simhash.deduplicate(docs_of(spark, rows)).collect()) == [1, 2]
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs_of(spark, [rows[2], rows[3], rows[4]]), words=2).collect()) == [3, 4]
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs_of(spark, rows), words=2).collect()) == [1, 2]
 
 
 def test_deduplicate_recall_near_the_threshold(spark):
