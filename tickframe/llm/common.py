@@ -88,7 +88,8 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), batche
     if len(_scopes) > result:
         _scopes[-1 - result].append(path)
     with settings(spark, {CLEANUP: "true"} | (batches or {})):
-        df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+        to = df.write.option("compression", "zstd")
+        (to.partitionBy(*partition_by) if partition_by else to).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
