@@ -9,6 +9,7 @@ on over the valid ones) or starts the seeding again (on_gap="reset").
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -55,9 +56,10 @@ def recurse(values: list[float | None], n: int, alpha: float, on_gap: str = "ski
     return out
 
 
-def with_recursions(bars: DataFrame, *specs: Recursion) -> DataFrame:
-    """bars with each recursion's column; one may read another's output that stands before it."""
-    schema = T.StructType([*bars.schema.fields, *(T.StructField(s.out, T.DoubleType()) for s in specs)])
+def with_recursions(bars: DataFrame, *specs: Recursion, spent: Collection[str] = ()) -> DataFrame:
+    """bars with each recursion's column, without those that are spent then; a recursion may read another's output that stands before it."""
+    kept = [f for f in bars.schema.fields if f.name not in spent]
+    schema = T.StructType([*kept, *(T.StructField(s.out, T.DoubleType()) for s in specs if s.out not in spent)])
     kinds = {s.out: pa.float64() for s in specs}
 
     def run(table: pa.Table) -> pa.Table:
@@ -68,7 +70,7 @@ def with_recursions(bars: DataFrame, *specs: Recursion) -> DataFrame:
                 have[s.source] = table[s.source].to_pylist()
             have[s.out] = recurse(have[s.source], s.n, s.alpha, s.on_gap)
             table = table.append_column(s.out, pa.array(have[s.out], kinds[s.out]))
-        return table
+        return table.select(schema.names)
 
     return bars.groupBy("symbol").applyInArrow(run, schema)
 
@@ -80,13 +82,13 @@ def with_rsi(bars: DataFrame, out: str, source: str, n: int) -> DataFrame:
     bars = bars.withColumns({"__gain": F.greatest(F.col("__d"), F.lit(0.0)), "__loss": F.greatest(-F.col("__d"), F.lit(0.0))})
     bars = bars.withColumns({c: F.when(F.col("__d").isNotNull(), F.col(c)) for c in ("__gain", "__loss")})
     bars = with_recursions(bars, rma("__up", "__gain", n), rma("__down", "__loss", n))
-    return rsi_column(bars, out)
+    return rsi_column(bars, out).drop("__d", "__gain", "__loss")
 
 
 def rsi_column(bars: DataFrame, out: str) -> DataFrame:
     up, down = F.col("__up"), F.col("__down")
     value = F.when(down == 0, 100.0).when(down.isNotNull(), 100.0 - 100.0 / (1.0 + up / down))
-    return bars.withColumn(out, value).drop("__d", "__gain", "__loss", "__up", "__down")
+    return bars.withColumn(out, value).drop("__up", "__down")
 
 
 def with_atr(bars: DataFrame, out: str, n: int) -> DataFrame:

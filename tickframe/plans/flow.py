@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, compare, guarded_ratio, ladder, sure
 from ..operators import window as w
-from ..operators.recursive import ema, with_recursions
+from ..operators.recursive import Recursion, ema, with_recursions
 
 PREFIX = "sf"
 
@@ -60,8 +60,9 @@ def weighted(bars: DataFrame, c: Flow) -> DataFrame:
     return bars.withColumns({"__iw": large, "__rw": small, "__clv": F.when(hi - lo > 0, ((close - lo) - (hi - close)) / (hi - lo)).otherwise(0.0)})
 
 
-def flow(bars: DataFrame, c: Flow = Flow()) -> DataFrame:
-    """bars with the sf_ columns."""
+def prepare(bars: DataFrame, c: Flow) -> DataFrame:
+    """What comes before the recursions; of the helpers only what they and finish() read is left."""
+    before = bars.columns
     bars = weighted(bars, c)
     dv, clv, close = F.col("__dv"), F.col("__clv"), F.col("close")
     side = {"i": dv * F.col("__iw"), "r": dv * F.col("__rw")}
@@ -81,11 +82,19 @@ def flow(bars: DataFrame, c: Flow = Flow()) -> DataFrame:
     else:
         bars = bars.withColumns({f"__{s}_e": w.before(F.col(f"__{s}_raw"), c.gate_len) for s in "ri"})
         bars = bars.withColumns({f"__{s}": w.share_at_most(F.col(f"__{s}_e"), F.col(f"__{s}_raw"), c.gate_len) for s in "ri"}).drop("__r_e", "__i_e")
+    return bars.select(*before, "sf_tape_pct", "sf_inst_bias", "sf_retail_bias", "sf_inst_net_usd", "__r", "__i", "__r_signed", "__i_signed", "__move")
+
+
+def recursions(c: Flow) -> tuple[list[Recursion], list[str]]:
+    """The recursions, and the columns that they leave spent."""
     n, twice = c.smooth_len, c.double_smooth
     lines = [ema("__r1" if twice else "sf_retail", "__r", n), ema("__i1" if twice else "sf_inst", "__i", n)]
     if twice:
         lines += [ema("sf_retail", "__r1", n), ema("sf_inst", "__i1", n)]
-    bars = with_recursions(bars, *lines, ema("sf_inst_flow", "__i_signed", n), ema("sf_retail_flow", "__r_signed", n))
+    return [*lines, ema("sf_inst_flow", "__i_signed", n), ema("sf_retail_flow", "__r_signed", n)], ["__r", "__i", "__r1", "__i1", "__r_signed", "__i_signed"]
+
+
+def finish(bars: DataFrame, c: Flow) -> DataFrame:
     r, i = F.col("sf_retail"), F.col("sf_inst")
     quiet, active = sure(F.col("sf_tape_pct") <= c.low_vol_pct), sure(F.col("sf_tape_pct") >= c.active_vol_pct) if c.active_vol_pct > 0 else F.lit(True)
     ib, rb, move, t = F.col("sf_inst_bias"), F.col("sf_retail_bias"), F.col("__move"), c.bias_thr
@@ -97,4 +106,10 @@ def flow(bars: DataFrame, c: Flow = Flow()) -> DataFrame:
     edge = w.rising_edge if c.edge_only else sure
     bars = bars.withColumns({k: edge(F.col(k)) for k in raw} | {"sf_bars_since_flip": F.coalesce(w.bars_since(F.col("__over") | F.col("__under"), F.col("__n")), F.lit(0))})
     bars = bars.withColumns({"sf_flip": ladder((F.col("__over"), 1), (F.col("__under"), -1), otherwise=0), "sf_confluence": ladder((F.col("__bull"), 1), (F.col("__bear"), -1), otherwise=0)})
-    return bars.drop(*(x for x in bars.columns if x.startswith("__")))
+    return bars.drop("__move", "__bull", "__bear", "__over", "__under", "__n")
+
+
+def flow(bars: DataFrame, c: Flow = Flow()) -> DataFrame:
+    """bars with the sf_ columns."""
+    specs, spent = recursions(c)
+    return finish(with_recursions(prepare(bars, c), *specs, spent=spent), c)

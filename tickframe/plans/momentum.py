@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import guarded_ratio, ladder, sure
 from ..operators import window as w
-from ..operators.recursive import ema, with_recursions
+from ..operators.recursive import Recursion, ema, with_recursions
 
 PREFIX = "mb"
 
@@ -35,8 +35,8 @@ class Momentum:
         return self.bench_len + self.mom_len + self.smooth_len + self.rvol_len
 
 
-def momentum(bars: DataFrame, c: Momentum = Momentum()) -> DataFrame:
-    """bars with the mb_ columns. In warm-up the raw ratio is 0, so the score is seeded with zeros."""
+def prepare(bars: DataFrame, c: Momentum) -> DataFrame:
+    """What comes before the recursion. In warm-up the raw ratio is 0, so the score is seeded with zeros."""
     close, volume = F.col("close"), F.col("volume")
     if c.mode == "velocity":
         bars = bars.withColumn("__m", w.change(close, c.mom_len))
@@ -52,8 +52,16 @@ def momentum(bars: DataFrame, c: Momentum = Momentum()) -> DataFrame:
         bars = bars.withColumn("__avg", w.ffill(F.col("__avg")))
     else:
         bars = bars.withColumn("__avg", w.sma(volume, c.rvol_len))
-    bars = bars.withColumn("mb_raw", raw).withColumn("__s", F.lit(50.0) * F.tanh(F.col("mb_raw") / c.sensitivity))
-    bars = with_recursions(bars, ema("mb_score", "__s", c.smooth_len))
+    return bars.withColumn("mb_raw", raw).withColumn("__s", F.lit(50.0) * F.tanh(F.col("mb_raw") / c.sensitivity)).drop("__m")
+
+
+def recursions(c: Momentum) -> tuple[list[Recursion], list[str]]:
+    """The recursions, and the columns that they leave spent."""
+    return [ema("mb_score", "__s", c.smooth_len)], ["__s"]
+
+
+def finish(bars: DataFrame, c: Momentum) -> DataFrame:
+    volume, rth = F.col("volume"), sure(F.col("session") == "rth")
     score, strong = F.col("mb_score"), max(c.strong_lvl, c.deadband)
     bars = bars.withColumns(
         {
@@ -75,4 +83,10 @@ def momentum(bars: DataFrame, c: Momentum = Momentum()) -> DataFrame:
             "mb_cross_strong_up": w.crossover(score, hi, hi),
             "mb_cross_strong_dn": w.crossunder(score, lo, lo),
         }
-    ).drop("__m", "__avg", "__s")
+    ).drop("__avg")
+
+
+def momentum(bars: DataFrame, c: Momentum = Momentum()) -> DataFrame:
+    """bars with the mb_ columns."""
+    specs, spent = recursions(c)
+    return finish(with_recursions(prepare(bars, c), *specs, spent=spent), c)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import compare, guarded_ratio, sure
 from ..operators import window as w
-from ..operators.recursive import rma, rsi_column, with_recursions, with_rsi
+from ..operators.recursive import Recursion, rma, rsi_column, with_recursions, with_rsi
 from ..operators.resample import closed_value
 from ..timeframe import Timeframe, eastern, session_bucket
 
@@ -53,17 +53,28 @@ def closed_rsi(bars: DataFrame, c: Regime) -> DataFrame:
     return closed_value(bars, bucket, higher.drop("close"), "ggr_rsi", "ggr_rsi_basis", "__dev").drop("__first")
 
 
-def regime(bars: DataFrame, c: Regime = Regime()) -> DataFrame:
-    """bars with the ggr_ columns. Both recursions, Wilder's range and RSI, share one grouped pass."""
+def prepare(bars: DataFrame, c: Regime) -> DataFrame:
+    """What comes before the recursions."""
+    bars = bars.withColumn("__tr", w.true_range())
+    if c.rsi_htf is not None:
+        return bars
+    d = w.change(F.col("close"))
+    return bars.withColumns({"__gain": F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), "__loss": F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0)))})
+
+
+def recursions(c: Regime) -> tuple[list[Recursion], list[str]]:
+    """The recursions, and the columns that they leave spent."""
+    own = [] if c.rsi_htf else [rma("__up", "__gain", c.rsi_len), rma("__down", "__loss", c.rsi_len)]
+    return [rma("__atr", "__tr", c.atr_len), *own], ["__tr", "__gain", "__loss"]
+
+
+def finish(bars: DataFrame, c: Regime) -> DataFrame:
     close = F.col("close")
     if c.rsi_htf is None:
-        d = w.change(close)
-        bars = bars.withColumns({"__tr": w.true_range(), "__d": d, "__gain": F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), "__loss": F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0)))})
-        bars = with_recursions(bars, rma("__atr", "__tr", c.atr_len), rma("__up", "__gain", c.rsi_len), rma("__down", "__loss", c.rsi_len))
         bars = rsi_column(bars, "ggr_rsi")
         bars = bars.withColumns({"ggr_rsi_basis": w.sma(F.col("ggr_rsi"), c.band_len), "__dev": w.stdev_pop(F.col("ggr_rsi"), c.band_len)})
     else:
-        bars = closed_rsi(with_recursions(bars.withColumn("__tr", w.true_range()), rma("__atr", "__tr", c.atr_len)), c)
+        bars = closed_rsi(bars, c)
     bars = bars.withColumns({"__fast": w.sma(close, c.fast_len), "__slow": w.sma(close, c.slow_len)})
     rsi, basis, dev = F.col("ggr_rsi"), F.col("ggr_rsi_basis"), F.col("__dev") * c.band_mult
     upper = F.when(dev.isNotNull(), F.least(F.lit(100.0), basis + dev))
@@ -104,4 +115,10 @@ def regime(bars: DataFrame, c: Regime = Regime()) -> DataFrame:
             "ggr_thrust_up_enter": (state == 3) & (was != 3),
             "ggr_thrust_dn_enter": (state == -3) & (was != -3),
         }
-    ).drop("__tr", "__atr", "__dev", "__fast", "__slow", "__upper", "__lower", "__ma", "__rs", "__flip", "__n", "__was")
+    ).drop("__atr", "__dev", "__fast", "__slow", "__upper", "__lower", "__ma", "__rs", "__flip", "__n", "__was")
+
+
+def regime(bars: DataFrame, c: Regime = Regime()) -> DataFrame:
+    """bars with the ggr_ columns. Both recursions, Wilder's range and RSI, share one grouped pass."""
+    specs, spent = recursions(c)
+    return finish(with_recursions(prepare(bars, c), *specs, spent=spent), c)

@@ -5,31 +5,53 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, half_even, signal_tier
 from ..operators import window as w
+from ..operators.recursive import Recursion, with_recursions
 from ..operators.resample import tail
 from ..predicate import apply_filter
 from ..timeframe import eastern
-from .flow import Flow, flow
-from .momentum import Momentum, momentum
-from .regime import Regime, regime
+from . import flow, momentum, regime
+from .flow import Flow
+from .momentum import Momentum
+from .regime import Regime
 
 
 @dataclass(frozen=True)
 class Engine:
-    """prefix of its columns, the bars it needs, and what adds the columns."""
+    """prefix of its columns, the bars it needs, and what adds the columns: compute, or for engines that share one grouped pass what
+    comes before it, their recursions with the columns these leave spent, and what comes after."""
 
     prefix: str
     warmup: int
-    compute: Callable[[DataFrame], DataFrame]
+    compute: Callable[[DataFrame], DataFrame] | None = None
+    prepare: Callable[[DataFrame], DataFrame] | None = None
+    recursions: tuple[list[Recursion], list[str]] = ((), ())
+    finish: Callable[[DataFrame], DataFrame] | None = None
 
 
 def builtin_engines(m: Momentum = Momentum(), r: Regime = Regime(), f: Flow = Flow()) -> list[Engine]:
-    return [Engine("mb", m.warmup, lambda b: momentum(b, m)), Engine("ggr", r.warmup, lambda b: regime(b, r)), Engine("sf", f.warmup, lambda b: flow(b, f))]
+    made = ((momentum, "mb", m), (regime, "ggr", r), (flow, "sf", f))
+    return [Engine(prefix, c.warmup, None, partial(plan.prepare, c=c), plan.recursions(c), partial(plan.finish, c=c)) for plan, prefix, c in made]
+
+
+def with_engines(bars: DataFrame, engines: list[Engine]) -> DataFrame:
+    """bars with the columns of all engines: one grouped pass for the recursions of all that have some, whose inputs need no other engine."""
+    joint = [e for e in engines if e.compute is None]
+    for e in joint:
+        bars = e.prepare(bars)
+    if joint:
+        bars = with_recursions(bars, *(x for e in joint for x in e.recursions[0]), spent=[c for e in joint for c in e.recursions[1]])
+    for e in joint:
+        bars = e.finish(bars)
+    for e in engines:
+        bars = e.compute(bars) if e.compute else bars
+    return bars
 
 
 @dataclass(frozen=True)
@@ -102,9 +124,7 @@ def scan_rows(bars: DataFrame, request: ScanRequest = ScanRequest()) -> DataFram
     bars = tail(bars, max(request.lookback, request.warmup + 30) if request.lookback else 0)
     enough = F.count("*").over(Window.partitionBy("symbol")) >= request.warmup
     out = base_columns(bars.withColumn("__ok", enough).filter("__ok").drop("__ok"))
-    for engine in request.engines:
-        out = engine.compute(out)
-    out = snapshot(out).drop("ts", "open", "high", "low", "close", "volume", "session")
+    out = snapshot(with_engines(out, request.engines)).drop("ts", "open", "high", "low", "close", "volume", "session")
     return with_composite(out)
 
 
@@ -117,10 +137,11 @@ class ScanResult:
 
 def scan(bars: DataFrame, request: ScanRequest = ScanRequest(), watchlist: DataFrame | None = None, now: datetime | None = None) -> ScanResult:
     """The whole scan. A symbol with too few bars or none is an error row, not a result."""
-    everything = scan_rows(bars, request)
-    errors = short_history(bars, request.warmup)
+    missing = None
     if watchlist is not None:
-        errors = errors.unionByName(missing_symbols(watchlist, bars))
-        everything = everything.join(watchlist.select("symbol").distinct(), "symbol", "left_semi")
-    rows = ranked(apply_filter(everything, request.filter), request.sort, request.descending, request.limit)
+        missing = missing_symbols(watchlist, bars)
+        bars = bars.join(watchlist.select("symbol").distinct(), "symbol", "left_semi")
+    errors = short_history(bars, request.warmup)
+    errors = errors if missing is None else errors.unionByName(missing)
+    rows = ranked(apply_filter(scan_rows(bars, request), request.filter), request.sort, request.descending, request.limit)
     return ScanResult(rows, errors.orderBy("symbol"), {"filter": request.filter or "", "as_of": now.isoformat() if now else None, "lookback": max(request.lookback, request.warmup + 30)})

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sessions import tag_sessions
 from ..timeframe import Timeframe, bucket
 
 
+def in_order(*keys: tuple[Column, int]) -> Column:
+    """Keys (value, digits), the first the most important, as one number: min_by and max_by over numbers stay in a hash aggregation, over structs
+    they would sort all rows."""
+    out, below = None, 0
+    for value, digits in reversed(keys):
+        part = value.cast(f"decimal({digits},0)") * F.lit(10**below).cast(f"decimal({below + 1},0)") if below else value.cast(f"decimal({digits},0)")
+        out, below = part if out is None else part + out, below + digits
+    return out
+
+
 def _ohlcv(rows: DataFrame, volume) -> DataFrame:
     return rows.groupBy("symbol", "ts").agg(
         F.min_by("price", "k").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "k").alias("close"),
@@ -20,7 +30,7 @@ def daily_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A symbol for each supplier, a bar for each ship date; price: extended price over quantity."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         F.col("l_suppkey").cast("string").alias("symbol"), F.col("l_shipdate").cast("timestamp").alias("ts"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_quantity", F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("k"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_quantity", in_order((F.col("l_orderkey"), 15), (F.col("l_linenumber"), 3), (F.col("l_partkey"), 13)).alias("k"),
     )
     return tag_sessions(_ohlcv(rows, F.sum("l_quantity")), Timeframe.D1)
 
@@ -29,6 +39,6 @@ def from_events(spark: SparkSession, sf_dir: str, timeframe: Timeframe = Timefra
     """A symbol for each event type, bars of the timeframe; price: value, volume: number of events."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         F.col("event_type").alias("symbol"), bucket(F.col("ts").cast("timestamp"), timeframe.seconds).alias("ts"), F.col("value").alias("price"),
-        F.struct("ts", "event_id").alias("k"),
+        in_order((F.unix_micros(F.col("ts").cast("timestamp")), 18), (F.col("event_id"), 15)).alias("k"),
     )
     return tag_sessions(_ohlcv(rows, F.count("*")), timeframe)
