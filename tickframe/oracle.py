@@ -258,3 +258,22 @@ SELECT * EXCLUDE (pb, ps), {q('pb', 'pct_bull')}, {q('ps', 'pct_bear')}, CASE WH
 
 #: Scripts say the same as the native queries.
 ORACLE |= {f"script_{k}": ORACLE[k] for k in ("sma", "stdev_pop", "rolling_sum", "rolling_median", "highest_lowest", "change", "percentrank", "ema", "rma", "rsi", "atr", "crosses")}
+
+FULL = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+BASE_ROWS = f"""{DAILY}, b0 AS (SELECT *, lag(close) OVER ({W}) AS pc, avg(close) OVER ({W} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS m, max(close) OVER ({W} {FULL}) AS h,
+  row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS r FROM bars),
+b1 AS (SELECT symbol, close AS last_price, coalesce((close / pc - 1) * 100.0, 0.0) AS pct_chg, coalesce((close / pc - 1) * 100.0, 0.0) AS day_chg, close > m AS above_sma50, close >= h AS new_high FROM b0 WHERE r = 1)"""
+ORACLE |= {
+    "rth_only": f"WITH {events(60)} SELECT {BARS} FROM bars WHERE session = 'rth'",
+    "trim_delay": f"WITH {events(15)} SELECT {BARS} FROM bars WHERE ts + INTERVAL '15 minutes' <= TIMESTAMP '2024-01-20 11:45:00'",
+    "filter_operators": f"""WITH {BASE_ROWS} SELECT symbol, above_sma50, new_high, {', '.join(q(c, c) for c in ('last_price', 'pct_chg', 'day_chg'))} FROM b1
+WHERE ((last_price * 2 - 1 >= 3000 OR pct_chg ** 2 < 1) AND NOT new_high AND day_chg > -50 AND day_chg <= 50 AND last_price % 7 > 1 AND last_price NOT IN (1, 2)) OR (above_sma50 AND last_price / 2 + 0.5 <> 700)""",
+    "bar_violations": """WITH t AS (SELECT event_type AS symbol, date_trunc('minute', ts::TIMESTAMP) AS ts, value AS v, CASE WHEN value > 10 THEN 'rth' WHEN value > 5 THEN 'night' END AS session FROM events)
+SELECT count(*) FILTER (symbol IS NULL) AS no_symbol, count(*) FILTER (ts IS NULL) AS no_ts, count(*) FILTER (v IS NULL) AS no_close, count(*) FILTER (v - 1 < v) AS high_below_low,
+count(*) FILTER (v - 50 < 0) AS negative_volume, count(*) FILTER (coalesce(session <> 'rth', true)) AS unknown_session, (count(*) - (SELECT count(*) FROM (SELECT DISTINCT symbol, ts FROM t)))::BIGINT AS repeated_key FROM t""",
+    "scan_errors": f"""WITH {DAILY}, {WATCH}, c AS (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol)
+SELECT watch.symbol, CASE WHEN n IS NULL THEN 'no data returned' ELSE 'only ' || n || ' bars, 498 are needed' END AS error FROM watch LEFT JOIN c USING (symbol) WHERE coalesce(n, 0) < 498""",
+    "script_features": f"""WITH {DAILY}, m AS (SELECT *, {over('avg(close)', 'close', 8)} AS mean FROM bars)
+SELECT symbol, ts, {q('mean', 'mean')}, {q('close - mean', 'dev')}, {q(f'coalesce(close - lag(close, 2) OVER ({W}), -1)', 'gap')}, {q(f'avg(close) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)', 'box_avg')},
+{q('CASE WHEN close > open THEN sqrt(volume) ELSE abs(open - close) END', 'pick')}, {q('greatest(floor(high), ceil(low)) + least(sign(close - open), 0)', 'whole')} FROM m""",
+}

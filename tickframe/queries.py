@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.sessions import drop_incomplete, session_counts
+from .functions.sessions import drop_incomplete, rth_only, session_counts, trim_delay
 from .operators import recursive as rec
 from .operators import window as w
 from .operators.resample import closed_value, dedup_keep_last, resample_ohlcv, tail
@@ -16,6 +16,7 @@ from .plans import scan as sc
 from .plans.flow import Flow, flow
 from .plans.momentum import Momentum, momentum
 from .plans.regime import Regime, regime
+from .schema import violations
 from .script.engine import with_script
 from .sources.bars import daily_from_lineitem, from_events
 from .timeframe import Timeframe, bucket
@@ -146,6 +147,56 @@ plot(last, "last_up")
 }
 
 
+#: A user function, one that returns a tuple, an array, an input, history and the mathematical functions.
+FEATURES = """
+indicator("Features", shorttitle="ft")
+len = input.int(8, "Length")
+spread(a, b) => a - b
+both(x, n) =>
+    m = ta.sma(x, n)
+    d = x - m
+    [m, d]
+[mean, dev] = both(close, len)
+var box = array.new<float>()
+array.push(box, close)
+if array.size(box) > 3
+    array.shift(box)
+plot(mean, "mean")
+plot(dev, "dev")
+plot(nz(spread(close, close[2]), -1), "gap")
+plot(array.avg(box), "box_avg")
+plot(close > open ? math.sqrt(volume) : math.abs(open - close), "pick")
+plot(math.max(math.floor(high), math.ceil(low)) + math.min(math.sign(close - open), 0), "whole")
+"""
+#: Every operator of the filter language but those over engine columns.
+EVERY_OPERATOR = "((last_price * 2 - 1 >= 3000 or pct_chg ** 2 < 1) and not new_high and -50 < day_chg <= 50 and last_price % 7 > 1 and last_price not in [1, 2]) | (above_sma50 & last_price / 2 + 0.5 != 700)"
+
+
+def script_features(spark, sf_dir) -> DataFrame:
+    out = with_script(daily(spark, sf_dir), FEATURES, prefix="x")
+    return quantised(out.select(*KEYS, *(F.col(c).cast("double").alias(c[2:]) for c in out.columns if c.startswith("x_"))))
+
+
+def filter_operators(spark, sf_dir) -> DataFrame:
+    rows = sc.snapshot(sc.base_columns(daily(spark, sf_dir))).select("symbol", "last_price", "pct_chg", "day_chg", "above_sma50", "new_high")
+    return quantised(sc.apply_filter(rows, EVERY_OPERATOR))
+
+
+def tick_violations(spark, sf_dir) -> DataFrame:
+    """The rules of the bar contract on raw ticks, which repeat keys and have other sessions."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    price = F.col("value")
+    ticks = e.select(F.col("event_type").alias("symbol"), bucket(F.col("ts").cast("timestamp"), 60).alias("ts"), price.alias("open"), (price - 1).alias("high"), price.alias("low"), price.alias("close"))
+    close = F.col("close")
+    return violations(ticks.withColumns({"volume": close - 50, "session": F.when(close > 10, "rth").when(close > 5, "night")}))
+
+
+def scan_errors(spark, sf_dir) -> DataFrame:
+    """Watched symbols without bars, or with too few for the engines of a slow flow."""
+    slow = sc.ScanRequest(engines=sc.builtin_engines(f=Flow(gate_len=480)))
+    return sc.scan(daily(spark, sf_dir), slow, watchlist(spark, sf_dir)).errors
+
+
 def _script(name: str):
     def query(spark, sf_dir) -> DataFrame:
         out = with_script(daily(spark, sf_dir), SCRIPTS[name], prefix="x")
@@ -192,4 +243,10 @@ QUERIES = {
     "starred_lookup": starred,
     "tape": tape,
     "short_history": user_history,
+    "rth_only": lambda s, d: quantised(rth_only(hourly(s, d))),
+    "trim_delay": lambda s, d: quantised(trim_delay(from_events(s, d, Timeframe.M15), Timeframe.M15, NOW, 900)),
+    "filter_operators": filter_operators,
+    "bar_violations": tick_violations,
+    "scan_errors": scan_errors,
+    "script_features": script_features,
 } | {f"script_{name}": _script(name) for name in SCRIPTS}
