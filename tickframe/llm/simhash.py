@@ -337,19 +337,24 @@ def links(distinct: DataFrame, most: int = MOST_BITS, words: int = 1) -> DataFra
 
 
 def jaccard(left: pa.Array, right: pa.Array, size: int = NEAR_SHINGLE) -> np.ndarray:
-    """Similarity of the sets of shingles of each pair of texts, 0 where both have none."""
-    length = np.asarray(pc.fill_null(pc.binary_length(left), 0)).astype(np.int64) + np.asarray(pc.fill_null(pc.binary_length(right), 0))
+    """Similarity of the sets of shingles of each pair of texts, 0 where both have none. A text that many pairs name is shingled once."""
+    n = len(left)
+    coded = pa.concat_arrays([left, right]).dictionary_encode(null_encoding="encode")
+    at, texts = np.asarray(coded.indices), coded.dictionary
+    length = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     part = np.cumsum(length) // SLICE
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(left)]
-    out = np.zeros(len(left))
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(texts)]
+    sets: list[np.ndarray] = []
     for low, high in zip(cuts, cuts[1:], strict=False):
-        n = high - low
-        hashes, made = shingle_hashes(pa.concat_arrays([left.slice(low, n), right.slice(low, n)]), size)
-        own = np.split(hashes, np.cumsum(made)[:-1])
-        for i in range(n):
-            a, b = np.unique(own[i]), np.unique(own[n + i])
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out[low + i] = both / max(len(a) + len(b) - both, 1)
+        if high > low:
+            hashes, made = shingle_hashes(texts.slice(low, high - low), size)
+            sets += map(np.unique, np.split(hashes, np.cumsum(made)[:-1]))
+    out = np.zeros(n)
+    for i, (a, b) in enumerate(zip(at[:n].tolist(), at[n:].tolist(), strict=True)):
+        few, many = sorted((sets[a], sets[b]), key=len)
+        if len(few):
+            both = np.count_nonzero(many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few)
+            out[i] = both / (len(few) + len(many) - both)
     return out
 
 
@@ -439,9 +444,10 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterat
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def _forest(fp: np.ndarray, root: np.ndarray, most: int, seed: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, places) of the links between different roots in a spanning forest of the pairs within most bits, searched in an order of the seed."""
-    left = np.random.default_rng(seed).permutation(len(fp))
+def _forest(fp: np.ndarray, root: np.ndarray, most: int, seed: tuple[int, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, places) of the links between different roots in a spanning forest of the pairs within most bits, searched in an order of the seed
+    (none: the order given)."""
+    left = np.arange(len(fp)) if seed is None else np.random.default_rng(seed).permutation(len(fp))
     while len(left):
         frontier, left = left[:1], left[1:]
         while len(frontier) and len(left):
@@ -518,7 +524,8 @@ def met(nodes: DataFrame, word: int, words: int, most: int) -> DataFrame:
             for k in np.flatnonzero(size > SMALL):
                 own = slice(start[k], start[k] + size[k])
                 yield key[own] | word << 28, node[own], np.full(size[k], -1)
-                for a, b in _forest(fp[own], node[own], most, (0, int(key[start[k]]))):
+                # In the order of the nodes, so that groups with the same members give the same candidates.
+                for a, b in _forest(fp[own], node[own], most):
                     yield np.full(len(a), -1), node[own][a], node[own][b]
 
     indexed = nodes.select("node", "fp").mapInArrow(index, "key long, node long, own long, next long")
@@ -563,7 +570,7 @@ def rooted_nodes(nodes: DataFrame, keyed: DataFrame, most: int, words: int, leas
         """Those of the candidates that are links; the table of candidates goes."""
         named = nodes.join(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
         texts = written(keyed.select("k", "t").join(named, F.col("k") == F.col("one")).groupBy("node").agg(F.first("t").alias("t")), "dedup-texts")
-        links = written(similar(found, texts.withColumnRenamed("node", "fp"), least, size), "dedup-links", batches=arrow_batches(256, 16 << 20))
+        links = written(similar(found, texts.withColumnRenamed("node", "fp"), least, size), "dedup-links", batches=arrow_batches(4096, 16 << 20))
         released(texts, found)
         return links
 
