@@ -6,6 +6,7 @@ import os
 import random
 import struct
 import time
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -56,6 +57,25 @@ def test_quality_filter_and_ablation(spark):
     assert by["few_words"].n_failed == 4 and by["few_words"].n_kept_without == 5  # documents 4 and 5 have short words too
 
 
+def test_quality_filtered_query(spark, tmp_path):
+    """A filter on the query's result reads the stored ledger: no measure is evaluated in it."""
+    odd_docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    out = quality.query(spark, f"file://{tmp_path}")
+    for condition, ids in (("kept", [2, 3, 3]), ("not base_failed", [2, 3, 3]), ("fail_bits & 1 = 1", [None, 1, 4, 5])):
+        found = out.filter(condition)
+        assert "regexp_extract_all" not in found._jdf.queryExecution().toString()
+        assert sorted((r.doc_id for r in found.collect()), key=lambda i: (i is not None, i)) == ids
+
+
+def test_language_of_no_letters():
+    """By categories: what has no letter teaches and predicts nothing."""
+    known = langid.Profiles({"en": langid.top(*langid.grams("the cat sat on the mat")), "de": langid.top(*langid.grams("die katze sitzt auf der matte"))})
+    for text in ("", "²", "½ ①", "12 34", "٣ ४", "-_-", "Ⅷ ", "\u0301"):
+        assert not any(unicodedata.category(c).startswith("L") for c in text) and known.predict(text) == ("und", 0.0)
+    for text in ("é", "x²", "日本"):
+        assert known.predict(text)[0] in ("de", "en")
+
+
 def test_mixing(spark):
     rng = random.Random(2)
     rows = [(i, "w " * rng.randint(0, 9), rng.choice(["a", "b", "c", None, "é"])) for i in range(400)]

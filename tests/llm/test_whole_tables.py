@@ -1,6 +1,7 @@
 """Queries and the pipeline over the smallest tables, against plain versions."""
 
 import hashlib
+import unicodedata
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
@@ -118,7 +119,7 @@ def test_sharding(spark):
 
 def plain_distance(text, profile, size=langid.PROFILE):
     """Out-of-place distance by dictionaries."""
-    words = langid._OTHER.sub("_", f"_{text.lower()}_")
+    words = "_".join(["", *"".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()).split(), ""]) or "_"
     grams = Counter(words[i : i + n] for n in (1, 2, 3) for i in range(len(words) - n + 1) if words[i : i + n] != "_" and not (n == 3 and words[i + 1] == "_"))
     return grams, profile, size
 

@@ -4,7 +4,7 @@ A profile is the list of the most frequent 1- to 3-grams of letters, in order. A
 the out-of-place distance: for each of its n-grams the difference of the two ranks, or the largest one if the language lacks it. The
 nearest language is predicted.
 
-Fitting counts n-grams in a bounded sample of labelled rows: of each language the `FIT_DOCS` documents with the least hash (the bound is a
+Fitting counts n-grams in a bounded sample of labelled rows: of each language the `FIT_DOCS` documents with the least hash of their text (the bound is a
 parameter; up to about twice as many are taken). Profiles have PROFILE rows a language; they are the only thing sent to all tasks, checked to be at
 most MOST_LANGUAGES. Predicting reads whole texts, each in its own row, with no shuffle.
 
@@ -16,6 +16,8 @@ language where `lang` is null.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Collection, Iterator
 
 import numpy as np
@@ -33,7 +35,8 @@ MOST_LANGUAGES = 1_000
 #: least has 0.378; texts of a language that isn't learned, encoded data and random letters have 0.24 or less.
 LEAST_SCORE = 0.3
 
-_OTHER = re.compile(r"[\W\d_]+")
+#: All but letters. Python's word characters have number signs such as ² and ½ (categories Nl and No) beside letters and digits.
+_OTHER = re.compile(r"[\W\d_" + "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No")) + "]+")
 _BOUND = ord("_")
 
 
@@ -85,10 +88,10 @@ class Profiles:
 def fit(labelled: DataFrame, docs_each: int = FIT_DOCS, size: int = PROFILE) -> Profiles:
     """Profiles from rows (doc_id, text, lang); rows without text or lang teach nothing.
 
-    The sample is chosen by hash, so that no text moves and reruns agree.
+    The sample is chosen by a hash of the text alone, so that no text moves and reruns agree.
     """
     spark = labelled.sparkSession
-    h = F.shiftrightunsigned(F.xxhash64(F.lit("fit"), F.col("doc_id"), F.col("text")), 1)
+    h = F.shiftrightunsigned(F.xxhash64(F.lit("fit"), F.col("text")), 1)
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.floor(F.log2(h.cast("double") + 1)).cast("int").alias("e"))
     # Rows by the binary order of their hash: 64 counts a language. The least order whose rows suffice gives at most about twice the bound.
     tally = rows.groupBy("lang", "e").count()

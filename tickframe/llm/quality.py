@@ -1,7 +1,8 @@
 """Quality rules as a bitmask ledger.
 
-Every rule is evaluated once for each document. The ledger keeps one bit for each rule that failed and the measurements behind it.
-Policies are versioned masks over these bits, so that a new policy, or an ablation of one, reads the ledger and never the texts.
+Every rule is evaluated once for each document. The ledger keeps one bit for each rule that failed and the measurements behind it, in a table of
+its own. Policies are versioned masks over these bits, so that a new policy, a filter on its verdict, or an ablation reads the stored bits and never
+the texts. (A filter on a ledger that isn't stored would be pushed below the measures and evaluate them anew in every rule.)
 
 Only DataFrame expressions: each document is measured in its own row, with no shuffle.
 
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, as_struct, sql_text
+from .common import SPACES, WORD, as_struct, sql_text, written
 
 SYMBOLS = "#*$%&|<>"
 
@@ -49,7 +50,6 @@ POLICIES = {
     "base": Policy("base", ("few_words", "repeated_words")),
     "v1": Policy("v1", ("few_words", "repeated_words", "many_symbols", "repeated_lines", "short_words", "long_words")),
 }
-BASE_MASK = POLICIES["base"].mask
 
 
 def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -93,6 +93,11 @@ def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     return with_bits(measured(docs, text, keep))
 
 
+def stored_ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ledger as a table in the shared folder: texts are read once, whatever policies, filters and ablations are asked for after."""
+    return written(ledger(docs, text, keep), "quality-ledger")
+
+
 def passes(policy: Policy, bits: str = "fail_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(policy.mask).cast("long")) == 0
 
@@ -132,11 +137,9 @@ def filter_documents(docs: DataFrame, policy: Policy = POLICIES["v1"], text: str
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op5: the ledger of all documents under policy v1."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    entries = apply_policy(ledger(docs), POLICIES["v1"])
-    base_failed = F.col("fail_bits").bitwiseAND(F.lit(BASE_MASK).cast("long")) != 0
-    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "kept", "fail_bits")
+    """op5: the stored ledger of all documents, with the verdicts of the base policy and of v1 read from its bits."""
+    entries = apply_policy(stored_ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), POLICIES["v1"])
+    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes(POLICIES["base"])).alias("base_failed"), "kept", "fail_bits")
 
 
 SQL = r"""
