@@ -1,6 +1,6 @@
 """The operators' queries and their SQL."""
 
-from . import chat, divergence, html, katz, langid, media, mixing, packing, periodic, quality, sharding, simhash
+from . import chat, divergence, html, jaccard, katz, langid, media, mixing, packing, periodic, quality, sharding, simhash
 
 QUERIES = {
     "op1_html_extract": html.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op10_language_id": langid.query,
     "op11_source_divergence": divergence.query,
     "op12_periodic_runs": periodic.query,
+    "op13_ngram_jaccard": jaccard.query,
 }
 #: Where SQL can express the operator on whole tables.
 ORACLE = {
     "op5_quality_rules": quality.SQL,
     "op7_mix_sources": mixing.SQL,
     "op11_source_divergence": divergence.SQL,
+    "op13_ngram_jaccard": jaccard.SQL,
 }
