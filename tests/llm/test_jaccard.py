@@ -53,7 +53,7 @@ def fixture():
     return rows
 
 
-@pytest.mark.parametrize("bounds", [{}, {"small": 2, "block": 4, "bucket": 256, "step": 4, "hot": 16, "fragments": 3}])
+@pytest.mark.parametrize("bounds", [{}, {"block": 4, "bucket": 256, "step": 4, "hot": 16, "fragments": 3}])
 def test_all_pairs(spark, bounds):
     """Also with families of many blocks, shingles dealt in two steps, and hot shingles."""
     rows = fixture()
@@ -67,7 +67,7 @@ def test_all_pairs(spark, bounds):
 def test_other_sizes_and_no_rows(spark):
     rows = fixture()[::2]
     docs = spark.createDataFrame(rows, SCHEMA)
-    got = jaccard.join_documents(docs, size=2, percent=55, block=8, small=4)
+    got = jaccard.join_documents(docs, size=2, percent=55, block=8)
     assert sorted((tuple(r) for r in got.collect()), key=str) == plain(rows, 2, 55)
     assert jaccard.join_documents(docs.filter("false")).count() == 0
 
@@ -89,3 +89,10 @@ def test_prefix_is_enough():
         if 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y)):
             cut = [set(np.sort(s)[: int(jaccard.prefix_length(np.array(len(s))))]) for s in (x, y)]
             assert cut[0] & cut[1]
+
+
+def test_packed_hashes_come_back():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 1000, 100_000):
+        h = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert (jaccard._hashes(jaccard._gaps(h), len(h)) == h).all() and len(jaccard._gaps(h)) in (8 + 6 * (len(h) - 1), 8 * len(h))

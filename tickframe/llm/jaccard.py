@@ -5,8 +5,8 @@ only is first; it counts for the set's size and prefix and is never met again. T
 |x| - ceil(PERCENT * |x|) + 1 shingles of both (the prefix), and a set of which fewer than PERCENT occur in any other set can't link at all.
 
 Vertical partitioning: the order is cut at pivots into FRAGMENTS with about equally many shingles, each set into one segment a fragment. Sets that may
-link make units: the different lists of sets that share a prefix shingle, or, where over SMALL sets share one, blocks of a family (all that share
-such a shingle with one leader). In a unit the overlaps of all its pairs are counted fragment by fragment, a fragment's segments in memory at a
+link make families: a prefix shingle's leader is the least set that has it, and a family is what shares a shingle with one leader. A family is a
+unit, a large one is cut into blocks that are. In a unit the overlaps of all its pairs are counted fragment by fragment, a fragment's segments in memory at a
 time, and the partial counts are summed per pair; a pair links if 100 * overlap >= PERCENT * union. Pairs never leave their task, only a spanning
 forest of the links does.
 
@@ -14,7 +14,7 @@ Families are met in two rounds: in blocks by two different deals, which unites w
 two components of the first round meet. A family whose members do not link costs counts by the square of its size, spread over its blocks' pairs;
 rows grow with its size times its number of blocks.
 
-Document frequencies come from one exchange of all shingles by hash, packed as sorted blocks (about 10 bytes a shingle), in two steps where there
+Document frequencies come from one exchange of all shingles by hash, packed as sorted blocks (about 9 bytes a shingle), in two steps where there
 are many buckets. Shingles that alone would overfill a bucket are found while the sets are made, by counts within batches; they are last in the
 order, need no count, and stay with their sets.
 
@@ -45,8 +45,7 @@ SHINGLE = 5
 #: A link: this share of the union in both sets, in hundredths.
 PERCENT = 80
 FRAGMENTS = 4
-#: Sets that share a prefix shingle are one unit up to this size, else a family that is met in blocks of BLOCK.
-SMALL = 32
+#: Sets of a family that are met at once, about.
 BLOCK = 256
 #: Shingles of a bucket, about; buckets that one step deals to; shingles that a task holds before it packs them.
 BUCKET = 1 << 21
@@ -121,6 +120,23 @@ def hot_shingles(sets: DataFrame, least: int = HOT, most: int = MOST_HOT) -> np.
 PACKED = "bucket long, salt int, ids binary, sizes binary, hashes binary, at binary"
 
 
+def _gaps(h: np.ndarray) -> bytes:
+    """Sorted hashes: the first one, then the distances to the next, in six bytes each if all fit."""
+    gaps = np.diff(h)
+    data = gaps.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() if not len(gaps) or int(gaps.max()) < 1 << 48 else gaps.tobytes()
+    return h[:1].tobytes() + data
+
+
+def _hashes(data: bytes, n: int) -> np.ndarray:
+    """The inverse of _gaps for n hashes."""
+    out = np.zeros((n, 8), np.uint8)
+    out[0] = np.frombuffer(data[:8], np.uint8)
+    if n > 1:
+        width = (len(data) - 8) // (n - 1)
+        out[1:, :width] = np.frombuffer(data, np.uint8, offset=8).reshape(-1, width)
+    return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _packed(place: np.ndarray, h: np.ndarray, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray, salt: int) -> Iterator[pa.RecordBatch]:
     """Shingles h of the sets ids[at], a row for each bucket of place."""
     order = np.lexsort((at, h, place))
@@ -131,7 +147,7 @@ def _packed(place: np.ndarray, h: np.ndarray, at: np.ndarray, ids: np.ndarray, s
         if high > low:
             used, own = np.unique(at[low:high], return_inverse=True)
             own = own.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
-            rows.append((int(place[low]), salt, ids[used].tobytes(), sizes[used].tobytes(), h[low:high].tobytes(), own.tobytes()))
+            rows.append((int(place[low]), salt, ids[used].tobytes(), sizes[used].astype(np.uint32).tobytes(), _gaps(h[low:high]), own.tobytes()))
         if len(rows) >= 1024 or high == len(h) and rows:
             types = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], PACKED_NAMES)
@@ -149,8 +165,9 @@ def bucket_of(h: np.ndarray, shift: int, buckets: int) -> np.ndarray:
 def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(bucket, hashes, at, ids, sizes) of each row."""
     for bucket, ids, sizes, h, at in zip(batch["bucket"].to_pylist(), *(batch[k].to_pylist() for k in ("ids", "sizes", "hashes", "at")), strict=True):
-        ids, h = np.frombuffer(ids, np.int64), np.frombuffer(h, np.uint64)
-        yield bucket, h, np.frombuffer(at, np.uint16 if len(ids) <= 1 << 16 else np.uint32).astype(np.int64), ids, np.frombuffer(sizes, np.int64)
+        ids = np.frombuffer(ids, np.int64)
+        at = np.frombuffer(at, np.uint16 if len(ids) <= 1 << 16 else np.uint32).astype(np.int64)
+        yield bucket, _hashes(h, len(at)), at, ids, np.frombuffer(sizes, np.uint32).astype(np.int64)
 
 
 class _Pack:
@@ -325,18 +342,16 @@ def pivots(alive: DataFrame, fragments: int = FRAGMENTS) -> np.ndarray:
     return np.unique([found[k][0] for k in cuts]) if len(upto) else np.zeros(0, np.int64)
 
 
-def units_of(shared: DataFrame, small: int = SMALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def units_of(shared: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(unit, set of what is met in the first round; family, set of the families that have several blocks). shared: h, set."""
     by = shared.groupBy("h").agg(F.count("*").alias("c"), F.min("set").alias("leader")).filter("c > 1")
-    few = shared.join(by.filter(F.col("c") <= small).select("h"), "h").groupBy("h").agg(F.sort_array(F.collect_list("set")).alias("sets"))
-    few = few.select("sets").distinct().select(F.xxhash64("sets").alias("unit"), F.explode("sets").alias("set"))
-    family = written(shared.join(by.filter(F.col("c") > small).select("h", "leader"), "h").select(F.col("leader").alias("family"), "set").distinct(), "jaccard-families")
+    family = written(shared.join(by.select("h", "leader"), "h").select(F.col("leader").alias("family"), "set").distinct(), "jaccard-families")
     blocks = family.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = family.join(blocks, "family")
     turns = F.explode(F.when(F.col("blocks") > 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("turn")
     dealt = dealt.select("family", "set", "blocks", turns)
-    many = dealt.select(F.xxhash64("family", "turn", F.pmod(F.xxhash64("set", "turn"), "blocks")).alias("unit"), "set")
-    return few.union(many), family.join(blocks.filter("blocks > 1").select("family"), "family", "left_semi")
+    first = dealt.select(F.xxhash64("family", "turn", F.pmod(F.xxhash64("set", "turn"), "blocks")).alias("unit"), "set")
+    return first, family.join(blocks.filter("blocks > 1").select("family"), "family", "left_semi")
 
 
 def blocks_that_meet(family: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -461,7 +476,7 @@ def _pairs(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)])) for k in (0, 1)], ["a", "b"])
 
 
-def set_components(docs: DataFrame, sets: DataFrame, text: str = "text", size: int = SHINGLE, percent: int = PERCENT, *, small: int = SMALL, block: int = BLOCK,
+def set_components(docs: DataFrame, sets: DataFrame, text: str = "text", size: int = SHINGLE, percent: int = PERCENT, *, block: int = BLOCK,
                    bucket: int = BUCKET, step: int = STEP, hot: int = HOT, fragments: int = FRAGMENTS) -> DataFrame:
     """node, root: the sets that are linked with another and the least set of their component, as a table. sets: what with_sets gave for docs."""
     batches = arrow_batches(2048, 16 << 20)
@@ -471,7 +486,7 @@ def set_components(docs: DataFrame, sets: DataFrame, text: str = "text", size: i
         alive = written(alive_sets(shared, percent), "jaccard-alive")
         released(shared)
         cuts = pivots(alive, fragments)
-        first, family = units_of(written(prefixes(alive, percent), "jaccard-prefixes"), small, block)
+        first, family = units_of(written(prefixes(alive, percent), "jaccard-prefixes"), block)
         links = written(linked(first.withColumn("root", F.col("set")), alive, cuts, percent), "jaccard-links", batches=batches)
         roots = components(links)
         if not family.isEmpty():
