@@ -1,5 +1,6 @@
 """Primitives against literals, plans against loops, the filter language, sessions, and the scan's edges."""
 
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -53,10 +54,49 @@ def test_window_with_gap(spark):
     assert column(out, "s") == [None, None, None, 3.5]
 
 
-def test_recursion_and_gap_rules():
-    assert rec.recurse([1.0, 2.0, 3.0, 4.0], 2, 2 / 3) == [None, 1.5, 2.5, pytest.approx(3.5)]
-    assert rec.recurse([1.0, None, 3.0, 5.0], 2, 0.5) == [None, None, 2.0, 3.5]
-    assert rec.recurse([1.0, 2.0, None, 3.0, 5.0], 2, 0.5, "reset") == [None, 1.5, None, None, 4.0]
+def recurse(values, n, alpha, on_gap="skip"):
+    """Value by value."""
+    out, y, seen, total = [], None, 0, 0.0
+    for x in values:
+        if x is None:
+            if on_gap == "reset":
+                y, seen, total = None, 0, 0.0
+            out.append(None)
+            continue
+        if y is None:
+            seen, total = seen + 1, total + x
+            y = total / n if seen == n else None
+        else:
+            y = alpha * x + (1 - alpha) * y
+        out.append(y)
+    return out
+
+
+def test_recursion_and_gap_rules(spark):
+    made = lambda closes, *spec: column(rec.with_recursions(bars_of(spark, closes), rec.Recursion("y", "close", *spec)), "y")
+    assert made([1.0, 2.0, 3.0, 4.0], 2, 2 / 3) == [None, 1.5, pytest.approx(2.5), pytest.approx(3.5)]
+    assert made([1.0, None, 3.0, 5.0], 2, 0.5) == [None, None, 2.0, 3.5]
+    assert made([1.0, 2.0, None, 3.0, 5.0], 2, 0.5, "reset") == [None, 1.5, None, None, 4.0]
+
+
+@pytest.mark.parametrize("gaps", [0.0, 0.02, 0.5, 1.0])
+def test_recursions_over_many_blocks(spark, gaps):
+    """Against the loop: fast and slow ones, seeds and gaps anywhere, one reading another; no Python and one exchange in the plan."""
+    rng = random.Random(3)
+    closes = [None if rng.random() < gaps else 100 + 50 * math.sin(i / 40) + rng.gauss(0, 5) for i in range(3000)]
+    closes[700:1400] = [0.0 if c is not None else None for c in closes[700:1400]]
+    specs = [f(f"{f.__name__}{n}{gap}", "close", n, gap) for f in (rec.ema, rec.rma) for n in (1, 2, 5, 14, 200) for gap in ("skip", "reset")]
+    out = rec.with_recursions(bars_of(spark, closes), *specs, rec.ema("twice", "rma5skip", 3))
+    rows = out.orderBy("ts").collect()
+    for name, want in [(s.out, recurse(closes, s.n, s.alpha, s.on_gap)) for s in specs] + [("twice", recurse([r.rma5skip for r in rows], 3, 0.5))]:
+        got = [r[name] for r in rows]
+        assert [x is None for x in got] == [x is None for x in want], name
+        assert all(math.isclose(a, b, rel_tol=1e-10, abs_tol=1e-10) for a, b in zip(got, want) if a is not None), name
+    assert all(math.isfinite(r.twice) for r in rows if r.twice is not None) and rec.block_length([0.999999]) >= 2
+    lengths = rec.block_lengths({2 / 3, 0.5, 1 / 3, 1 / 14, 0.001, 1.0})
+    assert lengths[0.5] == lengths[1 / 3] == lengths[2 / 3] < lengths[1 / 14] < lengths[0.001] and 1.0 not in lengths
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
 
 
 def test_rsi_edges(spark):
@@ -74,7 +114,7 @@ def test_momentum_against_loop(spark):
     for i in range(150):
         m = [abs(closes[k] - closes[k - 10]) for k in range(max(10, i - 49), i + 1)]
         raw.append((closes[i] - closes[i - 10]) / (sum(m) / 50) if len(m) == 50 and sum(m) > 0 else 0.0)
-    want = rec.recurse([50 * math.tanh(r / 2) for r in raw], 3, 0.5)
+    want = recurse([50 * math.tanh(r / 2) for r in raw], 3, 0.5)
     assert got == pytest.approx(want, nan_ok=True)
 
 

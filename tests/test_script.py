@@ -5,10 +5,9 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
-from test_engine import bars_of, column, walk
+from test_engine import bars_of, column, recurse, walk
 
 from tickframe.operators import window as w
-from tickframe.operators.recursive import recurse
 from tickframe.plans.momentum import momentum
 from tickframe.script.engine import last_values, prefix_of, script_engine, with_script
 from tickframe.script.program import Run, analyse, resampled

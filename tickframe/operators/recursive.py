@@ -1,7 +1,9 @@
-"""Seeded recursions (EMA, Wilder's RMA, RSI, ATR) along a symbol's bars.
+"""Seeded recursions (EMA, Wilder's RMA, RSI, ATR) along a symbol's bars, as window expressions.
 
-Spark has no window primitive whose value depends on its own last one. All recursions that a plan needs at one point run in one grouped
-pass over Arrow tables: linear in the bars, one symbol's columns in memory at a time. The result keeps every input column.
+y = alpha * x + (1 - alpha) * y before it. Values are cut into blocks by their number in the series. Within a block y is a running sum of inputs with
+growing weights, scaled back; what came before the block is an affine map's other half: the value at the end of the block before, times a power of
+1 - alpha. A block is so long that what came before the block before it weighs under 1e-26, and so short that no weight overflows, so that one carry is exact
+to the last digits. Everything is a window over one exchange by symbol: nothing is stepped value by value, and no Python runs.
 
 Seeding: the first value is the mean of the first n valid inputs, none before. A missing input is skipped (on_gap="skip": the recursion goes
 on over the valid ones) or starts the seeding again (on_gap="reset").
@@ -9,70 +11,122 @@ on over the valid ones) or starts the seeding again (on_gap="reset").
 
 from __future__ import annotations
 
+import math
 from collections.abc import Collection
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import window as w
 
 
 @dataclass(frozen=True)
 class Recursion:
+    """gaps: a column that is missing where the source is (the source itself if none is named); recursions with the same gaps share their numbering,
+    and so their window nodes."""
+
     out: str
     source: str
     n: int
     alpha: float
     on_gap: str = "skip"
+    gaps: str | None = None
 
 
-def ema(out: str, source: str, n: int, on_gap: str = "skip") -> Recursion:
-    return Recursion(out, source, n, 2 / (n + 1), on_gap)
+def ema(out: str, source: str, n: int, on_gap: str = "skip", gaps: str | None = None) -> Recursion:
+    return Recursion(out, source, n, 2 / (n + 1), on_gap, gaps)
 
 
-def rma(out: str, source: str, n: int, on_gap: str = "skip") -> Recursion:
-    return Recursion(out, source, n, 1 / n, on_gap)
+def rma(out: str, source: str, n: int, on_gap: str = "skip", gaps: str | None = None) -> Recursion:
+    return Recursion(out, source, n, 1 / n, on_gap, gaps)
 
 
-def recurse(values: list[float | None], n: int, alpha: float, on_gap: str = "skip") -> list[float | None]:
-    out: list[float | None] = []
-    y, seen, total = None, 0, 0.0
-    for x in values:
-        if x is None:
-            if on_gap == "reset":
-                y, seen, total = None, 0, 0.0
-            out.append(None)
-            continue
-        if y is None:
-            seen, total = seen + 1, total + x
-            if seen == n:
-                y = total / n
-        else:
-            y = alpha * x + (1 - alpha) * y
-        out.append(y)
+def block_length(alphas: list[float]) -> int:
+    """A power of two: the weights of so many values grow to at most e^300 under the fastest of the alphas."""
+    return 1 << int(math.log2(max(2.0, 300.0 / -math.log1p(-max(alphas)))))
+
+
+def block_lengths(alphas: set[float]) -> dict[float, int]:
+    """A block length for each alpha below 1; one for several as long as a whole block weighs at most e^-60 under each of them."""
+    out: dict[float, int] = {}
+    for alpha in sorted((a for a in alphas if a < 1), reverse=True):
+        fits = [n for n in out.values() if n * -math.log1p(-alpha) >= 60]
+        out[alpha] = min(fits) if fits else block_length([alpha])
     return out
 
 
 def with_recursions(bars: DataFrame, *specs: Recursion, spent: Collection[str] = ()) -> DataFrame:
     """bars with each recursion's column, without those that are spent then; a recursion may read another's output that stands before it."""
-    kept = [f for f in bars.schema.fields if f.name not in spent]
-    schema = T.StructType([*kept, *(T.StructField(s.out, T.DoubleType()) for s in specs if s.out not in spent)])
-    kinds = {s.out: pa.float64() for s in specs}
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("ts")
-        have: dict[str, list] = {}
-        for s in specs:
-            if s.source not in have:
-                have[s.source] = table[s.source].to_pylist()
-            have[s.out] = recurse(have[s.source], s.n, s.alpha, s.on_gap)
-            table = table.append_column(s.out, pa.array(have[s.out], kinds[s.out]))
-        return table.select(schema.names)
-
-    return bars.groupBy("symbol").applyInArrow(run, schema)
+    names, left = bars.columns, list(specs)
+    while left:
+        outputs = {s.out for s in left}
+        ready = [s for s in left if s.source not in outputs]
+        bars = _side_by_side(bars, ready)
+        left = [s for s in left if s.source in outputs]
+    return bars.select(*(c for c in (*names, *(s.out for s in specs)) if c not in spent))
+
+
+def _side_by_side(bars: DataFrame, specs: list[Recursion]) -> DataFrame:
+    """Recursions of which none reads another's output; those of one source share its numbering, those of one block length its blocks."""
+    before = bars.columns
+    every = w.by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    key = lambda s: (s.gaps or s.source, s.on_gap)
+    kinds = {k: i for i, k in enumerate(dict.fromkeys(map(key, specs)))}
+    lengths = {k: block_lengths({s.alpha for s in specs if key(s) == k}) for k in kinds}
+    where = lambda s: kinds[key(s)]
+    length = lambda s: lengths[key(s)][s.alpha]
+    cut = [s for s in specs if s.alpha < 1]
+    numbers = {f"__v{k}": F.count(gaps).over(every) - 1 for (gaps, on_gap), k in kinds.items() if on_gap == "skip"}
+    if any(on_gap == "reset" for _, on_gap in kinds):
+        numbers["__row"] = F.row_number().over(w.by_symbol())
+    seeds = {f"__seed{i}": F.avg(s.source).over(every if s.on_gap == "skip" else w.last_rows(s.n)) for i, s in enumerate(specs)}
+    bars = bars.withColumns(numbers | seeds)
+    if "__row" in numbers:
+        # __run: the row of the last missing input; the value's number counts from there.
+        last = lambda gaps: F.last(F.when(F.col(gaps).isNull(), F.col("__row")), ignorenulls=True).over(every)
+        runs = {f"__run{k}": F.coalesce(last(gaps), F.lit(0)) for (gaps, on_gap), k in kinds.items() if on_gap == "reset"}
+        bars = bars.withColumns(runs)
+        bars = bars.withColumns({f"__v{k[5:]}": F.col("__row") - F.col(k) - 1 for k in runs})
+    cuts = sorted({(where(s), length(s)) for s in cut})
+    bars = bars.withColumns({f"__b{k}_{n}": F.floor(F.col(f"__v{k}") / n) for k, n in cuts}) if cuts else bars
+
+    def place(s: Recursion) -> tuple[Column, Column, Column]:
+        """The value's number, its place in its block, and whether it is there and past the seed."""
+        v = F.col(f"__v{where(s)}")
+        return v, F.pmod(v, F.lit(length(s))), F.col(s.source).isNotNull() & (v >= s.n - 1)
+
+    scaled = {}
+    for i, s in enumerate(specs):
+        if s in cut:
+            v, at, there = place(s)
+            k, grow = where(s), 1 / (1 - s.alpha)
+            own = Window.partitionBy("symbol", *([f"__run{k}"] if s.on_gap == "reset" else []), f"__b{k}_{length(s)}").orderBy("ts")
+            x = F.when(v == s.n - 1, F.col(f"__seed{i}")).otherwise(s.alpha * F.col(s.source))
+            total = F.sum(F.when(there, x * F.pow(F.lit(grow), at))).over(own.rowsBetween(Window.unboundedPreceding, 0))
+            scaled[f"__z{i}"] = total * F.pow(F.lit(1 - s.alpha), at)
+    # A window node for each blocking of each source: the same ones side by side.
+    for own in cuts:
+        bars = bars.withColumns({f"__z{i}": scaled[f"__z{i}"] for i, s in enumerate(specs) if s in cut and (where(s), length(s)) == own})
+    ends = {}
+    for i, s in enumerate(specs):
+        if s in cut:
+            _, at, there = place(s)
+            run = F.col(f"__run{where(s)}") if s.on_gap == "reset" else F.lit(0)
+            end = F.when(there & (at == length(s) - 1), F.struct(F.col(f"__z{i}").alias("z"), run.alias("run")))
+            ends[f"__end{i}"] = F.last(end, ignorenulls=True).over(w.by_symbol().rowsBetween(Window.unboundedPreceding, -1))
+    bars = bars.withColumns(ends) if ends else bars
+    out = {}
+    for i, s in enumerate(specs):
+        if s in cut:
+            v, at, there = place(s)
+            end = F.col(f"__end{i}")
+            same = end["run"] == (F.col(f"__run{where(s)}") if s.on_gap == "reset" else F.lit(0))
+            carried = F.when(same, end["z"] * F.pow(F.lit(1 - s.alpha), at + 1)).otherwise(F.lit(0.0))
+            out[s.out] = F.when(there, F.when(v == s.n - 1, F.col(f"__seed{i}")).otherwise(F.col(f"__z{i}") + carried))
+        else:
+            out[s.out] = F.col(s.source)
+    return bars.withColumns(out).select(*before, *out)
 
 
 def with_rsi(bars: DataFrame, out: str, source: str, n: int) -> DataFrame:
@@ -81,7 +135,7 @@ def with_rsi(bars: DataFrame, out: str, source: str, n: int) -> DataFrame:
     bars = bars.withColumn("__d", d)
     bars = bars.withColumns({"__gain": F.greatest(F.col("__d"), F.lit(0.0)), "__loss": F.greatest(-F.col("__d"), F.lit(0.0))})
     bars = bars.withColumns({c: F.when(F.col("__d").isNotNull(), F.col(c)) for c in ("__gain", "__loss")})
-    bars = with_recursions(bars, rma("__up", "__gain", n), rma("__down", "__loss", n))
+    bars = with_recursions(bars, rma("__up", "__gain", n, gaps="__d"), rma("__down", "__loss", n, gaps="__d"))
     return rsi_column(bars, out).drop("__d", "__gain", "__loss")
 
 

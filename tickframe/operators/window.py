@@ -64,6 +64,11 @@ def share_at_most(values: Column, x: Column, n: int) -> Column:
     return F.when((F.size(values) == n) & x.isNotNull(), F.size(F.filter(values, lambda v: v <= x)) * F.lit(100.0) / n)
 
 
+def percent_rank(x: Column, n: int) -> Column:
+    """Percentage of the n values before this bar's that are at most as great."""
+    return share_at_most(before(x, n), x, n)
+
+
 def ffill(x: Column) -> Column:
     return F.last(x, ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
 

@@ -88,10 +88,12 @@ def prepare(bars: DataFrame, c: Flow) -> DataFrame:
 def recursions(c: Flow) -> tuple[list[Recursion], list[str]]:
     """The recursions, and the columns that they leave spent."""
     n, twice = c.smooth_len, c.double_smooth
-    lines = [ema("__r1" if twice else "sf_retail", "__r", n), ema("__i1" if twice else "sf_inst", "__i", n)]
+    # The signed scales are never missing, nor are the two sides but for the independent scale, where each has gaps of its own.
+    dense = None if c.scale_mode == "independent" else "__i_signed"
+    lines = [ema("__r1" if twice else "sf_retail", "__r", n, gaps=dense), ema("__i1" if twice else "sf_inst", "__i", n, gaps=dense)]
     if twice:
-        lines += [ema("sf_retail", "__r1", n), ema("sf_inst", "__i1", n)]
-    return [*lines, ema("sf_inst_flow", "__i_signed", n), ema("sf_retail_flow", "__r_signed", n)], ["__r", "__i", "__r1", "__i1", "__r_signed", "__i_signed"]
+        lines += [ema("sf_retail", "__r1", n, gaps=dense and "__r1"), ema("sf_inst", "__i1", n, gaps=dense and "__r1")]
+    return [*lines, ema("sf_inst_flow", "__i_signed", n), ema("sf_retail_flow", "__r_signed", n, gaps="__i_signed")], ["__r", "__i", "__r1", "__i1", "__r_signed", "__i_signed"]
 
 
 def finish(bars: DataFrame, c: Flow) -> DataFrame:

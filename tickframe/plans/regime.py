@@ -64,7 +64,7 @@ def prepare(bars: DataFrame, c: Regime) -> DataFrame:
 
 def recursions(c: Regime) -> tuple[list[Recursion], list[str]]:
     """The recursions, and the columns that they leave spent."""
-    own = [] if c.rsi_htf else [rma("__up", "__gain", c.rsi_len), rma("__down", "__loss", c.rsi_len)]
+    own = [] if c.rsi_htf else [rma("__up", "__gain", c.rsi_len, gaps="__gain"), rma("__down", "__loss", c.rsi_len, gaps="__gain")]
     return [rma("__atr", "__tr", c.atr_len), *own], ["__tr", "__gain", "__loss"]
 
 

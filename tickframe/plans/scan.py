@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clip, half_even, signal_tier
 from ..operators import window as w
 from ..operators.recursive import Recursion, with_recursions
-from ..operators.resample import tail
 from ..predicate import apply_filter
 from ..timeframe import eastern
 from . import flow, momentum, regime
@@ -22,6 +21,9 @@ from .momentum import Momentum
 from .regime import Regime
 
 
+BARS = ("symbol", "ts", "open", "high", "low", "close", "volume", "session")
+
+
 @dataclass(frozen=True)
 class Engine:
     """prefix of its columns, the bars it needs, and what adds the columns: compute, or for engines that share one grouped pass what
@@ -121,10 +123,16 @@ def ranked(rows: DataFrame, sort: str, descending: bool = True, limit: int = 0)
 
 def scan_rows(bars: DataFrame, request: ScanRequest = ScanRequest()) -> DataFrame:
     """One row for each symbol with enough bars: base columns, the engines' columns, composite and signal."""
-    bars = tail(bars, max(request.lookback, request.warmup + 30) if request.lookback else 0)
-    enough = F.count("*").over(Window.partitionBy("symbol")) >= request.warmup
-    out = base_columns(bars.withColumn("__ok", enough).filter("__ok").drop("__ok"))
-    out = snapshot(with_engines(out, request.engines)).drop("ts", "open", "high", "low", "close", "volume", "session")
+    last = max(request.lookback, request.warmup + 30) if request.lookback else 0
+    # The last bars are told by number and count in the order that all later windows have: one sort.
+    numbered = bars.select(*BARS).withColumns({"__i": w.bar_number(), "__n": F.count("*").over(Window.partitionBy("symbol"))})
+    enough = (F.col("__n") >= request.warmup) & ((F.col("__i") > F.col("__n") - last) if last else F.lit(True))
+    bars = numbered.filter(enough).select(*BARS)
+    out = snapshot(base_columns(bars)).drop(*BARS[1:])
+    # Each engine runs over narrow bars of its own and is met at the last bar: all read one exchange by symbol, and none carries another's columns.
+    for e in request.engines:
+        made = snapshot(with_engines(bars, [e]))
+        out = out.join(made.drop(*BARS[1:]), "symbol")
     return with_composite(out)
 
 

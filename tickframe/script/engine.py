@@ -1,4 +1,4 @@
-"""Scripts over bars: a script's plots and alerts as columns, in one grouped Arrow pass (one exchange by symbol, one symbol at a time)."""
+"""Scripts over bars: a script's plots and alerts as columns of the plan; what can't be lowered in one grouped Arrow pass, a symbol at a time."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .program import Program, Run, analyse
+from .lower import ISLAND, lowered
+from .program import Program, Run, analyse, part, remade
 from .syntax import ScriptError, slug
 
 #: Fixed value: the bars that a script needs before its last one counts.
@@ -26,24 +27,53 @@ def prefix_of(program: Program, name: str = "script") -> str:
 def with_script(bars: DataFrame, source: str, overrides: dict | None = None, prefix: str | None = None, error: str | None = None) -> DataFrame:
     """bars with a column {prefix}_{title} for each plot and alert; its type is known before any bar is read.
 
-    error: a column for what went wrong in a symbol's run; its script columns are NULL then. Without it such an error ends the job.
+    What can be lowered is part of the plan (see lower); the rest runs bar by bar in one grouped Arrow pass. error: a column for what went wrong in
+    a symbol's run; its script columns are NULL then. Without it such an error ends the job.
     Missing values are NULL. Ties of ts in a symbol: the order is that of the rows, so drop repeated bars before.
     """
     overrides = dict(overrides or {})
     program = analyse(source, overrides)
     prefix = prefix or prefix_of(program)
     names = [f"{prefix}_{c.name}" for c in program.columns]
+    low = lowered(program, f"{prefix}_")
+    if low is None:
+        return _bar_by_bar(bars, program, names, error)
+    df = low.apply(bars)
+    done = {}
+    if low.island:
+        functions = [n for n in program.tree if n.kind == "function"]
+        tree = [n for i, n in enumerate(program.tree) if i in low.island or n in functions]
+        columns = {k: v for k, v in low.island_inputs.items() if not v.constant}
+        known = {k: v.value for k, v in low.island_inputs.items() if v.constant}
+        wanted = {k: kind for k, kind in low.island_kinds.items() if low.island_readers.get(k)}
+        inner = part(tree, overrides, {k: v.kind for k, v in columns.items()}, known, wanted)
+        plots = [at for i in low.island for at in range(*program.spans[i])]
+        made = [names[at] for at in plots] + [f"__{prefix}__{k}" for k in wanted]
+        df = _bar_by_bar(df, inner, made, error, {k: v.name for k, v in columns.items()})
+        df = low.apply(df, ISLAND, 2 * ISLAND)
+        done = {at: F.col(names[at]) for at in plots}
+    out = done | {at: v.column.cast(_TYPES[program.columns[at].kind][0]) for at, v in low.outputs.items()}
+    failed = [] if not error else [F.col(error) if low.island else F.lit(None).cast("string").alias(error)]
+    if error and low.island:
+        out = {at: F.when(F.col(error).isNull(), c) for at, c in out.items()}
+    return df.select(*bars.columns, *(out[at].alias(names[at]) for at in range(len(names))), *failed)
+
+
+def _bar_by_bar(bars: DataFrame, program: Program, names: list[str], error: str | None, given: dict[str, str] | None = None) -> DataFrame:
+    """bars with the program's columns, by one grouped pass. given: where its series beside the bars' own are."""
+    given = given or {}
     kinds = [_TYPES[c.kind] for c in program.columns]
     fields = [T.StructField(k, t[0]) for k, t in zip(names, kinds, strict=True)]
     schema = T.StructType([*bars.schema.fields, *fields, *([T.StructField(error, T.StringType())] if error else [])])
+    tree, overrides, known = program.tree, program.overrides, program.remade
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("ts")
-        columns: dict[str, list] = {k: table[k].to_pylist() for k in SERIES}
+        columns: dict[str, list] = {k: table[k].to_pylist() for k in SERIES} | {k: table[c].to_pylist() for k, c in given.items()}
         columns["ts"] = [t.replace(tzinfo=timezone.utc) if t.tzinfo is None else t.astimezone(timezone.utc) for t in table["ts"].to_pylist()]
         message = None
         try:
-            made = Run(analyse(source, overrides), columns).go().columns
+            made = Run(remade(tree, overrides, known), columns).go().columns
         except ScriptError as e:
             if not error:
                 raise

@@ -131,7 +131,7 @@ class Run:
             "ohlc4": both(lambda o, h, l, c: (o + h + l + c) / 4.0, "open", "high", "low", "close"), "bar_index": [float(i) for i in range(n)],
             "session.ismarket": [s == "rth" for s in bars["session"]], "barstate.isconfirmed": [True] * n, "barstate.islast": [i == n - 1 for i in range(n)],
             "barstate.isfirst": [i == 0 for i in range(n)], "syminfo.tickerid": [symbol] * n, "syminfo.ticker": [symbol] * n,
-        }
+        } | {k: bars[k] for k in program.given}
         self.history = [[None] * n for _ in range(program.variables)]
         self.begun, self.local = set(), [None] * program.locals
         self.states: list = [None] * program.states
@@ -218,13 +218,25 @@ class Program:
     variables: int = 0
     locals: int = 0
     states: int = 0
+    #: The tree; for each of its statements the bounds of its columns; kinds of global names; what each input call settles to.
+    tree: list[Node] = field(default_factory=list)
+    spans: list[tuple[int, int]] = field(default_factory=list)
+    kinds: dict = field(default_factory=dict)
+    settled: dict = field(default_factory=dict)
+    #: Series beside the bars' own that a run is given, by name.
+    given: tuple[str, ...] = ()
+    #: What a part of a script was made of; None for a whole one.
+    remade: tuple | None = None
 
 
 class _Analysis:
-    def __init__(self, tree: list[Node], overrides: dict):
-        self.p = Program(dict(overrides))
+    def __init__(self, tree: list[Node], overrides: dict, given: dict[str, str] | None = None, known: dict[str, object] | None = None):
+        """given: kinds of names whose series come with the bars; known: names of constants. With either, the tree is a part of a script whose
+        inputs were matched before."""
+        self.p = Program(dict(overrides), tree=tree, given=tuple(given or ()))
+        self.given = given or {}
         self.names: dict[str, Variable] = {}
-        self.constants: dict[str, Expr] = {}
+        self.constants: dict[str, Expr] = {k: fixed(v) for k, v in (known or {}).items()}
         self.functions: dict[str, tuple] = {}
         self.scopes: list[dict[str, Variable]] = []
         self.calls: list[str] = []
@@ -236,9 +248,14 @@ class _Analysis:
             if n.kind == "let":
                 counted[n.value] = counted.get(n.value, 0) + 1
         self.changed |= {k for k, c in counted.items() if c > 1}
-        self.p.statements = [f for f in (self.statement(n) for n in tree) if f]
+        for n in tree:
+            first = len(self.p.columns)
+            f = self.statement(n)
+            self.p.spans.append((first, len(self.p.columns)))
+            self.p.statements += [f] if f else []
+        self.p.kinds = {k: v.kind for k, v in (*self.constants.items(), *self.names.items())}
         unmatched = set(self.p.overrides) - self.matched
-        if unmatched:
+        if unmatched and given is None:
             raise ScriptRuntimeError(f"no input is called {', '.join(sorted(unmatched))}; inputs: {', '.join(sorted(self.p.inputs))}")
 
     def everything(self, nodes: list[Node]):
@@ -381,6 +398,8 @@ class _Analysis:
         if name in self.names:
             v = self.names[name]
             return Expr(lambda r, at=v.at: r.history[at][r.i], v.kind)
+        if name in self.given:
+            return Expr(lambda r: r.series[name][r.i], self.given[name])
         if name in PRICES or name in FLAGS or name == "bar_index" or name in ("syminfo.tickerid", "syminfo.ticker"):
             kind = "bool" if name in FLAGS else "str" if name.startswith("syminfo") else "float"
             return Expr(lambda r: r.series[name][r.i], kind)
@@ -592,6 +611,8 @@ class _Analysis:
             if title is not None:
                 self.p.inputs[title] = self.p.overrides.get(title, "close")
             name = self.p.overrides[title] if given else "close"
+            own = None if given else n.kids[0] if n.kids else n.named.get("defval")
+            self.p.settled[id(n)] = "node", own or Node("name", n.line, name)
             return default if default and not given else self.on_name(Node("name", n.line, name))
         if default is None or not default.constant:
             raise ScriptUnsupportedError("an input's default must be a constant", n.line)
@@ -601,7 +622,9 @@ class _Analysis:
             value = float(value) if isinstance(value, int) and not isinstance(value, bool) else value
         if title is not None:
             self.p.inputs[title] = value if not isinstance(value, Drawing) else "color"
-        return fixed(value, "other" if isinstance(value, Drawing) else None)
+        out = fixed(value, "other" if isinstance(value, Drawing) else None)
+        self.p.settled[id(n)] = "value", value, out.kind
+        return out
 
     def plotted(self, n: Node) -> Expr:
         first = {"plot": "series", "alertcondition": "condition"}.get(n.value, "series")
@@ -713,6 +736,38 @@ def _analysed(source: str, overrides: tuple) -> Program:
     return _Analysis(parse(source), dict(overrides)).p
 
 
+def part(tree: list[Node], overrides: dict, given: dict[str, str], known: dict[str, object], wanted: dict[str, str]) -> Program:
+    """The program of some of a script's statements, with the values of the wanted names (name -> kind) at the end of each bar as columns after its own."""
+    a = _Analysis(tree, overrides, given, known)
+    a.p.remade = given, known, wanted
+    for name, kind in wanted.items():
+        e, at = a.on_name(Node("name", 0, name)), len(a.p.columns)
+        a.p.columns.append(Column(name, kind))
+        a.p.statements.append(_kept_column(at, e.f, kind))
+    return a.p
+
+
+#: This worker's programs, by the text of what they were made of: closures don't travel, and each symbol would make them anew.
+_remade: dict[str, Program] = {}
+
+
+def remade(tree: list[Node], overrides: dict, more: tuple | None) -> Program:
+    """The program of a tree (more: of a part of a script), made once in a worker."""
+    key = repr((tree, sorted(overrides.items()), more))
+    if key not in _remade:
+        _remade.clear()
+        _remade[key] = part(tree, overrides, *more) if more else _Analysis(tree, overrides).p
+    return _remade[key]
+
+
+def _kept_column(at: int, value, kind: str):
+    def f(r):
+        x = value(r)
+        r.columns[at][r.i] = None if x is None else truthy(x) if kind == "bool" else float(x)
+
+    return f
+
+
 def analyse(source: str, overrides: dict | None = None) -> Program:
     """The program of a script; ScriptError with its line if it isn't one. overrides: input title -> value."""
     return _analysed(source, tuple(sorted((overrides or {}).items())))
