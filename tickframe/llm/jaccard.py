@@ -342,10 +342,14 @@ def pivots(alive: DataFrame, fragments: int = FRAGMENTS) -> np.ndarray:
     return np.unique([found[k][0] for k in cuts]) if len(upto) else np.zeros(0, np.int64)
 
 
-def units_of(shared: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(unit, set of what is met in the first round; family, set of the families that have several blocks). shared: h, set."""
+def families(shared: DataFrame) -> DataFrame:
+    """family, set: what shares a prefix shingle with the least set that has it. shared: h, set."""
     by = shared.groupBy("h").agg(F.count("*").alias("c"), F.min("set").alias("leader")).filter("c > 1")
-    family = written(shared.join(by.select("h", "leader"), "h").select(F.col("leader").alias("family"), "set").distinct(), "jaccard-families")
+    return shared.join(by.select("h", "leader"), "h").select(F.col("leader").alias("family"), "set").distinct()
+
+
+def units_of(family: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(unit, set of what is met in the first round; family, set of the families that have several blocks). family: family, set."""
     blocks = family.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = family.join(blocks, "family")
     turns = F.explode(F.when(F.col("blocks") > 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("turn")
@@ -354,6 +358,19 @@ def units_of(shared: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFram
     return first, family.join(blocks.filter("blocks > 1").select("family"), "family", "left_semi")
 
 
+def united(family: DataFrame, alive: DataFrame, cuts: np.ndarray, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """node, root of the sets that links connect, within families(family, set), a table; each pair of a family is met. alive: ALIVE."""
+    batches = arrow_batches(2048, 16 << 20)
+    first, several = units_of(family, block)
+    links = written(linked(first.withColumn("root", F.col("set")), alive, cuts, percent), "jaccard-links", batches=batches)
+    roots = components(links)
+    if several.isEmpty():
+        return roots
+    roots = written(roots, "jaccard-roots")
+    more = written(linked(blocks_that_meet(several, roots, block), alive, cuts, percent), "jaccard-links", batches=batches)
+    return components(links.union(more))
+
+
 def blocks_that_meet(family: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
     """unit, set, root: pairs of blocks of a family, but for those of one component. family: family, set; roots: node, root.
 
@@ -479,21 +496,13 @@ def _pairs(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 def set_components(docs: DataFrame, sets: DataFrame, text: str = "text", size: int = SHINGLE, percent: int = PERCENT, *, block: int = BLOCK,
                    bucket: int = BUCKET, step: int = STEP, hot: int = HOT, fragments: int = FRAGMENTS) -> DataFrame:
     """node, root: the sets that are linked with another and the least set of their component, as a table. sets: what with_sets gave for docs."""
-    batches = arrow_batches(2048, 16 << 20)
     with scratch(docs.sparkSession):
         total = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
         shared = written(shared_shingles(docs, total, hot_shingles(sets, hot), text, size, bucket, step), "jaccard-shared")
         alive = written(alive_sets(shared, percent), "jaccard-alive")
         released(shared)
-        cuts = pivots(alive, fragments)
-        first, family = units_of(written(prefixes(alive, percent), "jaccard-prefixes"), block)
-        links = written(linked(first.withColumn("root", F.col("set")), alive, cuts, percent), "jaccard-links", batches=batches)
-        roots = components(links)
-        if not family.isEmpty():
-            roots = written(roots, "jaccard-roots")
-            more = written(linked(blocks_that_meet(family, roots, block), alive, cuts, percent), "jaccard-links", batches=batches)
-            roots = components(links.union(more))
-        return written(roots, "jaccard-components", result=True)
+        family = written(families(written(prefixes(alive, percent), "jaccard-prefixes")), "jaccard-families")
+        return written(united(family, alive, pivots(alive, fragments), percent, block), "jaccard-components", result=True)
 
 
 def join_documents(docs: DataFrame, text: str = "text", size: int = SHINGLE, percent: int = PERCENT, **bounds) -> DataFrame:

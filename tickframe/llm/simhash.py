@@ -14,10 +14,10 @@ a dense cluster is not compared pair by pair. No link between fingerprints is lo
 Deduplication: fingerprints are those of the set of shingles, which similarity is about too, and a node is a distinct set, known by its hash.
 
 Wider fingerprints: `words` hash words of 64 bits each, cut alike, so that some segment differs in at most one bit if 6 * words - 1 bits or fewer
-differ in all. Deduplication takes NEAR_WORDS words over five-word shingles, meets what shares a variant, one word after the other, keeps pairs
-within NEAR_BITS of the 128 bits of that word and the next, and then holds the texts of each pair against each other: a link needs a Jaccard
-similarity of 0.8 or more over their sets of shingles. Bits don't decide there, so a large group's forest is a start only: members that verified
-links have not united are met again, by forests from other members as long as those give links, and then in all pairs across components.
+differ in all. Deduplication takes NEAR_WORDS words over five-word shingles and meets what shares a variant, one word after the other. What pairs
+within NEAR_BITS of the 128 bits of that word and the next connect is a family, known by its least node. In a family the overlaps of all pairs of sets
+of shingles are counted, in blocks and by fragments of the hashes' order (see jaccard), and a link needs a Jaccard similarity of 0.8 or more: bits
+only choose what is counted, and pairs of a family that aren't within NEAR_BITS are counted too.
 
 Components: alternating large-star and small-star steps over the links, written to the shared folder after each round.
 
@@ -336,41 +336,6 @@ def links(distinct: DataFrame, most: int = MOST_BITS, words: int = 1) -> DataFra
     return indexed.repartition("key").sortWithinPartitions("key", *names).mapInArrow(join, f"a {node}, b {node}")
 
 
-def jaccard(left: pa.Array, right: pa.Array, size: int = NEAR_SHINGLE) -> np.ndarray:
-    """Similarity of the sets of shingles of each pair of texts, 0 where both have none. A text that many pairs name is shingled once."""
-    n = len(left)
-    coded = pa.concat_arrays([left, right]).dictionary_encode(null_encoding="encode")
-    at, texts = np.asarray(coded.indices), coded.dictionary
-    length = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
-    part = np.cumsum(length) // SLICE
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(texts)]
-    sets: list[np.ndarray] = []
-    for low, high in zip(cuts, cuts[1:], strict=False):
-        if high > low:
-            hashes, made = shingle_hashes(texts.slice(low, high - low), size)
-            sets += map(np.unique, np.split(hashes, np.cumsum(made)[:-1]))
-    out = np.zeros(n)
-    for i, (a, b) in enumerate(zip(at[:n].tolist(), at[n:].tolist(), strict=True)):
-        few, many = sorted((sets[a], sets[b]), key=len)
-        if len(few):
-            both = np.count_nonzero(many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few)
-            out[i] = both / (len(few) + len(many) - both)
-    return out
-
-
-def similar(found: DataFrame, texts: DataFrame, least: float = SIMILARITY, size: int = NEAR_SHINGLE) -> DataFrame:
-    """Those links of found(a, b) whose texts(fp, t), one for each fingerprint, are as similar as least."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = jaccard(batch["ta"], batch["tb"], size) >= least
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-    left = texts.select(F.col("fp").alias("a"), F.col("t").alias("ta"))
-    right = texts.select(F.col("fp").alias("b"), F.col("t").alias("tb"))
-    return found.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, found.select("a", "b").schema)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges(a, b): root is the least node of its component.
 
@@ -444,36 +409,21 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterat
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def _forest(fp: np.ndarray, root: np.ndarray, most: int, seed: tuple[int, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, places) of the links between different roots in a spanning forest of the pairs within most bits, searched in an order of the seed
-    (none: the order given)."""
-    left = np.arange(len(fp)) if seed is None else np.random.default_rng(seed).permutation(len(fp))
+def _leaders(fp: np.ndarray, most: int) -> np.ndarray:
+    """For each of fp the first one that pairs within most bits connect it to."""
+    out, left = np.arange(len(fp)), np.arange(len(fp))
     while len(left):
-        frontier, left = left[:1], left[1:]
+        frontier, left, first = left[:1], left[1:], left[0]
         while len(frontier) and len(left):
             if len(left) < len(frontier):  # whichever is fewer goes one by one
-                first = np.array([next(iter(np.flatnonzero(_bits(fp[frontier] ^ fp[y]) <= most)), -1) for y in left])
-                a, found, left, frontier = frontier[first[first >= 0]], left[first >= 0], left[first < 0], left[:0]
+                near = np.array([bool((_bits(fp[frontier] ^ fp[y]) <= most).any()) for y in left])
+                frontier = left[:0]
             else:
                 near = _bits(fp[left] ^ fp[frontier[-1]]) <= most
-                a, found, left, frontier = np.full(near.sum(), frontier[-1]), left[near], left[~near], frontier[:-1]
-            other = root[a] != root[found]
-            yield a[other], found[other]
-            frontier = np.concatenate([frontier, found])
-
-
-def _across(fp: np.ndarray, root: np.ndarray, most: int, variant: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, places) of all pairs of different roots within most bits whose first common variant in their first word is this one."""
-    _, at, count = np.unique(root, return_inverse=True, return_counts=True)
-    order = np.lexsort((at, count[at]))
-    fp, at = fp[order], at[order]
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    end = np.repeat(np.append(first[1:], len(at)), np.diff(np.append(first, len(at))))
-    for i in range(first[-1]):  # the largest component comes last and is not met with itself
-        diff = fp[end[i] :] ^ fp[i]
-        near = np.flatnonzero(_bits(diff) <= most)
-        near = near[_first_variant(diff[near, 0]) == variant]
-        yield np.full(len(near), order[i]), order[end[i] + near]
+                frontier = frontier[:-1]
+            out[left[near]] = first
+            frontier, left = np.concatenate([frontier, left[near]]), left[~near]
+    return out
 
 
 def _put_together(made: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -495,8 +445,8 @@ def _two_words(fp: np.ndarray, word: int) -> np.ndarray:
     return np.stack([own, fp[:, (word + 1) % fp.shape[1]] if fp.shape[1] > 1 else np.zeros_like(own)], axis=1)
 
 
-def met(nodes: DataFrame, word: int, words: int, most: int) -> DataFrame:
-    """What shares a variant of a word of nodes(node, fp). key null: a candidate pair a, b. b null: a is one of the large group of key."""
+def families(nodes: DataFrame, word: int, words: int, most: int) -> DataFrame:
+    """family, set: of what shares a variant of a word of nodes(node, fp), all that pairs within most bits connect, by its least node."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -516,91 +466,54 @@ def met(nodes: DataFrame, word: int, words: int, most: int) -> DataFrame:
                 i = np.flatnonzero((key[step:] == key[:-step]) & small[step:])
                 if not len(i):
                     break
-                diff = fp[i] ^ fp[i + step]
-                ok = _bits(diff) <= most
-                i, diff = i[ok], diff[ok]
-                i = i[_first_variant(diff[:, 0]) == key[i] >> 22]
-                yield np.full(len(i), -1), node[i], node[i + step]
+                i = i[_bits(fp[i] ^ fp[i + step]) <= most]
+                yield node[i], node[i + step]
             for k in np.flatnonzero(size > SMALL):
                 own = slice(start[k], start[k] + size[k])
-                yield key[own] | word << 28, node[own], np.full(size[k], -1)
-                # In the order of the nodes, so that groups with the same members give the same candidates.
-                for a, b in _forest(fp[own], node[own], most):
-                    yield np.full(len(a), -1), node[own][a], node[own][b]
+                first = _leaders(fp[own], most)
+                rest = np.flatnonzero(first != np.arange(len(first)))
+                yield node[own][first[rest]], node[own][rest]
 
     indexed = nodes.select("node", "fp").mapInArrow(index, "key long, node long, own long, next long")
-    return indexed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda x: _put_together(found(x), ["key", "a", "b"]), "key long, a long, b long")
+    pairs = indexed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda x: _put_together(found(x), ["family", "set"]), "family long, set long")
+    return pairs.distinct()
 
 
-def met_again(members: DataFrame, nodes: DataFrame, words: int, most: int, turn: int | None) -> DataFrame:
-    """Pairs a, b of different roots in the large groups members(key, node): those of a forest in the order of the turn, or all. nodes: node, fp, root."""
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        for key, node, root, *fps in _whole_groups(batches, ["key", "node", "root", *names]):
-            fps = np.stack(fps, axis=1).view(np.uint64)
-            cuts = [*np.flatnonzero(np.diff(key, prepend=-1)), len(key)]
-            for low, high in zip(cuts, cuts[1:], strict=False):
-                k, own = int(key[low]), slice(low, high)
-                for a, b in _across(fps[own], root[own], most, k >> 22 & 63) if turn is None else _forest(fps[own], root[own], most, (turn, k)):
-                    yield node[own][a], node[own][b]
+def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """Rows (set, t) as the Jaccard join wants its sets: each with its number of shingles and their sorted hashes, all of one class."""
+    from .jaccard import ALIVE
 
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, key = _values(batch["fp"], words), np.asarray(batch["key"])
-            word, each = key >> 28, np.arange(len(key))
-            both = fp[each, word], fp[each, (word + 1) % words] if words > 1 else np.zeros(len(key), np.uint64)
-            yield pa.RecordBatch.from_arrays([batch["key"], batch["node"], batch["root"], *(pa.array(c.view(np.int64)) for c in both)], ["key", "node", "root", *names])
-
-    names = ["own", "next"]
-    rooted = members.join(nodes.select("node", "root"), "node")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("key")
-    rows = members.join(mixed, "key", "left_semi").join(nodes, "node").select("key", "node", "root", "fp")
-    rows = rows.mapInArrow(unpacked, "key long, node long, root long, own long, next long")
-    pairs = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda x: _put_together(found(x), ["a", "b"]), "a long, b long")
-    return _distinct_pairs(pairs)
-
+            length = np.asarray(pc.fill_null(pc.binary_length(batch["t"]), 0)).astype(np.int64)
+            part = np.cumsum(length) // SLICE
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if high > low:
+                    hashes, made = shingle_hashes(batch["t"].slice(low, high - low), size)
+                    sets = [np.unique(x.view(np.int64)) for x in np.split(hashes, np.cumsum(made)[:-1])]
+                    columns = [batch["set"].slice(low, high - low), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([bytes(2 * len(x)) for x in sets], pa.binary())], ["set", "n", "hashes", "kinds"])
+            give_back()
 
-def _distinct_pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return texts.select("set", "t").mapInArrow(run, ALIVE)
 
 
 def rooted_nodes(nodes: DataFrame, keyed: DataFrame, most: int, words: int, least: float, size: int) -> DataFrame:
-    """nodes(node, fp, one) and root, the least node of the component that links of texts as similar as least make. keyed: k, t; one: the k of a node's text."""
-    def tested(found: DataFrame) -> DataFrame:
-        """Those of the candidates that are links; the table of candidates goes."""
-        named = nodes.join(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-        texts = written(keyed.select("k", "t").join(named, F.col("k") == F.col("one")).groupBy("node").agg(F.first("t").alias("t")), "dedup-texts")
-        links = written(similar(found, texts.withColumnRenamed("node", "fp"), least, size), "dedup-links", batches=arrow_batches(4096, 16 << 20))
-        released(texts, found)
-        return links
-
-    def rooted() -> DataFrame:
-        return written(nodes.join(components(links).withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").withColumn("root", F.coalesce("root", "node")).drop("n"), "dedup-roots")
-
-    parts = []
-    for word in range(words):
-        parts.append(written(met(nodes, word, words, most), "dedup-met"))
-    every = reduce(DataFrame.union, parts)
-    members = every.filter("b IS NULL").select("key", F.col("a").alias("node"))
-    links = tested(written(_distinct_pairs(every.filter("key IS NULL")), "dedup-candidates"))
-    out, turn = rooted(), None if members.isEmpty() else 1
-    while turn:
-        found = written(met_again(members, out, words, most, turn), "dedup-candidates")
-        n, before = found.count(), out
-        if not n:  # a forest has links between roots wherever there is such a pair
-            return out
-        more = tested(found)
-        pays = 4 * more.count() >= n
-        if not pays:  # the rest in all pairs
-            links = links.union(more)
-            out = rooted()
-            released(before)
-            before = out
-            more = tested(written(met_again(members, out, words, most, None), "dedup-candidates"))
-        links = links.union(more)
-        out, turn = rooted(), turn + 1 if pays else None
-        released(before)
-    return out
+    """nodes(node, fp, one) and root, the least node of the component that links of texts as similar as least make. keyed: k, t; one: the k of a node's
+    text. Candidates come from the variants; within their families overlaps are counted exactly, as the Jaccard join does."""
+    from .jaccard import united
+
+    parts = [written(families(nodes, word, words, most), "dedup-families") for word in range(words)]
+    pairs = written(reduce(DataFrame.union, parts).distinct(), "dedup-families")
+    released(*parts)
+    family = pairs.union(pairs.select("family", F.col("family").alias("set")).distinct())
+    named = nodes.join(family.select(F.col("set").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("set"), "one")
+    texts = keyed.select("k", "t").join(named, F.col("k") == F.col("one")).groupBy("set").agg(F.first("t").alias("t"))
+    sets = written(shingle_sets(texts, size), "dedup-sets", batches=arrow_batches(4096, 16 << 20))
+    roots = united(family, sets, np.array([4, 8, 12]), round(100 * least))
+    joined = nodes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
+    return written(joined.withColumn("root", F.coalesce("root", "node")).drop("n"), "dedup-roots")
 
 
 def deduplicate(docs: DataFrame, most: int = NEAR_BITS, size: int = NEAR_SHINGLE, words: int = NEAR_WORDS, least: float = SIMILARITY) -> DataFrame:
