@@ -35,8 +35,9 @@ MOST_LANGUAGES = 1_000
 #: least has 0.378; texts of a language that isn't learned, encoded data and random letters have 0.24 or less.
 LEAST_SCORE = 0.3
 
-#: All but letters. Python's word characters have number signs such as ² and ½ (categories Nl and No) beside letters and digits.
-_OTHER = re.compile(r"[\W\d_" + "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No")) + "]+")
+_OTHER = re.compile(r"[\W\d_]+")
+#: Python's word characters have number signs such as ² and ½ (categories Nl and No) beside letters and digits.
+_SIGNS = np.array([unicodedata.category(chr(c)) in ("Nl", "No") for c in range(sys.maxunicode + 1)])
 _BOUND = ord("_")
 
 
@@ -44,6 +45,9 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(codes, counts) of the 1- to 3-grams of the lower-cased text, words bounded by _; an n-gram of several words doesn't occur."""
     letters = _OTHER.sub("_", f"_{text.lower()}_")
     c = np.frombuffer(letters.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if (signs := _SIGNS[c]).any():
+        c = np.where(signs, _BOUND, c)
+        c = c[np.concatenate([[True], (c[1:] != _BOUND) | (c[:-1] != _BOUND)])]
     if len(c) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     inner = c[1:-1]
