@@ -208,7 +208,7 @@ def test_script_as_engine_and_errors(spark, tmp_path):
     path = tmp_path / "Fast sma.pine"
     path.write_text('n = input.int(8, "Length")\nplot(ta.sma(close, n), "Value")')
     b = bars_of(spark, walk(300)).union(bars_of(spark, walk(200), "B"))
-    request = sc.ScanRequest(engines=[sc.Engine(*script_engine(path, {"Length": 5}))], sort="fast_sma_value")
+    request = sc.ScanRequest(engines=[sc.Engine(**script_engine(path, {"Length": 5}))], sort="fast_sma_value")
     out = sc.scan(b, request)
     want = column(bars_of(spark, walk(300)).withColumn("v", w.sma(F.col("close"), 5)), "v")[-1]
     assert [(r.symbol, r.fast_sma_value) for r in out.rows.collect()] == [("A", pytest.approx(want))]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +36,8 @@ def value_of(text: str) -> bool | int | float | str:
     return text
 
 
-def read_bars(spark: SparkSession, source: str, path: str, timeframe: Timeframe, extended: bool = True) -> DataFrame:
+def read_bars(spark: SparkSession, source: str, path: str, timeframe: Timeframe, extended: bool = True, symbols: list[str] | None = None) -> DataFrame:
+    """Bars with symbols in upper case, as in watchlists. symbols: only those; of a bar table, which holds them in upper case, no others are read."""
     if source == "lineitem":
         bars = daily_from_lineitem(spark, path)
     elif source == "events":
@@ -45,6 +46,9 @@ def read_bars(spark: SparkSession, source: str, path: str, timeframe: Timeframe,
         bars = normalised(spark.read.parquet(path))
     else:
         raise ValueError(f"unknown source {source!r}; known: {', '.join(SOURCES)}")
+    if source != "table":
+        bars = bars.withColumn("symbol", F.upper("symbol"))
+    bars = bars if symbols is None else bars.filter(F.col("symbol").isin(symbols))
     return bars if extended else rth_only(bars)
 
 
@@ -98,23 +102,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
         newest = bars.agg(F.max("ts").alias("ts")).first().ts
         print(*(f"{r.session}: {r.n} bars" for r in sorted(counts, key=lambda r: str(r.session))), f"newest bar: {newest}", sep="\n", file=out)
         return 0 if newest else 1
-    bars = read_bars(spark, source, args.path, frame, config.scan.include_extended and not args.rth_only)
-    watch = None
-    if args.watchlist != "*":
-        symbols = load_watchlist(args.watchlist)
-        watch = spark.createDataFrame([(s,) for s in symbols], "symbol string")
-        # A watchlist is short: the filter on the partitioning key goes down to the scan.
-        bars = bars.filter(F.upper("symbol").isin(symbols)).withColumn("symbol", F.upper("symbol"))
-    result = scan(bars, request_of(args, config), watch, datetime.now())
+    symbols = None if args.watchlist == "*" else load_watchlist(args.watchlist)
+    bars = read_bars(spark, source, args.path, frame, config.scan.include_extended and not args.rth_only, symbols)
+    watch = None if symbols is None else spark.createDataFrame([(s,) for s in symbols], "symbol string")
+    result = scan(bars, request_of(args, config), watch, datetime.now(timezone.utc))
     result.meta |= {"timeframe": frame.value, "source": source}
+    seen = result.observed(datetime.now(timezone.utc))
     rows = list(table_lines(result))
-    print(*rows, sep="\n", file=out)
+    print(*rows, f"{seen['scanned']} of {seen['requested']} symbols, newest bar {seen['newest_bar']}, {seen['age_minutes']} minutes old", sep="\n", file=out)
     if args.json:
         write_json(result, args.json)
     if args.csv:
         write_csv(result.rows, args.csv)
     if args.parquet:
         write_parquet(result.rows, args.parquet)
+    result.release()
     errors = sum(x.startswith("skipped ") for x in rows)
     return 1 if errors and len(rows) == 1 + errors else 0
 

@@ -50,35 +50,55 @@ class Config:
         scripts: dict[str, dict] = {}
         for path, inputs in [*self.scripts.items(), *(extra or {}).items()]:
             scripts[str(Path(path))] = {**scripts.get(str(Path(path)), {}), **inputs}
-        return builtin_engines(self.momentum, self.regime, self.flow) + [Engine(*script_engine(p, i)) for p, i in scripts.items()]
+        return builtin_engines(self.momentum, self.regime, self.flow) + [Engine(**script_engine(p, i)) for p, i in scripts.items()]
 
 
-def _section(cls, values: dict, where: str):
-    valid = [f.name for f in fields(cls)]
-    if unknown := sorted(set(values) - set(valid)):
-        raise ConfigError(f"unknown keys {unknown} in [{where}]; valid keys: {valid}")
-    return cls(**values)
+def _timeframe(text: str) -> Timeframe | None:
+    return Timeframe.parse(text) if text else None
+
+
+#: Sections with fixed keys: their class, and what turns a file's value into a field's where that isn't the value itself.
+SECTIONS = {
+    "scan": (ScanDefaults, {}),
+    "engines.momentum": (Momentum, {}),
+    "engines.flow": (Flow, {}),
+    "engines.regime": (Regime, {"rsi_htf": _timeframe}),
+}
+
+
+def _read(data: dict) -> tuple[dict[str, object], list[str]]:
+    """(an object for each section, all faults of the file)."""
+    made, faults = {}, []
+    for name, (cls, converters) in SECTIONS.items():
+        values = data
+        for step in name.split("."):
+            values = values.get(step, {}) if isinstance(values, dict) else {}
+        known, own = {f.name for f in fields(cls)}, {}
+        for key, value in (values.items() if isinstance(values, dict) else ()):
+            try:
+                own[key] = converters.get(key, lambda v: v)(value)
+            except ValueError as e:
+                faults.append(f"{name}.{key}: {e}")
+            if key not in known:
+                faults.append(f"{name}.{key} isn't a setting; there are {', '.join(sorted(known))}")
+        made[name] = cls(**{k: v for k, v in own.items() if k in known})
+    return made, faults
 
 
 def load_config(path: str | Path | None = None) -> Config:
-    """The file's settings over the defaults. Without a path: DEFAULT_FILE if it is there. Sections: scan, engines.momentum, engines.flow,
-    engines.regime, script."<path>" (input title = value), provider.<name>."""
+    """The file's settings over the defaults. Without a path: DEFAULT_FILE if it is there. Sections: SECTIONS, script."<path>" (input title = value),
+    provider.<name>. All faults of a file are reported at once."""
     at = Path(path or DEFAULT_FILE)
     if not at.is_file():
         if path is not None:
             raise FileNotFoundError(f"no configuration file {path}")
         return Config()
     data = tomllib.loads(at.read_text())
-    engines = data.get("engines", {})
-    regime = dict(engines.get("regime", {}))
-    higher = regime.pop("rsi_htf", "")
-    if higher:
-        regime["rsi_htf"] = Timeframe.parse(higher)
-    return Config(
-        _section(ScanDefaults, data.get("scan", {}), "scan"), _section(Momentum, engines.get("momentum", {}), "engines.momentum"),
-        _section(Flow, engines.get("flow", {}), "engines.flow"), _section(Regime, regime, "engines.regime"),
-        {k: dict(v) for k, v in data.get("script", {}).items()}, {k: dict(v) for k, v in data.get("provider", {}).items()},
-    )
+    made, faults = _read(data)
+    if faults:
+        raise ConfigError(f"{at}: " + "; ".join(faults))
+    free = ({k: dict(v) for k, v in data.get(name, {}).items()} for name in ("script", "provider"))
+    return Config(*made.values(), *free)
 
 
 def secret(name: str, env_file: str | Path = ".env") -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from datetime import date, datetime
+from datetime import date, datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -41,15 +41,15 @@ def write_csv(rows: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def json_parts(result: ScanResult) -> Iterator[str]:
-    """The text of {"meta": ..., "rows": {symbol: {...}}, "errors": {symbol: text}} in pieces."""
-    yield '{"meta": ' + json.dumps({k: plain(v) for k, v in result.meta.items()}) + ', "rows": {'
+    """The text of {"rows": {symbol: {...}}, "errors": {symbol: text}, "meta": ...} in pieces; meta comes last, for it holds what reading the rows showed."""
+    yield '{"rows": {'
     for i, r in enumerate(result.rows.toLocalIterator()):
         d = {k: plain(v) for k, v in r.asDict().items() if k != "symbol"}
         yield (", " if i else "") + json.dumps(r.symbol) + ": " + json.dumps(d)
     yield '}, "errors": {'
     for i, r in enumerate(result.errors.toLocalIterator()):
         yield (", " if i else "") + json.dumps(r.symbol) + ": " + json.dumps(r.error)
-    yield "}}"
+    yield '}, "meta": ' + json.dumps({k: plain(v) for k, v in result.observed(datetime.now(timezone.utc)).items()}) + "}"
 
 
 def write_json(result: ScanResult, path: str | Path) -> None:

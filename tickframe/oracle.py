@@ -263,17 +263,48 @@ FULL = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 BASE_ROWS = f"""{DAILY}, b0 AS (SELECT *, lag(close) OVER ({W}) AS pc, avg(close) OVER ({W} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS m, max(close) OVER ({W} {FULL}) AS h,
   row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS r FROM bars),
 b1 AS (SELECT symbol, close AS last_price, coalesce((close / pc - 1) * 100.0, 0.0) AS pct_chg, coalesce((close / pc - 1) * 100.0, 0.0) AS day_chg, close > m AS above_sma50, close >= h AS new_high FROM b0 WHERE r = 1)"""
+
+
+def first_close(last: int) -> str:
+    """Bars of each symbol, and the close of the first of its last ones."""
+    return f"""c AS (SELECT symbol, count(*) AS n, max(ts) AS newest, arg_min(close, ts) FILTER (r <= {last}) AS first_close
+  FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS r FROM bars) GROUP BY symbol)"""
+
+
 ORACLE |= {
     "rth_only": f"WITH {events(60)} SELECT {BARS} FROM bars WHERE session = 'rth'",
     "trim_delay": f"WITH {events(15)} SELECT {BARS} FROM bars WHERE ts + INTERVAL '15 minutes' <= TIMESTAMP '2024-01-20 11:45:00'",
     "filter_operators": f"""WITH {BASE_ROWS} SELECT symbol, above_sma50, new_high, {', '.join(q(c, c) for c in ('last_price', 'pct_chg', 'day_chg'))} FROM b1
-WHERE ((last_price * 2 - 1 >= 3000 OR pct_chg ** 2 < 1) AND NOT new_high AND day_chg > -50 AND day_chg <= 50 AND last_price % 7 > 1 AND last_price NOT IN (1, 2)) OR (above_sma50 AND last_price / 2 + 0.5 <> 700)""",
+WHERE ((last_price * 2 - 1 >= 3000 OR pct_chg ** 2 < 1) AND NOT new_high AND day_chg > -50 AND day_chg <= 50 AND last_price % 7 > 1 AND last_price NOT IN (1, 2)) OR (above_sma50 AND last_price / 2 + 0.5 <> 700)
+OR (last_price - floor(last_price / -7) * -7 > -1 AND day_chg < 0)""",
     "bar_violations": """WITH t AS (SELECT event_type AS symbol, date_trunc('minute', ts::TIMESTAMP) AS ts, value AS v, CASE WHEN value > 10 THEN 'rth' WHEN value > 5 THEN 'night' END AS session FROM events)
 SELECT count(*) FILTER (symbol IS NULL) AS no_symbol, count(*) FILTER (ts IS NULL) AS no_ts, count(*) FILTER (v IS NULL) AS no_close, count(*) FILTER (v - 1 < v) AS high_below_low,
 count(*) FILTER (v - 50 < 0) AS negative_volume, count(*) FILTER (coalesce(session <> 'rth', true)) AS unknown_session, (count(*) - (SELECT count(*) FROM (SELECT DISTINCT symbol, ts FROM t)))::BIGINT AS repeated_key FROM t""",
-    "scan_errors": f"""WITH {DAILY}, {WATCH}, c AS (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol)
-SELECT watch.symbol, CASE WHEN n IS NULL THEN 'no data returned' ELSE 'only ' || n || ' bars, 498 are needed' END AS error FROM watch LEFT JOIN c USING (symbol) WHERE coalesce(n, 0) < 498""",
+    "scan_errors": f"""WITH {DAILY}, {WATCH}, {first_close(528)}
+SELECT watch.symbol, CASE WHEN n IS NULL THEN 'no data returned' WHEN n < 498 THEN 'only ' || n || ' bars, 498 are needed' ELSE 'failing: index 0 of an array of 0' END AS error
+FROM watch LEFT JOIN c USING (symbol) WHERE coalesce(n, 0) < 498 OR first_close <= 1400""",
+    "scan_meta": f"""WITH {DAILY}, {WATCH}, {first_close(300)}, r AS (SELECT watch.symbol, newest, n IS NOT NULL AND n >= 250 AND first_close > 1400 AS ok FROM watch LEFT JOIN c USING (symbol))
+SELECT count(*) AS requested, count(*) FILTER (ok) AS scanned, count(*) FILTER (NOT ok) AS failed, max(newest) AS newest_bar FROM r""",
     "script_features": f"""WITH {DAILY}, m AS (SELECT *, {over('avg(close)', 'close', 8)} AS mean FROM bars)
 SELECT symbol, ts, {q('mean', 'mean')}, {q('close - mean', 'dev')}, {q(f'coalesce(close - lag(close, 2) OVER ({W}), -1)', 'gap')}, {q(f'avg(close) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)', 'box_avg')},
 {q('CASE WHEN close > open THEN sqrt(volume) ELSE abs(open - close) END', 'pick')}, {q('greatest(floor(high), ceil(low)) + least(sign(close - open), 0)', 'whole')} FROM m""",
 }
+
+#: The bucket of a bar, the Eastern clock being five hours behind in January.
+BUCKETS = {
+    "60": "floor((epoch(ts) - anchor) / 3600)", "240": "floor((epoch(ts) - anchor) / 14400)",
+    "D": "epoch(date_trunc('day', ts - INTERVAL '5 hours'))", "W": "epoch(date_trunc('week', ts - INTERVAL '5 hours'))",
+}
+
+
+def higher(timeframe: str) -> str:
+    return f"""WITH {events(15)},
+a AS (SELECT *, epoch(date_trunc('day', min(ts) OVER (PARTITION BY symbol) - INTERVAL '5 hours')) + 5 * 3600 + 34200 AS anchor FROM bars),
+b AS (SELECT *, {BUCKETS[timeframe]} AS b FROM a),
+h AS (SELECT symbol, b, arg_max(close, ts) AS close, max(high) AS high, min(low) AS low, sum(volume) AS volume FROM b GROUP BY symbol, b),
+m AS (SELECT *, CASE WHEN count(*) OVER w = 3 THEN avg(close) OVER w END AS mean FROM h WINDOW w AS (PARTITION BY symbol ORDER BY b ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+l AS (SELECT symbol, b, lag(close) OVER o AS last, lag(mean) OVER o AS mean, high - low + volume AS ahead FROM m WINDOW o AS (PARTITION BY symbol ORDER BY b))
+SELECT symbol, ts, {q('last', 'last')}, {q('mean', 'mean')}, {q('ahead', 'ahead')}, {q('last', 'before')} FROM b JOIN l USING (symbol, b)"""
+
+
+ORACLE |= {f"script_security_{t.lower()}": higher(t) for t in BUCKETS}

@@ -36,7 +36,8 @@ def starred(stars: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def tape(daily: DataFrame, labels: DataFrame) -> DataFrame:
-    """symbol, label, last, chg_pct of each labelled symbol; a single bar has no change."""
+    """symbol, label, last, chg_pct of each labelled symbol; a single bar has no change. Only labelled symbols' bars are ordered."""
+    daily = daily.join(labels.select("symbol").distinct(), "symbol", "left_semi")
     w = Window.partitionBy("symbol").orderBy("ts")
     last = F.lead("ts").over(w).isNull()
     bars = daily.withColumns({"prev": F.coalesce(F.lag("close").over(w), F.col("close")), "__last": last}).filter("__last")

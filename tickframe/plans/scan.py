@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 from functools import partial
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, half_even, signal_tier
@@ -26,8 +27,8 @@ BARS = ("symbol", "ts", "open", "high", "low", "close", "volume", "session")
 
 @dataclass(frozen=True)
 class Engine:
-    """prefix of its columns, the bars it needs, and what adds the columns: compute, or for engines that share one grouped pass what
-    comes before it, their recursions with the columns these leave spent, and what comes after."""
+    """prefix of its columns, the bars it needs, and what adds the columns: compute, or what comes before its recursions, these with the columns they
+    leave spent, and what comes after. error: a column in which compute says what went wrong with a symbol."""
 
     prefix: str
     warmup: int
@@ -35,6 +36,7 @@ class Engine:
     prepare: Callable[[DataFrame], DataFrame] | None = None
     recursions: tuple[list[Recursion], list[str]] = ((), ())
     finish: Callable[[DataFrame], DataFrame] | None = None
+    error: str | None = None
 
 
 def builtin_engines(m: Momentum = Momentum(), r: Regime = Regime(), f: Flow = Flow()) -> list[Engine]:
@@ -121,35 +123,64 @@ def ranked(rows: DataFrame, sort: str, descending: bool = True, limit: int = 0)
     return rows.limit(limit) if limit > 0 else rows
 
 
-def scan_rows(bars: DataFrame, request: ScanRequest = ScanRequest()) -> DataFrame:
-    """One row for each symbol with enough bars: base columns, the engines' columns, composite and signal."""
+def scan_table(bars: DataFrame, request: ScanRequest = ScanRequest()) -> DataFrame:
+    """One row for each symbol that has bars, from one pass over them: base columns, the engines' columns, composite and signal, and error, which is
+    NULL where all went well: too few bars, or what an engine says of the symbol. An error of one symbol leaves the others alone."""
     last = max(request.lookback, request.warmup + 30) if request.lookback else 0
     # The last bars are told by number and count in the order that all later windows have: one sort.
     numbered = bars.select(*BARS).withColumns({"__i": w.bar_number(), "__n": F.count("*").over(Window.partitionBy("symbol"))})
-    enough = (F.col("__n") >= request.warmup) & ((F.col("__i") > F.col("__n") - last) if last else F.lit(True))
-    bars = numbered.filter(enough).select(*BARS)
-    out = snapshot(base_columns(bars)).drop(*BARS[1:])
+    numbered = numbered.filter(F.col("__i") > F.col("__n") - last) if last else numbered
+    out = snapshot(base_columns(numbered.drop("__i"))).drop(*BARS[1:])
+    enough = numbered.filter(F.col("__n") >= request.warmup).select(*BARS)
     # Each engine runs over narrow bars of its own and is met at the last bar: all read one exchange by symbol, and none carries another's columns.
     for e in request.engines:
-        made = snapshot(with_engines(bars, [e]))
-        out = out.join(made.drop(*BARS[1:]), "symbol")
-    return with_composite(out)
+        out = out.join(snapshot(with_engines(enough, [e])).drop(*BARS[1:]), "symbol", "left")
+    short = F.when(F.col("__n") < request.warmup, F.format_string(f"only %d bars, {request.warmup} are needed", "__n"))
+    failed = [F.concat(F.lit(f"{e.prefix}: "), F.col(e.error)) for e in request.engines if e.error]
+    return with_composite(out.withColumn("error", F.coalesce(short, *failed)).drop("__n", *(e.error for e in request.engines if e.error)))
+
+
+def scan_rows(bars: DataFrame, request: ScanRequest = ScanRequest()) -> DataFrame:
+    """One row for each symbol with enough bars and no engine error."""
+    return scan_table(bars, request).filter("error is null").drop("error")
 
 
 @dataclass
 class ScanResult:
+    """rows (filtered, ordered, limited) and errors read one table, which one pass over the bars fills."""
+
     rows: DataFrame
     errors: DataFrame
     meta: dict
+    table: DataFrame
+
+    def observed(self, now: datetime | None = None) -> dict:
+        """meta, and of the pass that fills the table, before filter and limit: symbols requested, scanned and failed, the newest bar, and with `now`
+        (with a zone) its age in minutes. Asked for first, it is that pass; rows and errors read the table then."""
+        observation, failed = Observation(f"scan-{uuid.uuid4().hex}"), F.col("error").isNotNull()
+        counts = (F.count("*").alias("requested"), F.count_if(~failed).alias("scanned"), F.count_if(failed).alias("failed"), F.max("last_bar").alias("newest_bar"))
+        self.table.observe(observation, *counts).write.format("noop").mode("overwrite").save()
+        seen = observation.get
+        newest = seen["newest_bar"]
+        age = None if newest is None or now is None else round((now - newest.replace(tzinfo=now.tzinfo)).total_seconds() / 60.0, 1)
+        return self.meta | seen | {"age_minutes": age}
+
+    def release(self) -> None:
+        """Gives back what the table holds in memory or on disk."""
+        self.table.unpersist()
 
 
 def scan(bars: DataFrame, request: ScanRequest = ScanRequest(), watchlist: DataFrame | None = None, now: datetime | None = None) -> ScanResult:
-    """The whole scan. A symbol with too few bars or none is an error row, not a result."""
-    missing = None
+    """The whole scan. A symbol with too few bars or none, or with an engine's error, is an error row, not a result."""
     if watchlist is not None:
-        missing = missing_symbols(watchlist, bars)
-        bars = bars.join(watchlist.select("symbol").distinct(), "symbol", "left_semi")
-    errors = short_history(bars, request.warmup)
-    errors = errors if missing is None else errors.unionByName(missing)
-    rows = ranked(apply_filter(scan_rows(bars, request), request.filter), request.sort, request.descending, request.limit)
-    return ScanResult(rows, errors.orderBy("symbol"), {"filter": request.filter or "", "as_of": now.isoformat() if now else None, "lookback": max(request.lookback, request.warmup + 30)})
+        watch = watchlist.select("symbol").distinct()
+        table = scan_table(bars.join(watch, "symbol", "left_semi"), request)
+        none = F.when(F.col("last_bar").isNull(), F.lit("no data returned"))
+        table = watch.join(table, "symbol", "left").withColumn("error", F.coalesce("error", none))
+    else:
+        table = scan_table(bars, request)
+    table = table.persist()
+    rows = ranked(apply_filter(table.filter("error is null").drop("error"), request.filter), request.sort, request.descending, request.limit)
+    errors = table.filter("error is not null").select("symbol", "error").orderBy("symbol")
+    meta = {"filter": request.filter or "", "as_of": now.isoformat() if now else None, "lookback": max(request.lookback, request.warmup + 30)}
+    return ScanResult(rows, errors, meta, table)

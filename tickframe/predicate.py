@@ -1,7 +1,7 @@
 """The filter language: text to a Column, over known columns only.
 
 Comparisons (also chained), and / or / not, & | ~, in and not in lists, + - * / % **, parentheses, True, False, numbers, strings, abs(x).
-NULL follows the data-frame convention, not SQL's: a comparison with a missing value is false, except != and `not in`, which are true; so
+A remainder has the sign of the divisor, and division by zero is infinite. NULL follows the data-frame convention, not SQL's: a comparison with a missing value is false, except != and `not in`, which are true; so
 `not (x > 5)` keeps missing rows. Anything else is rejected by name: attributes, calls other than abs, back-ticks, @, double underscores.
 """
 
@@ -23,6 +23,12 @@ _COMPARE = ("==", "!=", "<", "<=", ">", ">=", "in", "not in")
 _WORDS = ("and", "or", "not", "in", "True", "False", "abs")
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """As data frames divide: by zero gives an infinity of the number's sign, and nothing for zero itself."""
+    infinity = F.lit(float("inf"))
+    return F.when(b != 0, a / b).when(a > 0, infinity).when(a < 0, -infinity)
+
+
 class _Parser:
     def __init__(self, text: str, columns: list[str]):
         for bad in ("__", "@", "`"):
@@ -111,7 +117,7 @@ class _Parser:
         if op in ("or", "|"):
             return self.condition(left) | self.condition(right), True
         a, b = left[0], right[0]
-        made = {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: F.try_divide(a, b), "%": lambda: F.when(b != 0, F.pmod(a, b)), "**": lambda: F.pow(a, b)}
+        made = {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: quotient(a, b), "%": lambda: F.when(b != 0, a - F.floor(a / b) * b), "**": lambda: F.pow(a, b)}
         return made[op](), False
 
     def comparison(self, left) -> tuple[Column, bool]:

@@ -17,7 +17,7 @@ from .plans.flow import Flow, flow
 from .plans.momentum import Momentum, momentum
 from .plans.regime import Regime, regime
 from .schema import violations
-from .script.engine import with_script
+from .script.engine import source_engine, with_script
 from .sources.bars import daily_from_lineitem, from_events
 from .timeframe import Timeframe, bucket
 
@@ -168,8 +168,17 @@ plot(array.avg(box), "box_avg")
 plot(close > open ? math.sqrt(volume) : math.abs(open - close), "pick")
 plot(math.max(math.floor(high), math.ceil(low)) + math.min(math.sign(close - open), 0), "whole")
 """
+#: Timeframes of the queries of higher ones.
+HIGHER = ("60", "240", "D", "W")
+#: Fails on a symbol whose first bar closes at 1400 or less: the array is empty there.
+FAILING = """
+var seen = array.new<float>()
+if close > 1400
+    array.push(seen, close)
+plot(array.get(seen, 0), "first")
+"""
 #: Every operator of the filter language but those over engine columns.
-EVERY_OPERATOR = "((last_price * 2 - 1 >= 3000 or pct_chg ** 2 < 1) and not new_high and -50 < day_chg <= 50 and last_price % 7 > 1 and last_price not in [1, 2]) | (above_sma50 & last_price / 2 + 0.5 != 700)"
+EVERY_OPERATOR = "((last_price * 2 - 1 >= 3000 or pct_chg ** 2 < 1) and not new_high and -50 < day_chg <= 50 and last_price % 7 > 1 and last_price not in [1, 2]) | (above_sma50 & last_price / 2 + 0.5 != 700) | (last_price % -7 > -1 and day_chg / 0 < 0)"
 
 
 def script_features(spark, sf_dir) -> DataFrame:
@@ -177,6 +186,24 @@ def script_features(spark, sf_dir) -> DataFrame:
     return quantised(out.select(*KEYS, *(F.col(c).cast("double").alias(c[2:]) for c in out.columns if c.startswith("x_"))))
 
 
+def _higher(timeframe: str):
+    """Values of a higher timeframe on quarter-hour bars: of the last closed bucket, and (look-ahead) of the bucket that is still open."""
+    source = f"""
+m = ta.sma(close, 3)
+[last, mean] = request.security(syminfo.tickerid, "{timeframe}", [close, m])
+plot(last, "last")
+plot(mean, "mean")
+plot(request.security(syminfo.tickerid, "{timeframe}", high - low + volume, lookahead = barmerge.lookahead_on), "ahead")
+plot(request.security(syminfo.tickerid, "{timeframe}", close[1], lookahead = barmerge.lookahead_on), "before")
+"""
+
+    def query(spark, sf_dir) -> DataFrame:
+        out = with_script(from_events(spark, sf_dir, Timeframe.M15), source, prefix="x")
+        return quantised(out.select(*KEYS, *(F.col(c).alias(c[2:]) for c in out.columns if c.startswith("x_"))))
+
+    return query
+
+
 def filter_operators(spark, sf_dir) -> DataFrame:
     rows = sc.snapshot(sc.base_columns(daily(spark, sf_dir))).select("symbol", "last_price", "pct_chg", "day_chg", "above_sma50", "new_high")
     return quantised(sc.apply_filter(rows, EVERY_OPERATOR))
@@ -192,9 +219,18 @@ def tick_violations(spark, sf_dir) -> DataFrame:
 
 
 def scan_errors(spark, sf_dir) -> DataFrame:
-    """Watched symbols without bars, or with too few for the engines of a slow flow."""
-    slow = sc.ScanRequest(engines=sc.builtin_engines(f=Flow(gate_len=480)))
-    return sc.scan(daily(spark, sf_dir), slow, watchlist(spark, sf_dir)).errors
+    """Watched symbols without bars, with too few for the engines of a slow flow, or on which a script fails."""
+    engines = [*sc.builtin_engines(f=Flow(gate_len=480)), sc.Engine(**source_engine(FAILING, "failing"))]
+    return sc.scan(daily(spark, sf_dir), sc.ScanRequest(engines=engines), watchlist(spark, sf_dir)).errors
+
+
+def scan_meta(spark, sf_dir) -> DataFrame:
+    """What a scan with a filter and a limit observes in the one pass over its bars."""
+    request = sc.ScanRequest(filter="mb_score > 0", limit=3, engines=[*sc.builtin_engines(), sc.Engine(**source_engine(FAILING, "failing"))])
+    result = sc.scan(daily(spark, sf_dir), request, watchlist(spark, sf_dir))
+    seen = result.observed()
+    result.release()
+    return spark.createDataFrame([tuple(seen[k] for k in ("requested", "scanned", "failed", "newest_bar"))], "requested long, scanned long, failed long, newest_bar timestamp")
 
 
 def _script(name: str):
@@ -248,5 +284,6 @@ QUERIES = {
     "filter_operators": filter_operators,
     "bar_violations": tick_violations,
     "scan_errors": scan_errors,
+    "scan_meta": scan_meta,
     "script_features": script_features,
-} | {f"script_{name}": _script(name) for name in SCRIPTS}
+} | {f"script_{name}": _script(name) for name in SCRIPTS} | {f"script_security_{t.lower()}": _higher(t) for t in HIGHER}

@@ -86,10 +86,15 @@ def _bar_by_bar(bars: DataFrame, program: Program, names: list[str], error: str
 
 
 def script_engine(path: str | Path, overrides: dict | None = None):
-    """(prefix, warm-up, what adds the columns) of a script file: the parts of a scan's Engine."""
+    """The fields of a scan's Engine for a script file; a symbol's error is a column of its own."""
     source = Path(path).read_text()
     prefix = prefix_of(analyse(source, overrides), Path(path).stem)
-    return prefix, WARMUP, lambda bars: with_script(bars, source, overrides, prefix)
+    return source_engine(source, prefix, overrides)
+
+
+def source_engine(source: str, prefix: str, overrides: dict | None = None) -> dict:
+    error = f"__error_{prefix}"
+    return {"prefix": prefix, "warmup": WARMUP, "compute": lambda bars: with_script(bars, source, overrides, prefix, error), "error": error}
 
 
 def last_values(bars: DataFrame, columns: list[str]) -> DataFrame:
