@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalar import sure
 
 
+_partition: ContextVar[tuple[str, ...]] = ContextVar("partition", default=("symbol",))
+
+
+@contextmanager
+def partitioned_by(*columns: str) -> Iterator[None]:
+    """Windows that are made within run over parts of symbols (see slices)."""
+    token = _partition.set(columns)
+    try:
+        yield
+    finally:
+        _partition.reset(token)
+
+
 def by_symbol() -> WindowSpec:
-    return Window.partitionBy("symbol").orderBy("ts")
+    return Window.partitionBy(*_partition.get()).orderBy("ts")
 
 
 def last_rows(n: int) -> WindowSpec:

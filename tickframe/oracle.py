@@ -308,3 +308,10 @@ SELECT symbol, ts, {q('last', 'last')}, {q('mean', 'mean')}, {q('ahead', 'ahead'
 
 
 ORACLE |= {f"script_security_{t.lower()}": higher(t) for t in BUCKETS}
+
+LAST_FALL = f"last_value(CASE WHEN close < open THEN close END IGNORE NULLS) OVER ({W} {FULL})"
+ORACLE |= {
+    "sliced_windows": simple(DAILY, q(over("avg(close)", "close", 20), "sma20"), q(over("stddev_pop(close)", "close", 20), "sd20"), q(f"close - lag(close, 10) OVER ({W})", "mom10")),
+    "sliced_carries": f"{RECURSIVE}{DAILY}, {rma('bars', 'close', 'rma14', 14)}, {joined('o', 'bars', 'rma14')}, n AS (SELECT *, row_number() OVER ({W}) AS rn FROM o)\n"
+    f"SELECT symbol, ts, rn AS number, {q(LAST_FALL, 'last_fall')}, {since('close < open')} AS since, {q('rma14', 'rma14')} FROM n",
+}

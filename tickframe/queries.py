@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.sessions import drop_incomplete, rth_only, session_counts, trim_delay
 from .operators import recursive as rec
+from .operators import slices as sl
 from .operators import window as w
 from .operators.resample import closed_value, dedup_keep_last, resample_ohlcv, tail
 from .plans import overview as ov
@@ -74,6 +75,21 @@ def htf_closed(spark, sf_dir) -> DataFrame:
     return quantised(closed_value(b.select(*KEYS), at, higher, "htf_close", "htf_volume"))
 
 
+def sliced_windows(spark, sf_dir) -> DataFrame:
+    """The windows of `sma` and `stdev_pop` over slices of 90 days, so that a symbol's bars lie in several tasks."""
+    x = F.col("close")
+    out = sl.bounded(daily(spark, sf_dir), 90 * 86400, 19, lambda b: b.withColumns({"sma20": w.sma(x, 20), "sd20": w.stdev_pop(x, 20), "mom10": w.change(x, 10)}))
+    return quantised(out.select(*KEYS, "sma20", "sd20", "mom10"))
+
+
+def sliced_carries(spark, sf_dir) -> DataFrame:
+    """Bar numbers, the last close of a falling bar, bars since one, and an average without bound, carried over slices of 90 days."""
+    b = daily(spark, sf_dir).withColumn("falls", F.col("close") < F.col("open"))
+    b = b.withColumn("fell_at", F.when(F.col("falls"), F.col("close")))
+    out = sl.with_carries(b, 90 * 86400, {"last_fall": "fell_at"}, "number", {"since": "falls"})
+    return quantised(sl.with_recursion(out, 90 * 86400, rec.rma("rma14", "close", 14)).select(*KEYS, "number", "last_fall", "since", "rma14"))
+
+
 def scanned(spark, sf_dir) -> DataFrame:
     return sc.scan_rows(daily(spark, sf_dir))
 
@@ -262,6 +278,8 @@ QUERIES = {
     "rsi": lambda s, d: quantised(rec.with_rsi(daily(s, d), "rsi14", "close", 14).select(*KEYS, "rsi14")),
     "atr": lambda s, d: quantised(rec.with_atr(daily(s, d), "atr14", 14).select(*KEYS, "atr14")),
     "crosses": crosses,
+    "sliced_windows": sliced_windows,
+    "sliced_carries": sliced_carries,
     "momentum_velocity": lambda s, d: _prefixed(momentum(daily(s, d)), "mb"),
     "momentum_position": lambda s, d: _prefixed(momentum(hourly(s, d), Momentum(mode="position", stars_fresh_only=True)), "mb"),
     "regime_default": lambda s, d: _prefixed(regime(daily(s, d)), "ggr"),
