@@ -2,8 +2,7 @@
 
 y = alpha * x + (1 - alpha) * y before it. Values are cut into blocks by their number in the series. Within a block y is a running sum of inputs with
 growing weights, scaled back; what came before the block is an affine map's other half: the value at the end of the block before, times a power of
-1 - alpha. A block is so long that what came before the block before it weighs under 1e-26, and so short that no weight overflows, so that one carry is exact
-to the last digits. Everything is a window over one exchange by symbol: nothing is stepped value by value, and no Python runs.
+1 - alpha. A block is so long that what came before the block before it weighs less than a double's last digit, so that one carry is enough, and no longer. Everything is a window over one exchange by symbol: nothing is stepped value by value, and no Python runs.
 
 Seeding: the first value is the mean of the first n valid inputs, none before. A missing input is skipped (on_gap="skip": the recursion goes
 on over the valid ones) or starts the seeding again (on_gap="reset").
@@ -42,17 +41,22 @@ def rma(out: str, source: str, n: int, on_gap: str = "skip", gaps: str | None =
     return Recursion(out, source, n, 1 / n, on_gap, gaps)
 
 
-def block_length(alphas: list[float]) -> int:
-    """A power of two: the weights of so many values grow to at most e^300 under the fastest of the alphas."""
-    return 1 << int(math.log2(max(2.0, 300.0 / -math.log1p(-max(alphas)))))
+#: What came before the block before may weigh e^-LEAST of a value at most: less than a double's last digit.
+LEAST = 41.5
+
+
+def block_length(alpha: float) -> int:
+    """The shortest power of two that is long enough: sums are short, and weights stay below e^(2 * LEAST)."""
+    return 1 << max(1, math.ceil(math.log2(LEAST / -math.log1p(-alpha))))
 
 
 def block_lengths(alphas: set[float]) -> dict[float, int]:
-    """A block length for each alpha below 1; one for several as long as a whole block weighs at most e^-60 under each of them."""
+    """A block length for each alpha below 1; a shorter one's where it is long enough and its weights don't overflow."""
     out: dict[float, int] = {}
     for alpha in sorted((a for a in alphas if a < 1), reverse=True):
-        fits = [n for n in out.values() if n * -math.log1p(-alpha) >= 60]
-        out[alpha] = min(fits) if fits else block_length([alpha])
+        rate = -math.log1p(-alpha)
+        fits = [n for n in out.values() if LEAST <= n * rate <= 300]
+        out[alpha] = min(fits) if fits else block_length(alpha)
     return out
 
 
@@ -97,13 +101,14 @@ def _side_by_side(bars: DataFrame, specs: list[Recursion]) -> DataFrame:
         return v, F.pmod(v, F.lit(length(s))), F.col(s.source).isNotNull() & (v >= s.n - 1)
 
     scaled = {}
+    # Divided by the same powers that scale back: what is left of their rounding doesn't grow with the exponent.
     for i, s in enumerate(specs):
         if s in cut:
             v, at, there = place(s)
-            k, grow = where(s), 1 / (1 - s.alpha)
+            k = where(s)
             own = Window.partitionBy("symbol", *([f"__run{k}"] if s.on_gap == "reset" else []), f"__b{k}_{length(s)}").orderBy("ts")
             x = F.when(v == s.n - 1, F.col(f"__seed{i}")).otherwise(s.alpha * F.col(s.source))
-            total = F.sum(F.when(there, x * F.pow(F.lit(grow), at))).over(own.rowsBetween(Window.unboundedPreceding, 0))
+            total = F.sum(F.when(there, x / F.pow(F.lit(1 - s.alpha), at))).over(own.rowsBetween(Window.unboundedPreceding, 0))
             scaled[f"__z{i}"] = total * F.pow(F.lit(1 - s.alpha), at)
     # A window node for each blocking of each source: the same ones side by side.
     for own in cuts:
@@ -126,7 +131,14 @@ def _side_by_side(bars: DataFrame, specs: list[Recursion]) -> DataFrame:
             out[s.out] = F.when(there, F.when(v == s.n - 1, F.col(f"__seed{i}")).otherwise(F.col(f"__z{i}") + carried))
         else:
             out[s.out] = F.col(s.source)
-    return bars.withColumns(out).select(*before, *out)
+    bars = bars.withColumns(out)
+    # The last step is taken as the definition says, from the value before: rounding is that of one step, not of powers and sums.
+    last = {}
+    for s in cut:
+        v, _, there = place(s)
+        was = F.last(s.out, ignorenulls=True).over(w.by_symbol().rowsBetween(Window.unboundedPreceding, -1))
+        last[s.out] = F.when(there & (v > s.n - 1), s.alpha * F.col(s.source) + (1 - s.alpha) * was).otherwise(F.col(s.out))
+    return bars.withColumns(last).select(*before, *out)
 
 
 def with_rsi(bars: DataFrame, out: str, source: str, n: int) -> DataFrame:

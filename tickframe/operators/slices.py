@@ -108,9 +108,9 @@ def with_recursion(bars: DataFrame, seconds: int, spec: Recursion) -> DataFrame:
     there = x.isNotNull() & (F.col("__number") >= spec.n)
     given = F.when(F.col("__number") == spec.n, F.col("__seed")).otherwise(spec.alpha * x)
     # Within a slice as by symbol: blocks, a running sum with growing weights, and the end of the block before.
-    length = block_length([spec.alpha])
+    length = block_length(spec.alpha)
     at = F.pmod(F.col("__v") - 1, F.lit(length))
-    rows = rows.withColumns({"__block": F.floor((F.col("__v") - 1) / length), "__there": there, "__x": F.when(there, given * F.pow(F.lit(1 / decay), at))})
+    rows = rows.withColumns({"__block": F.floor((F.col("__v") - 1) / length), "__there": there, "__x": F.when(there, given / F.pow(F.lit(decay), at))})
     block = Window.partitionBy(*KEY, "__block").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__z", F.coalesce(F.sum("__x").over(block), F.lit(0.0)) * F.pow(F.lit(decay), at))
     end = F.last(F.when(x.isNotNull() & (at == length - 1), F.col("__z")), ignorenulls=True).over(Window.partitionBy(*KEY).orderBy("ts").rowsBetween(Window.unboundedPreceding, -1))

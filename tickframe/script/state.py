@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import statistics
 from collections import deque
+from functools import reduce
 from math import sqrt
+from operator import add
 
 
 class Rolling:
@@ -19,7 +21,8 @@ class Rolling:
 
 
 def mean(xs):
-    return sum(xs) / len(xs)
+    """Added in order, each sum rounded: sum() would carry the rounding along."""
+    return reduce(add, xs) / len(xs)
 
 
 def deviation(xs):
