@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickframe.functions.sessions import drop_incomplete, tag_sessions
 from tickframe.operators import recursive as rec
 from tickframe.operators import window as w
+from tickframe.plans import flow
 from tickframe.plans import scan as sc
 from tickframe.plans.momentum import momentum
 from tickframe.plans.regime import regime
@@ -98,6 +99,20 @@ def test_recursions_over_many_blocks(spark, gaps):
     assert "Arrow" not in plan and "Python" not in plan
 
 
+@pytest.mark.parametrize("on_gap", ["skip", "reset"])
+def test_last_steps_by_definition(spark, on_gap):
+    """Over ranks (whole numbers), the value is the loop's to the last digit, so that ties of two sides fall as they do there."""
+    rng = random.Random(8)
+    ranks = [None] * 5 + [None if rng.random() < 0.01 else float(rng.randint(0, 100)) for _ in range(2000)]
+    got = column(rec.with_recursions(bars_of(spark, ranks), rec.ema("y", "close", 5, on_gap, steps=rec.exact_steps(1 / 3))), "y")
+    assert got == recurse(ranks, 5, 2 / 6, on_gap)
+
+
+def test_independent_sides_take_exact_steps():
+    specs, _ = flow.recursions(flow.Flow(scale_mode="independent"))
+    assert [s.steps for s in specs] == [60, 60, 1, 1] and {s.steps for s in flow.recursions(flow.Flow())[0]} == {1}
+
+
 def test_rsi_edges(spark):
     for closes, last in (([float(i) for i in range(20)], 100.0), ([float(-i) for i in range(20)], 0.0), ([5.0] * 20, 100.0)):
         values = column(rec.with_rsi(bars_of(spark, closes), "rsi", "close", 14), "rsi")

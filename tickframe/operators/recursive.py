@@ -11,7 +11,7 @@ on over the valid ones) or starts the seeding again (on_gap="reset").
 from __future__ import annotations
 
 import math
-from collections.abc import Collection
+from collections.abc import Callable, Collection
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,7 +23,7 @@ from . import window as w
 @dataclass(frozen=True)
 class Recursion:
     """gaps: a column that is missing where the source is (the source itself if none is named); recursions with the same gaps share their numbering,
-    and so their window nodes."""
+    and so their window nodes. steps: how many of the last steps are taken as the definition says, see exact_steps."""
 
     out: str
     source: str
@@ -31,10 +31,11 @@ class Recursion:
     alpha: float
     on_gap: str = "skip"
     gaps: str | None = None
+    steps: int = 1
 
 
-def ema(out: str, source: str, n: int, on_gap: str = "skip", gaps: str | None = None) -> Recursion:
-    return Recursion(out, source, n, 2 / (n + 1), on_gap, gaps)
+def ema(out: str, source: str, n: int, on_gap: str = "skip", gaps: str | None = None, steps: int = 1) -> Recursion:
+    return Recursion(out, source, n, 2 / (n + 1), on_gap, gaps, steps)
 
 
 def rma(out: str, source: str, n: int, on_gap: str = "skip", gaps: str | None = None) -> Recursion:
@@ -45,6 +46,12 @@ def rma(out: str, source: str, n: int, on_gap: str = "skip", gaps: str | None =
 LEAST = 41.5
 
 
+def exact_steps(alpha: float) -> int:
+    """So many last steps by definition that a difference of a last digit at their start is rounded away, as a rule. Where two recursions over whole
+    numbers are compared, their ties then fall as they do step by step."""
+    return math.ceil(24 / -math.log1p(-alpha))
+
+
 def block_length(alpha: float) -> int:
     """The shortest power of two that is long enough: sums are short, and weights stay below e^(2 * LEAST)."""
     return 1 << max(1, math.ceil(math.log2(LEAST / -math.log1p(-alpha))))
@@ -71,6 +78,14 @@ def with_recursions(bars: DataFrame, *specs: Recursion, spent: Collection[str] =
     return bars.select(*(c for c in (*names, *(s.out for s in specs)) if c not in spent))
 
 
+def _step(alpha: float) -> Callable[[Column, Column], Column]:
+    return lambda y, t: alpha * t["x"] + (1 - alpha) * y
+
+
+def _equal(name: str, value: Column) -> Callable[[Column], Column]:
+    return lambda t: t[name] == value
+
+
 def _side_by_side(bars: DataFrame, specs: list[Recursion]) -> DataFrame:
     """Recursions of which none reads another's output; those of one source share its numbering, those of one block length its blocks."""
     before = bars.columns
@@ -138,7 +153,24 @@ def _side_by_side(bars: DataFrame, specs: list[Recursion]) -> DataFrame:
         v, _, there = place(s)
         was = F.last(s.out, ignorenulls=True).over(w.by_symbol().rowsBetween(Window.unboundedPreceding, -1))
         last[s.out] = F.when(there & (v > s.n - 1), s.alpha * F.col(s.source) + (1 - s.alpha) * was).otherwise(F.col(s.out))
-    return bars.withColumns(last).select(*before, *out)
+    bars = bars.withColumns(last)
+    # More of the last steps, folded over the values of so many rows.
+    folded = {}
+    for s in cut:
+        if s.steps > 1:
+            v, _, there = place(s)
+            value = F.when(there, F.struct(F.col(s.source).alias("x"), F.col(s.out).alias("y")))
+            if s.on_gap == "reset":
+                value = F.when(there, F.struct(F.col(s.source).alias("x"), F.col(s.out).alias("y"), F.col(f"__run{where(s)}").alias("run")))
+            folded[s] = f"__steps{len(folded)}", F.collect_list(value).over(w.by_symbol().rowsBetween(-s.steps, 0))
+    bars = bars.withColumns(dict(folded.values())) if folded else bars
+    last = {}
+    for s, (name, _) in folded.items():
+        v, _, there = place(s)
+        own = F.col(name) if s.on_gap == "skip" else F.filter(name, _equal("run", F.col(f"__run{where(s)}")))
+        y = F.aggregate(F.slice(own, 2, s.steps), own[0]["y"], _step(s.alpha))
+        last[s.out] = F.when(there & (F.size(own) > 2), y).otherwise(F.col(s.out))
+    return (bars.withColumns(last) if last else bars).select(*before, *out)
 
 
 def with_rsi(bars: DataFrame, out: str, source: str, n: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, compare, guarded_ratio, ladder, sure
 from ..operators import window as w
-from ..operators.recursive import Recursion, ema, with_recursions
+from ..operators.recursive import Recursion, ema, exact_steps, with_recursions
 
 PREFIX = "sf"
 
@@ -90,9 +90,11 @@ def recursions(c: Flow) -> tuple[list[Recursion], list[str]]:
     n, twice = c.smooth_len, c.double_smooth
     # The signed scales are never missing, nor are the two sides but for the independent scale, where each has gaps of its own.
     dense = None if c.scale_mode == "independent" else "__i_signed"
-    lines = [ema("__r1" if twice else "sf_retail", "__r", n, gaps=dense), ema("__i1" if twice else "sf_inst", "__i", n, gaps=dense)]
+    # Ranks are shares of whole numbers: the two sides tie, and which is above then hangs on the last digit of every step.
+    steps = exact_steps(2 / (n + 1)) if c.scale_mode == "independent" and n > 1 else 1
+    lines = [ema("__r1" if twice else "sf_retail", "__r", n, gaps=dense, steps=steps), ema("__i1" if twice else "sf_inst", "__i", n, gaps=dense, steps=steps)]
     if twice:
-        lines += [ema("sf_retail", "__r1", n, gaps=dense and "__r1"), ema("sf_inst", "__i1", n, gaps=dense and "__r1")]
+        lines += [ema("sf_retail", "__r1", n, gaps=dense and "__r1", steps=steps), ema("sf_inst", "__i1", n, gaps=dense and "__r1", steps=steps)]
     return [*lines, ema("sf_inst_flow", "__i_signed", n), ema("sf_retail_flow", "__r_signed", n, gaps="__i_signed")], ["__r", "__i", "__r1", "__i1", "__r_signed", "__i_signed"]
 
 
