@@ -3,6 +3,7 @@
 import math
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from tickframe.plans import scan as sc
 from tickframe.plans.momentum import momentum
 from tickframe.plans.regime import regime
 from tickframe.predicate import FilterError, apply_filter
+from tickframe.sources import bars as sources
 from tickframe.schema import BAR_SCHEMA, BarError, validate
 from tickframe.timeframe import Timeframe
 
@@ -113,6 +115,19 @@ def test_independent_sides_take_exact_steps():
     assert [s.steps for s in specs] == [60, 60, 1, 1] and {s.steps for s in flow.recursions(flow.Flow())[0]} == {1}
 
 
+def test_partitions_grow_with_the_rows(spark, monkeypatch):
+    """One exchange by symbol, of a bounded number of rows a task, and the same bars."""
+    if not Path("/root/testdata/sf0.001").is_dir():
+        pytest.skip("no test tables")
+    plain = rec.with_atr(sources.daily_from_lineitem(spark, "/root/testdata/sf0.001"), "atr", 14)
+    monkeypatch.setattr(sources, "ROWS_A_TASK", 500)
+    many = rec.with_atr(sources.daily_from_lineitem(spark, "/root/testdata/sf0.001"), "atr", 14)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    assert many.rdd.getNumPartitions() >= 12 > 4 >= plain.rdd.getNumPartitions()
+    assert sorted(many.collect()) == sorted(plain.collect())
+
+
 def test_rsi_edges(spark):
     for closes, last in (([float(i) for i in range(20)], 100.0), ([float(-i) for i in range(20)], 0.0), ([5.0] * 20, 100.0)):
         values = column(rec.with_rsi(bars_of(spark, closes), "rsi", "close", 14), "rsi")

@@ -78,13 +78,13 @@ def htf_closed(spark, sf_dir) -> DataFrame:
 def sliced_windows(spark, sf_dir) -> DataFrame:
     """The windows of `sma` and `stdev_pop` over slices of 90 days, so that a symbol's bars lie in several tasks."""
     x = F.col("close")
-    out = sl.bounded(daily(spark, sf_dir), 90 * 86400, 19, lambda b: b.withColumns({"sma20": w.sma(x, 20), "sd20": w.stdev_pop(x, 20), "mom10": w.change(x, 10)}))
+    out = sl.bounded(daily_from_lineitem(spark, sf_dir, whole_symbols=False), 90 * 86400, 19, lambda b: b.withColumns({"sma20": w.sma(x, 20), "sd20": w.stdev_pop(x, 20), "mom10": w.change(x, 10)}))
     return quantised(out.select(*KEYS, "sma20", "sd20", "mom10"))
 
 
 def sliced_carries(spark, sf_dir) -> DataFrame:
     """Bar numbers, the last close of a falling bar, bars since one, and an average without bound, carried over slices of 90 days."""
-    b = daily(spark, sf_dir).withColumn("falls", F.col("close") < F.col("open"))
+    b = daily_from_lineitem(spark, sf_dir, whole_symbols=False).withColumn("falls", F.col("close") < F.col("open"))
     b = b.withColumn("fell_at", F.when(F.col("falls"), F.col("close")))
     out = sl.with_carries(b, 90 * 86400, {"last_fall": "fell_at"}, "number", {"since": "falls"})
     return quantised(sl.with_recursion(out, 90 * 86400, rec.rma("rma14", "close", 14)).select(*KEYS, "number", "last_fall", "since", "rma14"))
@@ -260,7 +260,7 @@ def _script(name: str):
 
 
 QUERIES = {
-    "bars_daily": lambda s, d: quantised(daily(s, d)),
+    "bars_daily": lambda s, d: quantised(daily_from_lineitem(s, d, whole_symbols=False)),
     "bars_hourly": lambda s, d: quantised(hourly(s, d)),
     "session_counts": lambda s, d: session_counts(from_events(s, d, Timeframe.M15)),
     "dedup_keep_last": lambda s, d: quantised(dedup(s, d)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,17 @@ def in_order(*keys: tuple[Column, int]) -> Column:
     return out
 
 
+#: Rows of the table for each partition of symbols, about.
+ROWS_A_TASK = 250_000
+
+
+def by_symbol(rows: DataFrame, n_rows: int) -> DataFrame:
+    """rows by symbol in as many partitions as so many need, where the session's number is too small: the aggregation and every sort of the later
+    windows hold a partition in a task, so that its memory stays the same however many symbols there are. All of them then share this exchange."""
+    n = math.ceil(n_rows / ROWS_A_TASK)
+    return rows.repartition(n, "symbol") if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def _ohlcv(rows: DataFrame, volume) -> DataFrame:
     return rows.groupBy("symbol", "ts").agg(
         F.min_by("price", "k").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "k").alias("close"),
@@ -26,13 +39,14 @@ def _ohlcv(rows: DataFrame, volume) -> DataFrame:
     )
 
 
-def daily_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A symbol for each supplier, a bar for each ship date; price: extended price over quantity."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+def daily_from_lineitem(spark: SparkSession, sf_dir: str, whole_symbols: bool = True) -> DataFrame:
+    """A symbol for each supplier, a bar for each ship date; price: extended price over quantity. whole_symbols: in partitions for windows by symbol."""
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = table.select(
         F.col("l_suppkey").cast("string").alias("symbol"), F.col("l_shipdate").cast("timestamp").alias("ts"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_quantity", in_order((F.col("l_orderkey"), 15), (F.col("l_linenumber"), 3), (F.col("l_partkey"), 13)).alias("k"),
     )
-    return tag_sessions(_ohlcv(rows, F.sum("l_quantity")), Timeframe.D1)
+    return tag_sessions(_ohlcv(by_symbol(rows, table.count()) if whole_symbols else rows, F.sum("l_quantity")), Timeframe.D1)
 
 
 def from_events(spark: SparkSession, sf_dir: str, timeframe: Timeframe = Timeframe.H1) -> DataFrame:
