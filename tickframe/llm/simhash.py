@@ -371,11 +371,16 @@ def similar(found: DataFrame, texts: DataFrame, least: float = SIMILARITY, size:
     return found.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, found.select("a", "b").schema)
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges that one task of a round of components takes, about.
+EDGES_A_TASK = 1 << 18
+
+
+def components(edges: DataFrame, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
     """node, root for every node of edges(a, b): root is the least node of its component.
 
     Each round: large-star joins a node's greater neighbours to its least one, small-star joins its lesser ones. Rounds end when the
-    edges stay as they are; the number of rounds grows with the logarithm of a component's size.
+    edges stay as they are; the number of rounds grows with the logarithm of a component's size. A round has as many tasks as its edges need: those
+    of one task are met without an exchange.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, seen = written(e, "star-0"), None
@@ -385,14 +390,17 @@ def components(edges: DataFrame) -> DataFrame:
         if state["n"] == 0 or (state["n"], state["h"]) == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = (state["n"], state["h"])
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        tasks = -(-state["n"] // edges_a_task)
+        near = e.coalesce(tasks)
+        ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+        both = near.select(ways.alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("x")).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, f"star-{turn}a")
-        before = e
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(lower.withColumnRenamed("u", "x"), F.col("u") == F.col("x")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(joined.union(lower.select("u", F.col("m").alias("v"))).distinct(), f"star-{turn}b")
+        large = written(large.coalesce(tasks), f"star-{turn}a")
+        near, before = large.coalesce(tasks), e
+        lower = near.groupBy("u").agg(F.min("v").alias("m"))
+        joined = near.join(lower.withColumnRenamed("u", "x"), F.col("u") == F.col("x")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = written(joined.union(lower.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks), f"star-{turn}b")
         released(large, before)
     raise RuntimeError("components did not settle")
 
