@@ -198,3 +198,25 @@ def test_validate(spark):
         validate(bars.withColumn("session", F.lit("night")))
     with pytest.raises(BarError):
         validate(bars.drop("volume"))
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_recursions_of_bounded_series_need_no_blocks(spark, gaps):
+    closes = [None if gaps and i % 7 == 3 else c for i, c in enumerate(walk(300))]
+    specs = rec.ema("fast", "close", 3), rec.rma("slow", "close", 14)
+    out = rec.with_recursions(bars_of(spark, closes), *specs, longest=300)
+    assert "__b0_" not in out._jdf.queryExecution().analyzed().toString()
+    for s in specs:
+        assert column(out, s.out) == pytest.approx(recurse(closes, s.n, s.alpha), abs=1e-9, nan_ok=True)
+    assert not rec.unbroken(specs[0], 5000)
+
+
+def test_scan_makes_its_bars_once(spark, tmp_path):
+    bars_of(spark, walk(200)).union(bars_of(spark, walk(40), "B")).write.parquet(f"{tmp_path}/bars")
+    table = sc.scan_table(spark.read.parquet(f"{tmp_path}/bars"))
+    assert table._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    rows = {r["symbol"]: r for r in table.collect()}
+    assert rows["A"]["error"] is None and rows["A"]["composite"] is not None
+    short = rows["B"]
+    assert short["error"].startswith("only 40 bars") and short["last_price"] is not None
+    assert [short[c] for c in table.columns if c.startswith(("mb_", "ggr_", "sf_"))] == [None] * sum(c.startswith(("mb_", "ggr_", "sf_")) for c in table.columns)

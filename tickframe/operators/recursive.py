@@ -67,13 +67,23 @@ def block_lengths(alphas: set[float]) -> dict[float, int]:
     return out
 
 
-def with_recursions(bars: DataFrame, *specs: Recursion, spent: Collection[str] = ()) -> DataFrame:
-    """bars with each recursion's column, without those that are spent then; a recursion may read another's output that stands before it."""
+#: Weights of a whole series' running sum stay below e^MOST.
+MOST = 400.0
+
+
+def unbroken(s: Recursion, longest: int | None) -> bool:
+    """Whether a series of at most `longest` bars needs no blocks: its weights don't overflow. It is summed by symbol then, without sorts of its own."""
+    return longest is not None and s.on_gap == "skip" and s.alpha < 1 and longest * -math.log1p(-s.alpha) <= MOST
+
+
+def with_recursions(bars: DataFrame, *specs: Recursion, spent: Collection[str] = (), longest: int | None = None) -> DataFrame:
+    """bars with each recursion's column, without those that are spent then; a recursion may read another's output that stands before it.
+    longest: no symbol has more bars."""
     names, left = bars.columns, list(specs)
     while left:
         outputs = {s.out for s in left}
         ready = [s for s in left if s.source not in outputs]
-        bars = _side_by_side(bars, ready)
+        bars = _side_by_side(bars, ready, longest)
         left = [s for s in left if s.source in outputs]
     return bars.select(*(c for c in (*names, *(s.out for s in specs)) if c not in spent))
 
@@ -86,13 +96,14 @@ def _equal(name: str, value: Column) -> Callable[[Column], Column]:
     return lambda t: t[name] == value
 
 
-def _side_by_side(bars: DataFrame, specs: list[Recursion]) -> DataFrame:
+def _side_by_side(bars: DataFrame, specs: list[Recursion], longest: int | None = None) -> DataFrame:
     """Recursions of which none reads another's output; those of one source share its numbering, those of one block length its blocks."""
     before = bars.columns
     every = w.by_symbol().rowsBetween(Window.unboundedPreceding, 0)
     key = lambda s: (s.gaps or s.source, s.on_gap)
     kinds = {k: i for i, k in enumerate(dict.fromkeys(map(key, specs)))}
-    lengths = {k: block_lengths({s.alpha for s in specs if key(s) == k}) for k in kinds}
+    whole = {s.out for s in specs if unbroken(s, longest)}
+    lengths = {k: block_lengths({s.alpha for s in specs if key(s) == k and s.out not in whole}) for k in kinds}
     where = lambda s: kinds[key(s)]
     length = lambda s: lengths[key(s)][s.alpha]
     cut = [s for s in specs if s.alpha < 1]
@@ -107,13 +118,13 @@ def _side_by_side(bars: DataFrame, specs: list[Recursion]) -> DataFrame:
         runs = {f"__run{k}": F.coalesce(last(gaps), F.lit(0)) for (gaps, on_gap), k in kinds.items() if on_gap == "reset"}
         bars = bars.withColumns(runs)
         bars = bars.withColumns({f"__v{k[5:]}": F.col("__row") - F.col(k) - 1 for k in runs})
-    cuts = sorted({(where(s), length(s)) for s in cut})
+    cuts = sorted({(where(s), length(s)) for s in cut if s.out not in whole})
     bars = bars.withColumns({f"__b{k}_{n}": F.floor(F.col(f"__v{k}") / n) for k, n in cuts}) if cuts else bars
 
     def place(s: Recursion) -> tuple[Column, Column, Column]:
         """The value's number, its place in its block, and whether it is there and past the seed."""
         v = F.col(f"__v{where(s)}")
-        return v, F.pmod(v, F.lit(length(s))), F.col(s.source).isNotNull() & (v >= s.n - 1)
+        return v, v if s.out in whole else F.pmod(v, F.lit(length(s))), F.col(s.source).isNotNull() & (v >= s.n - 1)
 
     scaled = {}
     # Divided by the same powers that scale back: what is left of their rounding doesn't grow with the exponent.
@@ -121,16 +132,20 @@ def _side_by_side(bars: DataFrame, specs: list[Recursion]) -> DataFrame:
         if s in cut:
             v, at, there = place(s)
             k = where(s)
-            own = Window.partitionBy("symbol", *([f"__run{k}"] if s.on_gap == "reset" else []), f"__b{k}_{length(s)}").orderBy("ts")
+            own = w.by_symbol()
+            if s.out not in whole:
+                own = Window.partitionBy("symbol", *([f"__run{k}"] if s.on_gap == "reset" else []), f"__b{k}_{length(s)}").orderBy("ts")
             x = F.when(v == s.n - 1, F.col(f"__seed{i}")).otherwise(s.alpha * F.col(s.source))
             total = F.sum(F.when(there, x / F.pow(F.lit(1 - s.alpha), at))).over(own.rowsBetween(Window.unboundedPreceding, 0))
             scaled[f"__z{i}"] = total * F.pow(F.lit(1 - s.alpha), at)
+    if whole:
+        bars = bars.withColumns({f"__z{i}": scaled[f"__z{i}"] for i, s in enumerate(specs) if s.out in whole})
     # A window node for each blocking of each source: the same ones side by side.
     for own in cuts:
-        bars = bars.withColumns({f"__z{i}": scaled[f"__z{i}"] for i, s in enumerate(specs) if s in cut and (where(s), length(s)) == own})
+        bars = bars.withColumns({f"__z{i}": scaled[f"__z{i}"] for i, s in enumerate(specs) if s in cut and s.out not in whole and (where(s), length(s)) == own})
     ends = {}
     for i, s in enumerate(specs):
-        if s in cut:
+        if s in cut and s.out not in whole:
             _, at, there = place(s)
             run = F.col(f"__run{where(s)}") if s.on_gap == "reset" else F.lit(0)
             end = F.when(there & (at == length(s) - 1), F.struct(F.col(f"__z{i}").alias("z"), run.alias("run")))
@@ -140,6 +155,9 @@ def _side_by_side(bars: DataFrame, specs: list[Recursion]) -> DataFrame:
     for i, s in enumerate(specs):
         if s in cut:
             v, at, there = place(s)
+            if s.out in whole:
+                out[s.out] = F.when(there, F.when(v == s.n - 1, F.col(f"__seed{i}")).otherwise(F.col(f"__z{i}")))
+                continue
             end = F.col(f"__end{i}")
             same = end["run"] == (F.col(f"__run{where(s)}") if s.on_gap == "reset" else F.lit(0))
             carried = F.when(same, end["z"] * F.pow(F.lit(1 - s.alpha), at + 1)).otherwise(F.lit(0.0))

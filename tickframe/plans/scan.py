@@ -44,13 +44,14 @@ def builtin_engines(m: Momentum = Momentum(), r: Regime = Regime(), f: Flow = Fl
     return [Engine(prefix, c.warmup, None, partial(plan.prepare, c=c), plan.recursions(c), partial(plan.finish, c=c)) for plan, prefix, c in made]
 
 
-def with_engines(bars: DataFrame, engines: list[Engine]) -> DataFrame:
-    """bars with the columns of all engines: one grouped pass for the recursions of all that have some, whose inputs need no other engine."""
+def with_engines(bars: DataFrame, engines: list[Engine], longest: int | None = None) -> DataFrame:
+    """bars with the columns of all engines: one grouped pass for the recursions of all that have some, whose inputs need no other engine.
+    longest: no symbol has more bars."""
     joint = [e for e in engines if e.compute is None]
     for e in joint:
         bars = e.prepare(bars)
     if joint:
-        bars = with_recursions(bars, *(x for e in joint for x in e.recursions[0]), spent=[c for e in joint for c in e.recursions[1]])
+        bars = with_recursions(bars, *(x for e in joint for x in e.recursions[0]), spent=[c for e in joint for c in e.recursions[1]], longest=longest)
     for e in joint:
         bars = e.finish(bars)
     for e in engines:
@@ -128,16 +129,20 @@ def scan_table(bars: DataFrame, request: ScanRequest = ScanRequest()) -> DataFra
     NULL where all went well: too few bars, or what an engine says of the symbol. An error of one symbol leaves the others alone."""
     last = max(request.lookback, request.warmup + 30) if request.lookback else 0
     # The last bars are told by number and count in the order that all later windows have: one sort.
-    numbered = bars.select(*BARS).withColumns({"__i": w.bar_number(), "__n": F.count("*").over(Window.partitionBy("symbol"))})
-    numbered = numbered.filter(F.col("__i") > F.col("__n") - last) if last else numbered
-    out = snapshot(base_columns(numbered.drop("__i"))).drop(*BARS[1:])
-    enough = numbered.filter(F.col("__n") >= request.warmup).select(*BARS)
-    # Each engine runs over narrow bars of its own and is met at the last bar: all read one exchange by symbol, and none carries another's columns.
+    numbered = bars.select(*BARS).withColumns({"__i": w.bar_number(), "__bars": F.count("*").over(Window.partitionBy("symbol"))})
+    numbered = numbered.filter(F.col("__i") > F.col("__bars") - last) if last else numbered
+    # The engines follow one another over the same sorted bars, so that these are made once; a symbol with too few bars has none of their values.
+    based, enough = base_columns(numbered.drop("__i")), F.col("__bars") >= request.warmup
+    out = snapshot(with_engines(based, [e for e in request.engines if e.compute is None], last or None))
+    made = [c for c in out.columns if c not in based.columns]
+    out = out.withColumns({c: F.when(enough, F.col(c)) for c in made}).drop(*BARS[1:])
+    # What computes for itself (scripts) runs over narrow bars of its own, only of symbols that have enough, and is met at the last bar.
     for e in request.engines:
-        out = out.join(snapshot(with_engines(enough, [e])).drop(*BARS[1:]), "symbol", "left")
-    short = F.when(F.col("__n") < request.warmup, F.format_string(f"only %d bars, {request.warmup} are needed", "__n"))
+        if e.compute:
+            out = out.join(snapshot(e.compute(numbered.filter(enough).select(*BARS))).drop(*BARS[1:]), "symbol", "left")
+    short = F.when(~enough, F.format_string(f"only %d bars, {request.warmup} are needed", "__bars"))
     failed = [F.concat(F.lit(f"{e.prefix}: "), F.col(e.error)) for e in request.engines if e.error]
-    return with_composite(out.withColumn("error", F.coalesce(short, *failed)).drop("__n", *(e.error for e in request.engines if e.error)))
+    return with_composite(out.withColumn("error", F.coalesce(short, *failed)).drop("__bars", *(e.error for e in request.engines if e.error)))
 
 
 def scan_rows(bars: DataFrame, request: ScanRequest = ScanRequest()) -> DataFrame:
