@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -86,3 +87,12 @@ def test_one_symbol_in_several_tasks(spark, bars):
 def test_reset_is_refused(bars):
     with pytest.raises(ValueError):
         s.with_recursion(bars, DAY, rec.ema("y", "close", 3, "reset"))
+
+
+def test_bars_are_dealt_by_slice_only(bars):
+    """The seed comes with the slices' counts: no join of bars by symbol alone, and bars that come in slices keep them."""
+    spec = rec.rma("y", "close", 14)
+    got = s.with_recursion(s.with_slices(bars, DAY), DAY, spec)
+    assert not re.findall(r"Join \w+, \(symbol#\d+ = symbol#\d+\)", got._jdf.queryExecution().optimizedPlan().toString())
+    assert s.SLICE in got.columns
+    same(got.drop(s.SLICE), rec.with_recursions(bars, spec))

@@ -26,8 +26,13 @@ SLICE = "__slice"
 KEY = ("symbol", SLICE)
 
 
+def slice_of(ts: Column, seconds: int) -> Column:
+    return F.floor(F.unix_timestamp(ts) / seconds)
+
+
 def with_slices(bars: DataFrame, seconds: int) -> DataFrame:
-    return bars.withColumn(SLICE, F.floor(F.unix_timestamp("ts") / seconds))
+    """bars with their slice; those that came with one (of so many seconds) keep it, and so the partitions by it."""
+    return bars if SLICE in bars.columns else bars.withColumn(SLICE, slice_of(F.col("ts"), seconds))
 
 
 def _earlier(total: Column) -> Column:
@@ -38,6 +43,7 @@ def _earlier(total: Column) -> Column:
 
 def with_halo(bars: DataFrame, seconds: int, reach: int) -> DataFrame:
     """bars with their slice, each slice with the `reach` bars before it (fewer if there aren't as many), which have __halo set."""
+    bars = bars.drop(SLICE)
     rows = with_slices(bars, seconds)
     sizes = rows.groupBy(*KEY).agg(F.count("*").alias("__size"))
     sizes = sizes.withColumn("__upto", _earlier(F.col("__size")) + F.col("__size"))
@@ -100,11 +106,17 @@ def with_recursion(bars: DataFrame, seconds: int, spec: Recursion) -> DataFrame:
     rows = with_slices(bars, seconds)
     own = Window.partitionBy(*KEY).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__v", F.count(x).over(own))  # the value's number in its slice, from 1
-    counts = rows.groupBy(*KEY).agg(F.max("__v").alias("__valid")).withColumn("__before", _earlier(F.col("__valid")))
+    # A slice is reduced to its count and its first n values: the seed comes from these, so that bars are never dealt by symbol.
+    begins = F.sort_array(F.collect_list(F.when(x.isNotNull() & (F.col("__v") <= spec.n), F.struct(F.col("__v").alias("v"), x.cast("double").alias("x")))))
+    counts = rows.groupBy(*KEY).agg(F.max("__v").alias("__valid"), begins.alias("__begins")).withColumn("__before", _earlier(F.col("__valid")))
+    # A slice keeps those of them that are among the symbol's first n.
+    seeding = F.filter("__begins", lambda t: t["v"] + F.col("__before") <= spec.n)
+    every = Window.partitionBy("symbol").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seeds = F.flatten(F.collect_list(F.transform(seeding, lambda t: t["x"])).over(every))
+    counts = counts.withColumn("__seeds", seeds)
+    seed = F.aggregate("__seeds", F.lit(0.0), lambda a, b: a + b) / spec.n
+    counts = counts.select(*KEY, "__before", F.when(F.size("__seeds") == spec.n, seed).alias("__seed"))
     rows = rows.join(counts, list(KEY)).withColumn("__number", F.col("__before") + F.col("__v"))
-    first = F.col("__number") <= spec.n
-    seeds = rows.filter(first & x.isNotNull()).groupBy("symbol").agg(F.avg(x).alias("__seed"), F.count("*").alias("__have")).filter(F.col("__have") == spec.n)
-    rows = rows.join(seeds.select("symbol", "__seed"), "symbol", "left")
     there = x.isNotNull() & (F.col("__number") >= spec.n)
     given = F.when(F.col("__number") == spec.n, F.col("__seed")).otherwise(spec.alpha * x)
     # Within a slice as by symbol: blocks, a running sum with growing weights, and the end of the block before.

@@ -19,7 +19,7 @@ from .plans.momentum import Momentum, momentum
 from .plans.regime import Regime, regime
 from .schema import violations
 from .script.engine import source_engine, with_script
-from .sources.bars import daily_from_lineitem, from_events
+from .sources.bars import daily_from_lineitem, daily_in_slices, from_events
 from .timeframe import Timeframe, bucket
 
 NOW = datetime(2024, 1, 20, 12, 0, 0)
@@ -84,7 +84,7 @@ def sliced_windows(spark, sf_dir) -> DataFrame:
 
 def sliced_carries(spark, sf_dir) -> DataFrame:
     """Bar numbers, the last close of a falling bar, bars since one, and an average without bound, carried over slices of 90 days."""
-    b = daily_from_lineitem(spark, sf_dir, whole_symbols=False).withColumn("falls", F.col("close") < F.col("open"))
+    b = daily_in_slices(spark, sf_dir, 90 * 86400).withColumn("falls", F.col("close") < F.col("open"))
     b = b.withColumn("fell_at", F.when(F.col("falls"), F.col("close")))
     out = sl.with_carries(b, 90 * 86400, {"last_fall": "fell_at"}, "number", {"since": "falls"})
     return quantised(sl.with_recursion(out, 90 * 86400, rec.rma("rma14", "close", 14)).select(*KEYS, "number", "last_fall", "since", "rma14"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sessions import tag_sessions
+from ..operators.slices import SLICE, slice_of
 from ..timeframe import Timeframe, bucket
 
 
@@ -32,23 +33,34 @@ def by_symbol(rows: DataFrame, n_rows: int) -> DataFrame:
     return rows.repartition(n, "symbol") if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
 
 
-def _ohlcv(rows: DataFrame, volume) -> DataFrame:
-    return rows.groupBy("symbol", "ts").agg(
+def _ohlcv(rows: DataFrame, volume, *within: str) -> DataFrame:
+    return rows.groupBy("symbol", *within, "ts").agg(
         F.min_by("price", "k").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "k").alias("close"),
         volume.cast("double").alias("volume"),
     )
 
 
-def daily_from_lineitem(spark: SparkSession, sf_dir: str, whole_symbols: bool = True) -> DataFrame:
-    """A symbol for each supplier, a bar for each ship date; price: extended price over quantity. whole_symbols: in partitions for windows by symbol."""
-    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    rows = table.select(
+def _priced(table: DataFrame) -> DataFrame:
+    return table.select(
         F.col("l_suppkey").cast("string").alias("symbol"), F.col("l_shipdate").cast("timestamp").alias("ts"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_quantity", in_order((F.col("l_orderkey"), 15), (F.col("l_linenumber"), 3), (F.col("l_partkey"), 13)).alias("k"),
     )
+
+
+def daily_from_lineitem(spark: SparkSession, sf_dir: str, whole_symbols: bool = True) -> DataFrame:
+    """A symbol for each supplier, a bar for each ship date; price: extended price over quantity. whole_symbols: in partitions for windows by symbol."""
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = _priced(table)
     return tag_sessions(_ohlcv(by_symbol(rows, table.count()) if whole_symbols else rows, F.sum("l_quantity")), Timeframe.D1)
 
 
+def daily_in_slices(spark: SparkSession, sf_dir: str, seconds: int) -> DataFrame:
+    """The bars of daily_from_lineitem with their slice of so many seconds, dealt by symbol and slice: the aggregation and all that runs within slices
+    share this one exchange."""
+    rows = _priced(spark.read.parquet(f"{sf_dir}/lineitem.parquet")).withColumn(SLICE, slice_of(F.col("ts"), seconds))
+    return tag_sessions(_ohlcv(rows.repartition("symbol", SLICE), F.sum("l_quantity"), SLICE), Timeframe.D1)
+
+
 def from_events(spark: SparkSession, sf_dir: str, timeframe: Timeframe = Timeframe.H1) -> DataFrame:
     """A symbol for each event type, bars of the timeframe; price: value, volume: number of events."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(
