@@ -63,7 +63,7 @@ LONGS = T.ArrayType(T.LongType())
 
 def least_overlap(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The fewest shingles that a set of n shares with one it links to."""
-    return -(-percent * n // 100)
+    return np.asarray(-(-percent * n // 100)).astype(np.int64)
 
 
 def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:

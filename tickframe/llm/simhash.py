@@ -16,8 +16,9 @@ Deduplication: fingerprints are those of the set of shingles, which similarity i
 Wider fingerprints: `words` hash words of 64 bits each, cut alike, so that some segment differs in at most one bit if 6 * words - 1 bits or fewer
 differ in all. Deduplication takes NEAR_WORDS words over five-word shingles, meets what shares a variant, one word after the other, keeps pairs
 within NEAR_BITS of the 128 bits of that word and the next, and then holds the texts of each pair against each other: a link needs a Jaccard
-similarity of 0.8 or more over their sets of shingles. Bits don't decide there, so a large group's forest is a start only: members that verified
-links have not united are met again, by forests from other members as long as those give links, and then in all pairs across components.
+similarity of 0.8 or more over their sets of shingles. Bits don't decide there, so in a large family nearly all would be held against all. What is in a
+large group or has more than CROWD candidates is the crowd, and makes no pairs with its like: the exact join of sets (see jaccard) connects all of the
+crowd that are alike, bits or no bits. Pairs with one outside of the crowd go by candidates, at most CROWD for each such one.
 
 Components: alternating large-star and small-star steps over the links, written to the shared folder after each round.
 
@@ -50,6 +51,8 @@ NEAR_BITS = 40
 SIMILARITY = 0.8
 #: Groups of equal variants up to this size are compared pair by pair.
 SMALL = 32
+#: Deduplication: a distinct set with more candidates than this is of the crowd.
+CROWD = 16
 #: Bytes of text that are shingled at once; longer texts go alone.
 SLICE = 1 << 20
 
@@ -452,49 +455,17 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterat
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def _forest(fp: np.ndarray, root: np.ndarray, most: int, seed: tuple[int, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, places) of the links between different roots in a spanning forest of the pairs within most bits, searched in an order of the seed
-    (none: the order given)."""
-    left = np.arange(len(fp)) if seed is None else np.random.default_rng(seed).permutation(len(fp))
-    while len(left):
-        frontier, left = left[:1], left[1:]
-        while len(frontier) and len(left):
-            if len(left) < len(frontier):  # whichever is fewer goes one by one
-                first = np.array([next(iter(np.flatnonzero(_bits(fp[frontier] ^ fp[y]) <= most)), -1) for y in left])
-                a, found, left, frontier = frontier[first[first >= 0]], left[first >= 0], left[first < 0], left[:0]
-            else:
-                near = _bits(fp[left] ^ fp[frontier[-1]]) <= most
-                a, found, left, frontier = np.full(near.sum(), frontier[-1]), left[near], left[~near], frontier[:-1]
-            other = root[a] != root[found]
-            yield a[other], found[other]
-            frontier = np.concatenate([frontier, found])
-
-
-def _across(fp: np.ndarray, root: np.ndarray, most: int, variant: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, places) of all pairs of different roots within most bits whose first common variant in their first word is this one."""
-    _, at, count = np.unique(root, return_inverse=True, return_counts=True)
-    order = np.lexsort((at, count[at]))
-    fp, at = fp[order], at[order]
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    end = np.repeat(np.append(first[1:], len(at)), np.diff(np.append(first, len(at))))
-    for i in range(first[-1]):  # the largest component comes last and is not met with itself
-        diff = fp[end[i] :] ^ fp[i]
-        near = np.flatnonzero(_bits(diff) <= most)
-        near = near[_first_variant(diff[near, 0]) == variant]
-        yield np.full(len(near), order[i]), order[end[i] + near]
-
-
 def _put_together(made: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Columns as batches of some 32,768 rows; -1 becomes null."""
+    """Columns as batches of some 32,768 rows."""
     held, n = [], 0
     for columns in made:
         held.append(columns)
         n += len(columns[0])
         if n >= 1 << 15 or len(held) >= 1 << 15:
-            yield pa.RecordBatch.from_arrays([pa.array(c, mask=c < 0) for c in map(np.concatenate, zip(*held, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in map(np.concatenate, zip(*held, strict=True))], names)
             held, n = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, mask=c < 0) for c in map(np.concatenate, zip(*held, strict=True))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in map(np.concatenate, zip(*held, strict=True))], names)
 
 
 def _two_words(fp: np.ndarray, word: int) -> np.ndarray:
@@ -503,8 +474,20 @@ def _two_words(fp: np.ndarray, word: int) -> np.ndarray:
     return np.stack([own, fp[:, (word + 1) % fp.shape[1]] if fp.shape[1] > 1 else np.zeros_like(own)], axis=1)
 
 
+def _few(a: np.ndarray, b: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs a, b, sorted. Of an a in `many` or with more than CROWD of them only a pair with -1 is left."""
+    pairs = np.unique(np.stack([np.append(a, many), np.append(b, np.full(len(many), -1))], axis=1), axis=0)
+    a, b = pairs.T
+    start = np.flatnonzero(np.diff(a, prepend=-1))
+    n = np.diff(np.append(start, len(a)))
+    crowd = (n > CROWD) | (b[start] < 0)
+    few = ~np.repeat(crowd, n)
+    return np.append(a[few], a[start[crowd]]), np.append(b[few], np.full(crowd.sum(), -1))
+
+
 def met(nodes: DataFrame, word: int, words: int, most: int) -> DataFrame:
-    """What shares a variant of a word of nodes(node, fp). key null: a candidate pair a, b. b null: a is one of the large group of key."""
+    """node, other: each candidate pair that shares a variant of a word of nodes(node, fp), both ways round. other -1: the node is in a large group
+    or has more than CROWD others, and not all of them are named."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -514,101 +497,80 @@ def met(nodes: DataFrame, word: int, words: int, most: int) -> DataFrame:
                 columns = (variants(part[:, 0]).ravel(), *(np.repeat(c, 64) for c in (node[at : at + 2048], *part.view(np.int64).T)))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "own", "next"])
 
+    def pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, places, members of large groups)."""
+        size = np.diff(np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key)))
+        small = np.repeat(size <= SMALL, size)
+        none = np.zeros(0, np.int64)
+        yield none, none, np.unique(node[~small])
+        for step in range(1, min(SMALL, int(size.max()))):
+            i = np.flatnonzero((key[step:] == key[:-step]) & small[step:])
+            if not len(i):
+                break
+            diff = fp[i] ^ fp[i + step]
+            ok = _bits(diff) <= most
+            i, diff = i[ok], diff[ok]
+            i = i[_first_variant(diff[:, 0]) == key[i] >> 22]
+            yield node[i], node[i + step], none
+
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        held, n = [], 0
         for key, node, *both in _whole_groups(batches, ["key", "node", "own", "next"]):
-            fp = np.stack(both, axis=1).view(np.uint64)
-            start = np.flatnonzero(np.diff(key, prepend=-1))
-            size = np.diff(np.append(start, len(key)))
-            small = np.repeat(size <= SMALL, size)
-            for step in range(1, min(SMALL, int(size.max()))):
-                i = np.flatnonzero((key[step:] == key[:-step]) & small[step:])
-                if not len(i):
-                    break
-                diff = fp[i] ^ fp[i + step]
-                ok = _bits(diff) <= most
-                i, diff = i[ok], diff[ok]
-                i = i[_first_variant(diff[:, 0]) == key[i] >> 22]
-                yield np.full(len(i), -1), node[i], node[i + step]
-            for k in np.flatnonzero(size > SMALL):
-                own = slice(start[k], start[k] + size[k])
-                yield key[own] | word << 28, node[own], np.full(size[k], -1)
-                # In the order of the nodes, so that groups with the same members give the same candidates.
-                for a, b in _forest(fp[own], node[own], most):
-                    yield np.full(len(a), -1), node[own][a], node[own][b]
-
-    indexed = nodes.select("node", "fp").mapInArrow(index, "key long, node long, own long, next long")
-    return indexed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda x: _put_together(found(x), ["key", "a", "b"]), "key long, a long, b long")
-
-
-def met_again(members: DataFrame, nodes: DataFrame, words: int, most: int, turn: int | None) -> DataFrame:
-    """Pairs a, b of different roots in the large groups members(key, node): those of a forest in the order of the turn, or all. nodes: node, fp, root."""
+            for a, b, many in pairs(key, node, np.stack(both, axis=1).view(np.uint64)):
+                held.append((np.append(a, b), np.append(b, a), many))
+                n += 2 * len(a) + len(many)
+            if n >= 1 << 19:
+                yield _few(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield _few(*map(np.concatenate, zip(*held, strict=True)))
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        for key, node, root, *fps in _whole_groups(batches, ["key", "node", "root", *names]):
-            fps = np.stack(fps, axis=1).view(np.uint64)
-            cuts = [*np.flatnonzero(np.diff(key, prepend=-1)), len(key)]
-            for low, high in zip(cuts, cuts[1:], strict=False):
-                k, own = int(key[low]), slice(low, high)
-                for a, b in _across(fps[own], root[own], most, k >> 22 & 63) if turn is None else _forest(fps[own], root[own], most, (turn, k)):
-                    yield node[own][a], node[own][b]
-
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp, key = _values(batch["fp"], words), np.asarray(batch["key"])
-            word, each = key >> 28, np.arange(len(key))
-            both = fp[each, word], fp[each, (word + 1) % words] if words > 1 else np.zeros(len(key), np.uint64)
-            yield pa.RecordBatch.from_arrays([batch["key"], batch["node"], batch["root"], *(pa.array(c.view(np.int64)) for c in both)], ["key", "node", "root", *names])
+    rows = nodes.select("node", "fp").mapInArrow(index, "key long, node long, own long, next long").repartition("key").sortWithinPartitions("key", "node")
+    return rows.mapInArrow(lambda x: _put_together(found(x), ["node", "other"]), "node long, other long")
+
+
+def crowd_and_pairs(every: DataFrame) -> DataFrame:
+    """a, b: for every(node, other) of all words a row with -1 for each node of the crowd, which has more than CROWD others, and the pairs of the rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        for node, other in _whole_groups(batches, ["node", "other"]):
+            a, b = _few(node, other, node[other < 0])
+            yield np.where(b < 0, a, np.maximum(a, b)), np.minimum(a, b)
 
-    names = ["own", "next"]
-    rooted = members.join(nodes.select("node", "root"), "node")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("key")
-    rows = members.join(mixed, "key", "left_semi").join(nodes, "node").select("key", "node", "root", "fp")
-    rows = rows.mapInArrow(unpacked, "key long, node long, root long, own long, next long")
-    pairs = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda x: _put_together(found(x), ["a", "b"]), "a long, b long")
-    return _distinct_pairs(pairs)
+    return every.repartition("node").sortWithinPartitions("node").mapInArrow(lambda x: _put_together(run(x), ["a", "b"]), "a long, b long")
 
 
-def _distinct_pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+def _links_of_sets(texts: DataFrame, least: float, size: int) -> DataFrame:
+    """a, b: links that connect all texts(node, t) that are as similar as least, by the exact join of their sets."""
+    from . import jaccard  # which takes its shingles and components from here
+
+    sets = written(jaccard.with_sets(texts, ("node",), "t", size), "dedup-sets", batches=arrow_batches(4096, 16 << 20))
+    roots = jaccard.set_components(texts, sets, "t", size, round(100 * least, 9))
+    own = sets.filter("set IS NOT NULL").select("set", F.col("node").alias("a"))
+    first = own.groupBy("set").agg(F.min("a").alias("b"))
+    return written(own.join(roots, F.col("set") == F.col("node")).select("a", "root").join(first, F.col("root") == F.col("set")).select("a", "b"), "dedup-links")
 
 
 def rooted_nodes(nodes: DataFrame, keyed: DataFrame, most: int, words: int, least: float, size: int) -> DataFrame:
     """nodes(node, fp, one) and root, the least node of the component that links of texts as similar as least make. keyed: k, t; one: the k of a node's text."""
-    def tested(found: DataFrame) -> DataFrame:
-        """Those of the candidates that are links; the table of candidates goes."""
-        named = nodes.join(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-        texts = written(keyed.select("k", "t").join(named, F.col("k") == F.col("one")).groupBy("node").agg(F.first("t").alias("t")), "dedup-texts")
-        links = written(similar(found, texts.withColumnRenamed("node", "fp"), least, size), "dedup-links", batches=arrow_batches(4096, 16 << 20))
-        released(texts, found)
-        return links
-
-    def rooted() -> DataFrame:
-        return written(nodes.join(components(links).withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").withColumn("root", F.coalesce("root", "node")).drop("n"), "dedup-roots")
-
-    parts = []
-    for word in range(words):
-        parts.append(written(met(nodes, word, words, most), "dedup-met"))
-    every = reduce(DataFrame.union, parts)
-    members = every.filter("b IS NULL").select("key", F.col("a").alias("node"))
-    links = tested(written(_distinct_pairs(every.filter("key IS NULL")), "dedup-candidates"))
-    out, turn = rooted(), None if members.isEmpty() else 1
-    while turn:
-        found = written(met_again(members, out, words, most, turn), "dedup-candidates")
-        n, before = found.count(), out
-        if not n:  # a forest has links between roots wherever there is such a pair
-            return out
-        more = tested(found)
-        pays = 4 * more.count() >= n
-        if not pays:  # the rest in all pairs
-            links = links.union(more)
-            out = rooted()
-            released(before)
-            before = out
-            more = tested(written(met_again(members, out, words, most, None), "dedup-candidates"))
-        links = links.union(more)
-        out, turn = rooted(), turn + 1 if pays else None
-        released(before)
-    return out
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        named = nodes.join(some, "node", "left_semi")
+        return written(keyed.select("k", "t").join(named, F.col("k") == F.col("one")).groupBy("node").agg(F.first("t").alias("t")), "dedup-texts")
+
+    every = reduce(DataFrame.union, [written(met(nodes, word, words, most), "dedup-met") for word in range(words)])
+    rows = written(crowd_and_pairs(every), "dedup-few")
+    found = written(rows.filter("b >= 0").distinct(), "dedup-candidates")
+    crowd = rows.filter("b < 0").select(F.col("a").alias("node"))
+    texts = texts_of(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    links = written(similar(found, texts.withColumnRenamed("node", "fp"), least, size), "dedup-links", batches=arrow_batches(4096, 16 << 20))
+    released(texts, found)
+    if not crowd.isEmpty():
+        texts = texts_of(crowd)
+        links = links.union(_links_of_sets(texts, least, size))
+        released(texts)
+    roots = components(links).withColumnRenamed("node", "n")
+    return written(nodes.join(roots, F.col("node") == F.col("n"), "left").withColumn("root", F.coalesce("root", "node")).drop("n"), "dedup-roots")
 
 
 def deduplicate(docs: DataFrame, most: int = NEAR_BITS, size: int = NEAR_SHINGLE, words: int = NEAR_WORDS, least: float = SIMILARITY) -> DataFrame:
