@@ -16,7 +16,6 @@ from .syntax import ScriptError, slug
 
 #: Fixed value: the bars that a script needs before its last one counts.
 WARMUP = 250
-SERIES = ("open", "high", "low", "close", "volume", "session")
 _TYPES = {"bool": (T.BooleanType(), pa.bool_()), "float": (T.DoubleType(), pa.float64())}
 
 
@@ -59,6 +58,29 @@ def with_script(bars: DataFrame, source: str, overrides: dict | None = None, pre
     return df.select(*bars.columns, *(out[at].alias(names[at]) for at in range(len(names))), *failed)
 
 
+class Columns(dict):
+    """A table's columns as lists, by name (given: other names for some), each made when it is first read; ts is aware."""
+
+    def __init__(self, table: pa.Table, given: dict[str, str]):
+        super().__init__()
+        self.table, self.given = table, given
+
+    def __missing__(self, name: str) -> list:
+        column = self.table[self.given.get(name, name)]
+        plain = not column.null_count and pa.types.is_floating(column.type)
+        values = column.to_numpy().tolist() if plain else column.to_pylist()
+        if name == "ts":
+            values = [t.replace(tzinfo=timezone.utc) if t.tzinfo is None else t.astimezone(timezone.utc) for t in values]
+        self[name] = values
+        return values
+
+
+def in_order(ts: pa.ChunkedArray) -> bool:
+    """Whether times ascend, none of them missing."""
+    t = ts.to_numpy()
+    return not ts.null_count and bool((t[1:] >= t[:-1]).all())
+
+
 def _bar_by_bar(bars: DataFrame, program: Program, names: list[str], error: str | None, given: dict[str, str] | None = None) -> DataFrame:
     """bars with the program's columns, by one grouped pass. given: where its series beside the bars' own are."""
     given = given or {}
@@ -67,13 +89,17 @@ def _bar_by_bar(bars: DataFrame, program: Program, names: list[str], error: str
     schema = T.StructType([*bars.schema.fields, *fields, *([T.StructField(error, T.StringType())] if error else [])])
     tree, overrides, known = program.tree, program.overrides, program.remade
 
+    held: list[Program] = []  # this task's program, made for its first symbol
+
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("ts")
-        columns: dict[str, list] = {k: table[k].to_pylist() for k in SERIES} | {k: table[c].to_pylist() for k, c in given.items()}
-        columns["ts"] = [t.replace(tzinfo=timezone.utc) if t.tzinfo is None else t.astimezone(timezone.utc) for t in table["ts"].to_pylist()]
+        if not in_order(table["ts"]):
+            table = table.sort_by("ts")
+        columns = Columns(table, given)
+        if not held:
+            held.append(remade(tree, overrides, known))
         message = None
         try:
-            made = Run(remade(tree, overrides, known), columns).go().columns
+            made = Run(held[0], columns, n=table.num_rows).go().columns
         except ScriptError as e:
             if not error:
                 raise
