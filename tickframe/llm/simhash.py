@@ -486,8 +486,8 @@ def _few(a: np.ndarray, b: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np
 
 
 def met(nodes: DataFrame, word: int, words: int, most: int) -> DataFrame:
-    """node, other: each candidate pair that shares a variant of a word of nodes(node, fp), both ways round. other -1: the node is in a large group
-    or has more than CROWD others, and not all of them are named."""
+    """node, other: each candidate pair that shares a variant of a word of nodes(node, fp, crowd), both ways round. other -1: the node is in a large
+    group or has more than CROWD others, and not all of them are named. Of those known to be of the crowd nothing is said but as others."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -500,9 +500,9 @@ def met(nodes: DataFrame, word: int, words: int, most: int) -> DataFrame:
     def pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(places, places, members of large groups)."""
         size = np.diff(np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key)))
-        small = np.repeat(size <= SMALL, size)
-        none = np.zeros(0, np.int64)
-        yield none, none, np.unique(node[~small])
+        small, known = np.repeat(size <= SMALL, size), node < 0
+        node, none = np.where(known, ~node, node), np.zeros(0, np.int64)
+        yield none, none, np.unique(node[~small & ~known])
         for step in range(1, min(SMALL, int(size.max()))):
             i = np.flatnonzero((key[step:] == key[:-step]) & small[step:])
             if not len(i):
@@ -511,21 +511,24 @@ def met(nodes: DataFrame, word: int, words: int, most: int) -> DataFrame:
             ok = _bits(diff) <= most
             i, diff = i[ok], diff[ok]
             i = i[_first_variant(diff[:, 0]) == key[i] >> 22]
-            yield node[i], node[i + step], none
+            x, y = i[~known[i]], i[~known[i + step]]
+            yield np.append(node[x], node[y + step]), np.append(node[x + step], node[y]), none
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         held, n = [], 0
         for key, node, *both in _whole_groups(batches, ["key", "node", "own", "next"]):
             for a, b, many in pairs(key, node, np.stack(both, axis=1).view(np.uint64)):
-                held.append((np.append(a, b), np.append(b, a), many))
-                n += 2 * len(a) + len(many)
+                held.append((a, b, many))
+                n += len(a) + len(many)
             if n >= 1 << 19:
                 yield _few(*map(np.concatenate, zip(*held, strict=True)))
                 held, n = [], 0
         if n:
             yield _few(*map(np.concatenate, zip(*held, strict=True)))
 
-    rows = nodes.select("node", "fp").mapInArrow(index, "key long, node long, own long, next long").repartition("key").sortWithinPartitions("key", "node")
+    # Numbers of the crowd go as negative ones, so that they need no column of their own.
+    marked = nodes.select(F.when(F.col("crowd"), F.bitwise_not("node")).otherwise(F.col("node")).alias("node"), "fp")
+    rows = marked.mapInArrow(index, "key long, node long, own long, next long").repartition("key").sortWithinPartitions("key", "node")
     return rows.mapInArrow(lambda x: _put_together(found(x), ["node", "other"]), "node long, other long")
 
 
@@ -558,8 +561,12 @@ def rooted_nodes(nodes: DataFrame, keyed: DataFrame, most: int, words: int, leas
         named = nodes.join(some, "node", "left_semi")
         return written(keyed.select("k", "t").join(named, F.col("k") == F.col("one")).groupBy("node").agg(F.first("t").alias("t")), "dedup-texts")
 
-    every = reduce(DataFrame.union, [written(met(nodes, word, words, most), "dedup-met") for word in range(words)])
-    rows = written(crowd_and_pairs(every), "dedup-few")
+    marked, parts = nodes.withColumn("crowd", F.lit(False)), []
+    for word in range(words):
+        parts.append(written(met(marked, word, words, most), "dedup-met"))
+        rows = written(crowd_and_pairs(reduce(DataFrame.union, parts)), "dedup-few")
+        known = rows.filter("b < 0").select(F.col("a").alias("node"), F.lit(True).alias("crowd"))
+        marked = nodes.join(known, "node", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
     found = written(rows.filter("b >= 0").distinct(), "dedup-candidates")
     crowd = rows.filter("b < 0").select(F.col("a").alias("node"))
     texts = texts_of(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
